@@ -1,0 +1,305 @@
+"""Structural time-series kernel for one short daily series (numpy, used inside grouped tasks).
+
+The series is  y_t = x_t'beta + trend + weekly + monthly + autoregression + noise. All variance
+settings of a search step are filtered together on a leading axis, and y and the regressors go
+through the same filter, because its gain does not depend on the data: beta then follows from the
+filtered columns by generalised least squares, with one shrinkage weight per regressor.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+TRENDS = ("local_level", "local_linear", "semi_local_linear", "no_trend")
+
+
+@dataclass(frozen=True)
+class Spec:
+    trend: str
+    monthly: bool = False
+    ar_order: int = 1
+    # Inverse-gamma prior of the trend's standard deviations; None for a flat one.
+    scale_prior: tuple[float, float] | None = None
+
+    def __post_init__(self):
+        if self.trend not in TRENDS:
+            raise ValueError(f"unknown trend {self.trend!r}")
+
+    @property
+    def blocks(self) -> list[tuple[str, int]]:
+        trend = {"local_level": 1, "local_linear": 2, "semi_local_linear": 3, "no_trend": 0}[self.trend]
+        sizes = [("Trend", trend), ("Weekly", 6), ("Monthly", 29 if self.monthly else 0)]
+        return [b for b in [*sizes, ("Auto-regressive", self.ar_order)] if b[1] > 0]
+
+    @property
+    def parameters(self) -> list[str]:
+        """Logs of standard deviations, then inverse hyperbolic tangents of (partial) autocorrelations."""
+        names = ["noise", "Weekly", "Auto-regressive"]
+        names += ["Monthly"] if self.monthly else []
+        names += {"no_trend": [], "local_level": ["level"]}.get(self.trend, ["level", "slope"])
+        names += ["slope_memory"] if self.trend == "semi_local_linear" else []
+        return names + [f"memory_{i}" for i in range(self.ar_order)]
+
+    def is_scale(self) -> np.ndarray:
+        return np.array(["memory" not in p for p in self.parameters])
+
+
+def _ar_coefficients(partial: np.ndarray) -> np.ndarray:
+    """Partial autocorrelations (settings x p) to the coefficients of a stationary autoregression."""
+    phi = partial[:, :1]
+    for k in range(1, partial.shape[1]):
+        last = partial[:, k : k + 1]
+        phi = np.hstack([phi - last * phi[:, ::-1], last])
+    return phi
+
+
+def system(spec: Spec, theta: np.ndarray):
+    """Transition, state noise, observation noise, observation row and start variance per setting."""
+    value = {p: (np.exp(theta[:, i]) if s else np.tanh(theta[:, i])) for i, (p, s) in
+             enumerate(zip(spec.parameters, spec.is_scale()))}
+    settings, m = len(theta), sum(size for _, size in spec.blocks)
+    move = np.zeros((settings, m, m))
+    noise = np.zeros((settings, m))
+    start = np.ones((settings, m))
+    pick = np.zeros(m)
+    first = {}
+    at = 0
+    for name, size in spec.blocks:
+        first[name] = at
+        pick[at] = 1.0
+        here = slice(at, at + size)
+        if name == "Trend":
+            move[:, here, here] = np.eye(size)
+            noise[:, at] = value["level"] ** 2
+            start[:, at] = 4.0
+            if size > 1:
+                move[:, at, at + 1 : at + size] = 1.0
+                noise[:, at + 1] = value["slope"] ** 2
+                start[:, at + 1 : at + size] = 0.01
+            if size == 3:
+                move[:, at + 1, at + 1] = value["slope_memory"]
+        elif name == "Auto-regressive":
+            partial = np.stack([value[f"memory_{i}"] for i in range(size)], axis=1)
+            move[:, at, here] = _ar_coefficients(partial)
+            noise[:, at] = value[name] ** 2
+            # Stationary variance of the process.
+            start[:, here] = (noise[:, at] / np.prod(1 - partial**2, axis=1))[:, None]
+        else:
+            move[:, at, here] = -1.0
+            noise[:, at] = value[name] ** 2
+        if name != "Trend" and size > 1:
+            rows = np.arange(at + 1, at + size)
+            move[:, rows, rows - 1] = 1.0
+        at += size
+    return move, noise, value["noise"] ** 2, pick, start, first
+
+
+def run_filter(columns: np.ndarray, parts, keep: bool = False):
+    """Kalman filter of every column under every setting.
+
+    Returns innovations (time, settings, columns), their variances (time, settings) and the
+    predicted state after the last row; with ``keep`` also the states and variances before each row.
+    """
+    move, noise, obs, pick, start, _ = parts
+    settings, m = noise.shape
+    n, c = columns.shape
+    state = np.zeros((settings, m, c))
+    cov = np.zeros((settings, m, m))
+    diagonal = np.arange(m)
+    cov[:, diagonal, diagonal] = start
+    moved_t = move.transpose(0, 2, 1)
+    innovations, variances = np.empty((n, settings, c)), np.empty((n, settings))
+    history = []
+    for t in range(n):
+        if keep:
+            history.append((state, cov))
+        seen = cov @ pick
+        variance = seen @ pick + obs
+        innovation = columns[t] - np.matmul(pick, state)
+        gain = seen / variance[:, None]
+        state = move @ (state + gain[:, :, None] * innovation[:, None, :])
+        cov = move @ (cov - gain[:, :, None] * seen[:, None, :]) @ moved_t
+        # Rounding must not make the variance lopsided, the error would grow from day to day.
+        cov = 0.5 * (cov + cov.transpose(0, 2, 1))
+        cov[:, diagonal, diagonal] += noise
+        innovations[t], variances[t] = innovation, variance
+    return innovations, variances, state, cov, history
+
+
+def regress(innovations: np.ndarray, variances: np.ndarray, weight: np.ndarray):
+    """Posterior of beta and the log marginal likelihood, per setting; ``weight`` = prior precisions."""
+    scaled = (innovations / np.sqrt(variances)[:, :, None]).transpose(1, 0, 2)
+    gram = scaled.transpose(0, 2, 1) @ scaled
+    precision = gram[:, 1:, 1:] + np.diag(weight)
+    cross = gram[:, 1:, 0]
+    beta_cov = np.linalg.inv(precision)
+    beta = (beta_cov @ cross[:, :, None])[:, :, 0]
+    fit = gram[:, 0, 0] - (cross * beta).sum(axis=1)
+    logdet = np.linalg.slogdet(precision)[1] - np.log(weight).sum()
+    likelihood = -0.5 * (np.log(2 * np.pi * variances).sum(axis=0) + fit + logdet)
+    return beta, beta_cov, likelihood
+
+
+def log_prior(spec: Spec, theta: np.ndarray) -> np.ndarray:
+    """Weak log-normal priors of scales, normal ones of memories, inverse gamma for the trend."""
+    out = np.zeros(len(theta))
+    for i, (name, scale) in enumerate(zip(spec.parameters, spec.is_scale())):
+        if name in ("level", "slope") and spec.scale_prior is not None:
+            a, b = spec.scale_prior
+            out += -a * theta[:, i] - b * np.exp(-theta[:, i])
+        elif scale:
+            out += -0.5 * ((theta[:, i] - np.log(0.05)) / 3.0) ** 2
+        else:
+            out += -0.5 * theta[:, i] ** 2
+    return out
+
+
+@dataclass
+class Mode:
+    theta: np.ndarray
+    weight: np.ndarray
+    spread: np.ndarray
+    score: float
+
+
+def search(spec: Spec, columns: np.ndarray, rounds: int = 14) -> Mode:
+    """Posterior mode of the settings by a parabola step per coordinate, one filter pass a round.
+
+    Between rounds the shrinkage weights follow the regressors' estimated size (automatic
+    relevance determination), so that useless regressors fade out.
+    """
+    p, k = len(spec.parameters), columns.shape[1] - 1
+    centre = np.where(spec.is_scale(), np.log(0.1), 0.0)
+    centre[0] = np.log(0.5)
+    step = np.where(spec.is_scale(), 1.5, 0.5)
+    weight, guesses, curve = np.ones(k), [], np.ones(p)
+    score = -np.inf
+    for _ in range(rounds):
+        trial = np.vstack([centre, centre + np.diag(step), centre - np.diag(step), *guesses])
+        trial = np.clip(trial, np.where(spec.is_scale(), -9.0, -3.0), np.where(spec.is_scale(), 2.0, 3.0))
+        innovations, variances, *_ = run_filter(columns, system(spec, trial))
+        beta, beta_cov, likelihood = regress(innovations, variances, weight)
+        scores = np.nan_to_num(likelihood + log_prior(spec, trial), nan=-np.inf)
+        here, up, down = scores[0], scores[1 : p + 1], scores[p + 1 : 2 * p + 1]
+        bend = np.maximum((2 * here - up - down) / step**2, 1e-3)
+        curve = bend
+        jump = np.clip((up - down) / (2 * step) / bend, -2 * step, 2 * step)
+        best = int(np.argmax(scores))
+        gain = scores[best] - here
+        settled = gain < 0.02 and np.all(step < 0.2)
+        score = float(scores[best])
+        guesses = [centre + f * jump for f in (1.0, 0.5, 0.25)]
+        centre = trial[best]
+        if k:
+            size = beta[best] ** 2 + np.diagonal(beta_cov[best])
+            weight = np.clip(1.0 / size, 1e-2, 1e6)
+        if settled:
+            break
+        if best == 0 or gain < 0.5:
+            step = step * 0.5
+    return Mode(centre, weight, np.clip(1 / np.sqrt(curve), 0.05, 1.0), score)
+
+
+@dataclass
+class Forecast:
+    """Standardised one-step (before) and multi-step (after) predictions of one setting."""
+
+    mean: np.ndarray
+    sd: np.ndarray
+    cum_mean: np.ndarray
+    cum_sd: np.ndarray
+    beta: np.ndarray
+    beta_cov: np.ndarray
+    parts: tuple
+    state: np.ndarray
+    cov: np.ndarray
+    passed: np.ndarray
+
+
+def forecast(spec: Spec, theta: np.ndarray, weight: np.ndarray, columns: np.ndarray, future: np.ndarray) -> Forecast:
+    """One-step predictions of the observed rows, then the path of ``future`` (rows of x).
+
+    The running sum of the path is carried as an extra state, which gives the variance of the
+    cumulative effect with all correlations between days.
+    """
+    parts = system(spec, theta[None, :])
+    innovations, variances, state, cov, _ = run_filter(columns, parts)
+    beta, beta_cov, _ = regress(innovations, variances, weight)
+    beta, beta_cov, v = beta[0], beta_cov[0], innovations[:, 0, :]
+    fitted = columns[:, 0] - (v[:, 0] - v[:, 1:] @ beta)
+    spread = variances[:, 0] + np.einsum("ti,ij,tj->t", v[:, 1:], beta_cov, v[:, 1:])
+    move, noise, obs, pick = parts[0][0], parts[1][0], parts[2][0], parts[3]
+    a, cov = state[0], cov[0]
+    with_sum, total, x_sum = np.zeros(len(pick)), 0.0, np.zeros(len(beta))
+    mean, var, cum_var, passed = [], [], [], []
+    for x in future:
+        effective = x - pick @ a[:, 1:]
+        mean.append(pick @ a[:, 0] + effective @ beta)
+        here = pick @ cov @ pick + obs
+        var.append(here + effective @ beta_cov @ effective)
+        total += 2 * pick @ with_sum + here
+        x_sum = x_sum + effective
+        cum_var.append(total + x_sum @ beta_cov @ x_sum)
+        with_sum = move @ (with_sum + cov @ pick)
+        a, cov = move @ a, move @ cov @ move.T + np.diag(noise)
+        passed.append(effective)
+    return Forecast(
+        np.concatenate([fitted, mean]),
+        np.sqrt(np.concatenate([spread, var])),
+        np.cumsum(mean),
+        np.sqrt(np.array(cum_var)),
+        beta,
+        beta_cov,
+        parts,
+        state[0],
+        cov,
+        np.array(passed),
+    )
+
+
+def smooth(spec: Spec, theta: np.ndarray, columns: np.ndarray, beta: np.ndarray) -> dict[str, np.ndarray]:
+    """Smoothed mean of every component over the observed rows."""
+    parts = system(spec, theta[None, :])
+    residual = (columns[:, 0] - columns[:, 1:] @ beta)[:, None]
+    innovations, variances, _, _, history = run_filter(residual, parts, keep=True)
+    move, pick, first = parts[0][0], parts[3], parts[5]
+    pull = np.zeros(len(pick))
+    states = np.empty((len(residual), len(pick)))
+    for t in range(len(residual) - 1, -1, -1):
+        state, cov = history[t][0][0, :, 0], history[t][1][0]
+        gain = move @ (cov @ pick) / variances[t, 0]
+        pull = pick * (innovations[t, 0, 0] / variances[t, 0]) + (move - np.outer(gain, pick)).T @ pull
+        states[t] = state + cov @ pull
+    out = {name: states[:, at] for name, at in first.items()}
+    return {**out, "Linear Regression": columns[:, 1:] @ beta}
+
+
+def sample_paths(spec: Spec, mode: Mode, columns: np.ndarray, future: np.ndarray, rng, settings=64, draws=1000):
+    """Simulated future paths (draws x days), settings drawn around the mode and reweighted exactly.
+
+    Each path takes its own setting and beta, so parameter uncertainty is part of the interval.
+    """
+    p = len(mode.theta)
+    offset = rng.standard_normal((settings, p))
+    offset[0] = 0.0
+    theta = mode.theta + offset * mode.spread
+    innovations, variances, state, cov, _ = run_filter(columns, system(spec, theta))
+    beta, beta_cov, likelihood = regress(innovations, variances, mode.weight)
+    log_weight = likelihood + log_prior(spec, theta) + 0.5 * (offset**2).sum(axis=1)
+    share = np.exp(log_weight - np.nanmax(log_weight))
+    share = np.nan_to_num(share)
+    chosen = rng.choice(settings, size=draws, p=share / share.sum())
+    move, noise, obs, pick, _, _ = system(spec, theta)
+    root = lambda a: np.linalg.cholesky(a + 1e-10 * np.eye(a.shape[-1]))
+    normal = rng.standard_normal
+    k = beta.shape[1]
+    b = beta[chosen] + (root(beta_cov)[chosen] @ normal((draws, k, 1)))[:, :, 0]
+    residual_state = state[chosen, :, 0] - (state[chosen, :, 1:] @ b[:, :, None])[:, :, 0]
+    alpha = residual_state + (root(cov)[chosen] @ normal((draws, len(pick), 1)))[:, :, 0]
+    paths = np.empty((draws, len(future)))
+    for t, x in enumerate(future):
+        paths[:, t] = alpha @ pick + b @ x + np.sqrt(obs[chosen]) * normal(draws)
+        alpha = (move[chosen] @ alpha[:, :, None])[:, :, 0] + np.sqrt(noise[chosen]) * normal(alpha.shape)
+    return paths
