@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftpanel.functions import dates as D
@@ -23,36 +23,53 @@ def feature_name(role: Column, dim: Column) -> Column:
 def feature_long(series: DataFrame, runs: DataFrame) -> DataFrame:
     """Series on the daily calendar of every run, missing days as 0.
 
-    Calendar rows without a value and observed rows are stacked and summed per day: one aggregate
-    with map-side combine in place of one left join per feature. The target always exists, every
-    other feature exists if its analysis has at least one row of it in the loaded range.
+    The target always exists, every other feature exists if its analysis has at least one row of it
+    in the loaded range. Each observed day also stands for the gap up to the next one, so the
+    calendar is filled by looking one row ahead: the series are read once and shuffled once, by
+    analysis and feature, and everything that later works per feature finds them already in place.
     """
     windows = runs.select(*RUN_KEYS, "campaign_start", "start", "end")
-    target = runs.select(
-        *RUN_KEYS, "campaign_start", "start", "end", F.lit("target").alias("role"), F.col("target").alias("campaign_dimension")
+    # The runs of an analysis cover its whole data window; the marker makes the target exist.
+    data = runs.groupBy("analysis_id").agg(
+        F.min("start").alias("data_start"), F.max("end").alias("data_end"), F.first("target").alias("target")
     )
-    others = (
-        series.where(F.col("role") != "target").select("analysis_id", "role", "campaign_dimension").distinct()
-        .join(windows, "analysis_id")
-    )
-    calendar = target.unionByName(others.select(target.columns)).select(
-        *RUN_KEYS,
-        "campaign_start",
-        "role",
-        "campaign_dimension",
-        F.explode(D.days("start", "end")).alias("reference_date"),
+    marker = data.select(
+        "analysis_id",
+        F.lit("target").alias("role"),
+        F.col("target").alias("campaign_dimension"),
+        F.col("data_start").alias("reference_date"),
         F.lit(None).cast("double").alias("value"),
     )
-    observed = (
-        series.join(windows, "analysis_id")
-        .where(F.col("reference_date").between(F.col("start"), F.col("end")))
-        .select(calendar.columns)
+    per_feature = ["analysis_id", "feature"]
+    by_day = (
+        series.select(marker.columns)
+        .unionByName(marker)
+        .withColumn("feature", feature_name(F.col("role"), F.col("campaign_dimension")))
+        .repartition(*per_feature)
+        .groupBy(*per_feature, "role", "reference_date")
+        .agg(F.sum("value").alias("value"))
+        .join(data.select("analysis_id", "data_start", "data_end"), "analysis_id")
+        .where(F.col("reference_date").between(F.col("data_start"), F.col("data_end")))
     )
+    ordered = Window.partitionBy(*per_feature).orderBy("reference_date")
+    first = F.when(F.lag("reference_date").over(ordered).isNull(), F.col("data_start"))
+    following = F.lead("reference_date").over(ordered)
     return (
-        calendar.unionByName(observed)
-        .withColumn("feature", feature_name(F.col("role"), F.col("campaign_dimension")))
-        .groupBy(*RUN_KEYS, "campaign_start", "role", "feature", "reference_date")
-        .agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+        by_day.withColumn("from_day", F.coalesce(first, F.col("reference_date")))
+        .withColumn("to_day", F.coalesce(F.date_sub(following, 1), F.col("data_end")))
+        .select(
+            *per_feature,
+            "role",
+            F.col("reference_date").alias("observed_day"),
+            "value",
+            F.explode(D.days("from_day", "to_day")).alias("reference_date"),
+        )
+        .join(windows, "analysis_id")
+        .where(F.col("reference_date").between(F.col("start"), F.col("end")))
+        .withColumn(
+            "value",
+            F.when(F.col("reference_date") == F.col("observed_day"), F.coalesce("value", F.lit(0.0))).otherwise(0.0),
+        )
         .select(FEATURE_COLUMNS)
     )
 

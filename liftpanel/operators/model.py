@@ -55,16 +55,23 @@ def standardize(features: DataFrame, scope: str = "pre") -> DataFrame:
 def hyperpriors(features: DataFrame) -> DataFrame:
     """Inverse-gamma prior of the trend's scales from the target before the campaign.
 
-    The target is scaled over the full window: on its own scale its mean would be 0.
+    Mean and spread are those of the target scaled over the full window (on its own scale the mean
+    would be 0); they follow from four plain aggregates, the scaled series itself is not needed.
     """
-    target = standardize(features.where(F.col("role") == "target"), "full").where(
-        F.col("reference_date") < F.col("campaign_start")
-    )
-    m, s = F.abs(F.avg("scaled")), F.stddev_pop("scaled") * PRIOR_SPREAD
+    before = F.when(F.col("reference_date") < F.col("campaign_start"), F.col("value"))
+    m = F.try_divide(F.abs(F.col("pre_mean") - F.col("full_mean")), F.col("full_std"))
+    s = F.try_divide(F.col("pre_std"), F.col("full_std")) * PRIOR_SPREAD
     ratio = F.try_divide(F.col("m") * F.col("m"), F.col("s") * F.col("s"))
     return (
-        target.groupBy(*RUN_KEYS)
-        .agg(m.alias("m"), s.alias("s"))
+        features.where(F.col("role") == "target")
+        .groupBy(*RUN_KEYS)
+        .agg(
+            F.avg(before).alias("pre_mean"),
+            F.stddev_pop(before).alias("pre_std"),
+            F.avg("value").alias("full_mean"),
+            F.stddev_pop("value").alias("full_std"),
+        )
+        .select(*RUN_KEYS, m.alias("m"), s.alias("s"))
         .select(
             *RUN_KEYS,
             (ratio + 2).alias("prior_alpha"),

@@ -37,24 +37,25 @@ QUERIES: dict[str, Query] = {}
 ALPHA = 0.05
 
 
-def shown(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Days as text, doubles rounded."""
+def shown(df: DataFrame, digits: int = 4, by_column: dict[str, int] | None = None) -> DataFrame:
+    """Days as text, doubles rounded to ``digits``, single columns to their own number of digits."""
+    by_column = by_column or {}
     columns = []
     for field in df.schema:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DateType):
             column = column.cast("string")
         elif isinstance(field.dataType, T.DoubleType):
-            column = F.round(column, digits)
+            column = F.round(column, by_column.get(field.name, digits))
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
 
-def query(fn: Query | None = None, digits: int = 4):
+def query(fn: Query | None = None, digits: int = 4, **by_column: int):
     """Register a query under its function's name."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = lambda spark, sf_dir: shown(f(spark, sf_dir), digits)
+        QUERIES[f.__name__] = lambda spark, sf_dir: shown(f(spark, sf_dir), digits, by_column)
         return f
 
     return register(fn) if fn is not None else register
@@ -111,8 +112,8 @@ def _inferences(spark, sf_dir) -> DataFrame:
 
 
 def _residuals(spark, sf_dir) -> DataFrame:
-    """Residuals rounded to 6 digits, so that bins and ranks do not hang on the last bit."""
-    return diagnostics.residuals(_inferences(spark, sf_dir)).withColumn("error", F.round("error", 6))
+    """Residuals rounded to 3 digits, so that bins and ranks do not hang on the last bit."""
+    return diagnostics.residuals(_inferences(spark, sf_dir)).withColumn("error", F.round("error", 3))
 
 
 def _alphas(df: DataFrame) -> DataFrame:
@@ -479,7 +480,7 @@ def target_corr(spark, sf_dir):
 # --- model ------------------------------------------------------------------------------------
 
 
-@query
+@query(digits=3)
 def weekly_seasonal(spark, sf_dir):
     return stationarity.seasonal_additive(explore.pre_target(_features(spark, sf_dir)))
 
@@ -529,7 +530,7 @@ def design_moments(spark, sf_dir):
     return model.design_moments(_features(spark, sf_dir))
 
 
-@query
+@query(digits=3)
 def single_control_fit(spark, sf_dir):
     return _predictions(spark, sf_dir)
 
@@ -537,7 +538,8 @@ def single_control_fit(spark, sf_dir):
 def _panel_fits(spark, sf_dir) -> DataFrame:
     """Main runs of the region panel: search and fit every candidate."""
     analyses = W.region_analyses(spark, sf_dir)
-    return panel.fit_main(clean.clean_features(_features(spark, sf_dir)), runs_ops.expand_runs(analyses))
+    cleaned = stages.cut_lineage(clean.clean_features(_features(spark, sf_dir)))
+    return panel.fit_main(cleaned, runs_ops.expand_runs(analyses))
 
 
 @query
@@ -558,7 +560,7 @@ def importance(spark, sf_dir):
 # --- selection --------------------------------------------------------------------------------
 
 
-@query(digits=6)
+@query(error=3, perc_error=6)
 def inference_errors(spark, sf_dir):
     return effects.errors(_predictions(spark, sf_dir)).select(*RUN_KEYS, "reference_date", "error", "perc_error")
 
@@ -588,14 +590,14 @@ def selected_model(spark, sf_dir):
 # --- effects and diagnostics ------------------------------------------------------------------
 
 
-@query
+@query(digits=3)
 def point_effects(spark, sf_dir):
     return _inferences(spark, sf_dir).select(
         *RUN_KEYS, "reference_date", *[f"point_effects_{b}" for b in ("means", "lower", "upper")]
     )
 
 
-@query
+@query(digits=3)
 def cumulative_effects(spark, sf_dir):
     return _inferences(spark, sf_dir).select(
         *RUN_KEYS, "reference_date", *[f"post_cum_effects_{b}" for b in ("means", "lower", "upper")]
@@ -630,17 +632,17 @@ def plot_bounds(spark, sf_dir):
     return effects.plot_bounds(_inferences(spark, sf_dir))
 
 
-@query
+@query(digits=3, perc_error=6)
 def residuals(spark, sf_dir):
     return diagnostics.residuals(_inferences(spark, sf_dir))
 
 
-@query(digits=8)
+@query(bin_centre=3, density=12, normal_density=12)
 def residual_hist(spark, sf_dir):
     return diagnostics.residual_histogram(_residuals(spark, sf_dir))
 
 
-@query(digits=8)
+@query(error=3, normal_density=12)
 def residual_density(spark, sf_dir):
     return diagnostics.residual_density(_residuals(spark, sf_dir))
 
@@ -655,7 +657,7 @@ def relative_error(spark, sf_dir):
     return diagnostics.relative_error(_residuals(spark, sf_dir))
 
 
-@query
+@query(digits=3, theoretical=6)
 def qq_points(spark, sf_dir):
     return diagnostics.qq_points(_residuals(spark, sf_dir))
 

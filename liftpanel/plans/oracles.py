@@ -346,7 +346,7 @@ CTES["effect"] = (
     ("pred",),
 )
 CTES["resid"] = (
-    f"SELECT {KEYS}, d, observed, {r('error', 6)} AS error, perc_error FROM effect WHERE d < cs",
+    f"SELECT {KEYS}, d, observed, {r('error', 3)} AS error, perc_error FROM effect WHERE d < cs",
     ("effect",),
 )
 CTES["totals_post"] = (
@@ -514,7 +514,7 @@ def _period_status(first: str, last: str, yearly: str) -> str:
 
 
 def _bounds(prefix: str, columns: dict[str, str]) -> str:
-    return ", ".join(f"{r(c)} AS {prefix}_{name}" for name, c in columns.items())
+    return ", ".join(f"{r(c, 3)} AS {prefix}_{name}" for name, c in columns.items())
 
 
 STATS = f"""
@@ -746,8 +746,8 @@ ORACLES: dict[str, str] = {
         "changes", "shares",
     ),
     "weekly_seasonal": _with(
-        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('value')} AS value, {r('trend')} AS trend,
-                   {r('seasonal')} AS seasonal, {r('value - seasonal')} AS deseasonal FROM seasonal""",
+        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('value', 3)} AS value, {r('trend', 3)} AS trend,
+                   {r('seasonal', 3)} AS seasonal, {r('value - seasonal', 3)} AS deseasonal FROM seasonal""",
         "seasonal",
     ),
     "trend_candidates": """
@@ -783,12 +783,12 @@ ORACLES: dict[str, str] = {
         "scaled",
     ),
     "single_control_fit": _with(
-        f"""SELECT {KEYS}, {day('cs')} AS campaign_start, {day('d')} AS reference_date, {r('observed')} AS observed,
-                   {r('mean')} AS mean, {r('lower')} AS lower, {r('upper')} AS upper, {r('sd')} AS sd FROM pred""",
+        f"""SELECT {KEYS}, {day('cs')} AS campaign_start, {day('d')} AS reference_date, {r('observed', 3)} AS observed,
+                   {r('mean', 3)} AS mean, {r('lower', 3)} AS lower, {r('upper', 3)} AS upper, {r('sd', 3)} AS sd FROM pred""",
         "pred",
     ),
     "inference_errors": _with(
-        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('error', 6)} AS error, {r('perc_error', 6)} AS perc_error
+        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('error', 3)} AS error, {r('perc_error', 6)} AS perc_error
             FROM effect""",
         "effect",
     ),
@@ -838,14 +838,14 @@ ORACLES: dict[str, str] = {
         "effect",
     ),
     "residuals": _with(
-        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('observed')} AS observed, {r('error')} AS error,
-                   {r('perc_error')} AS perc_error FROM effect WHERE d < cs""",
+        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('observed', 3)} AS observed, {r('error', 3)} AS error,
+                   {r('perc_error', 6)} AS perc_error FROM effect WHERE d < cs""",
         "effect",
     ),
     "residual_hist": _with(
-        f"""SELECT b.analysis_id, b.run_kind, b.bin, {r('b.middle', 8)} AS bin_centre, coalesce(c.rows, 0) AS rows,
-                   {r('coalesce(c.rows, 0) / (b.n * b.width)', 8)} AS density,
-                   {r(NORMAL_DENSITY.format('b.middle'), 8)} AS normal_density
+        f"""SELECT b.analysis_id, b.run_kind, b.bin, {r('b.middle', 3)} AS bin_centre, coalesce(c.rows, 0) AS rows,
+                   {r('coalesce(c.rows, 0) / (b.n * b.width)', 12)} AS density,
+                   {r(NORMAL_DENSITY.format('b.middle'), 12)} AS normal_density
             FROM (SELECT *, lo + (bin + 0.5) * width AS middle
                   FROM (SELECT *, CAST(unnest(range(0, 20)) AS INTEGER) AS bin FROM ({STATS}))) b
             LEFT JOIN (
@@ -855,8 +855,8 @@ ORACLES: dict[str, str] = {
         "resid",
     ),
     "residual_density": _with(
-        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('error', 8)} AS error,
-                   {r(NORMAL_DENSITY.format('error'), 8)} AS normal_density
+        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('error', 3)} AS error,
+                   {r(NORMAL_DENSITY.format('error'), 12)} AS normal_density
             FROM resid JOIN ({STATS}) USING (analysis_id, run_kind)""",
         "resid",
     ),
@@ -871,7 +871,7 @@ ORACLES: dict[str, str] = {
         "resid",
     ),
     "qq_points": _with(
-        f"""SELECT {KEYS}, rn, {r('t')} AS theoretical, {r('error')} AS observed, {r('my + slope * (t - mx)')} AS fitted
+        f"""SELECT {KEYS}, rn, {r('t', 6)} AS theoretical, {r('error', 3)} AS observed, {r('my + slope * (t - mx)', 3)} AS fitted
             FROM (
                 SELECT *, regr_slope(error, t) OVER w AS slope, avg(error) OVER w AS my, avg(t) OVER w AS mx
                 FROM (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ HOLIDAYS = (("01-01", "New Year"), ("05-01", "Labour Day"), ("12-25", "Christmas
 BRAND = "brand"
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables; its schema is looked up once per session (no data are kept)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -117,7 +121,6 @@ def _panel(names: DataFrame, window, **settings) -> DataFrame:
     """One analysis per name: it is the target, all other names are its controls."""
     all_names = names.agg(F.array_sort(F.collect_set("name")).alias("names")).scalar()
     start, campaign_start, end = window
-    defaults = {k: F.lit(v) for k, v in settings.items()}
     return analyses_table(
         names.select(
             F.col("name").alias("analysis_id"),
@@ -127,7 +130,7 @@ def _panel(names: DataFrame, window, **settings) -> DataFrame:
             F.lit(start).cast("date").alias("start"),
             F.lit(campaign_start).cast("date").alias("campaign_start"),
             F.lit(end).cast("date").alias("end"),
-            *[v.alias(k) for k, v in defaults.items()],
+            *[F.lit(v).alias(k) for k, v in settings.items()],
         )
     )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A run is one analysis on one window: the real one, or the placebo just before it.
@@ -86,41 +85,39 @@ ANALYSES = T.StructType(
     ]
 )
 
-def _defaults():
-    off, on = F.lit(False), F.lit(True)
-    return {
-        "keywords": F.array().cast("array<string>"),
-        "country": F.lit(None).cast("string"),
-        "out_perim_usage": off,
-        "visitor_usage": off,
-        "click_usage": off,
-        "impression_usage": off,
-        "npc_usage": off,
-        "gtrend_usage": off,
-        "gtrend_smooth": off,
-        "disable_gtrend": on,
-        "covid_usage": off,
-        "covid_smooth": off,
-        "add_holidays": off,
-        "monthly_seasonality": off,
-        "yearly_seasonality": off,
-        "fix_order": on,
-        "search_model": F.lit("search"),
-        "alpha": F.lit(0.05),
-        "fit_method": F.lit("map"),
-        "spec_thr": F.lit(0.95),
-    }
+# Settings of an analysis that its table does not give, as SQL.
+DEFAULTS = {
+    "keywords": "array()",
+    "country": "null",
+    "out_perim_usage": "false",
+    "visitor_usage": "false",
+    "click_usage": "false",
+    "impression_usage": "false",
+    "npc_usage": "false",
+    "gtrend_usage": "false",
+    "gtrend_smooth": "false",
+    "disable_gtrend": "true",
+    "covid_usage": "false",
+    "covid_smooth": "false",
+    "add_holidays": "false",
+    "monthly_seasonality": "false",
+    "yearly_seasonality": "false",
+    "fix_order": "true",
+    "search_model": "'search'",
+    "alpha": "0.05",
+    "fit_method": "'map'",
+    "spec_thr": "0.95",
+}
 
 
 def analyses_table(df: DataFrame) -> DataFrame:
     """Complete an analyses table: cast the given columns, add defaults for the rest."""
-    defaults = _defaults()
-    missing = [f.name for f in ANALYSES if f.name not in df.columns and f.name not in defaults]
+    missing = [f.name for f in ANALYSES if f.name not in df.columns and f.name not in DEFAULTS]
     if missing:
         raise ValueError(f"analyses table lacks {missing}")
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in df.columns else defaults[f.name]).cast(f.dataType).alias(f.name)
+            f"CAST({f'`{f.name}`' if f.name in df.columns else DEFAULTS[f.name]} AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in ANALYSES
         ]
     )
