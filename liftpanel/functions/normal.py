@@ -6,7 +6,7 @@ import math
 from functools import reduce
 from statistics import NormalDist
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Abramowitz & Stegun (1964), formula 26.2.17, absolute error below 7.5e-8.
@@ -57,17 +57,24 @@ def normal_tail(z: Column) -> Column:
     return F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * t * _poly(TAIL_B, t)
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the normal distribution function for 0 < p < 1."""
-    q = p - 0.5
-    centre_r = 0.180625 - q * q
-    tail_r = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    tail = F.when(
-        tail_r <= 5.0, _poly(TAIL_C, tail_r - 1.6) / _poly(TAIL_D, tail_r - 1.6)
-    ).otherwise(_poly(FAR_E, tail_r - 5.0) / _poly(FAR_F, tail_r - 5.0))
-    return F.when(
-        F.abs(q) <= 0.425, q * _poly(CENTRE_A, centre_r) / _poly(CENTRE_B, centre_r)
-    ).otherwise(F.when(q < 0, -tail).otherwise(tail))
+def with_normal_quantile(df: DataFrame, p: str, out: str) -> DataFrame:
+    """Add ``out``, the inverse of the normal distribution function at column ``p`` (0 < p < 1).
+
+    The arguments of the polynomials become columns of their own first: written in place they would
+    be repeated in every term of the generated code.
+    """
+    q, r, w = F.col("_q"), F.col("_r"), F.col("_w")
+    near, far = F.col("_near"), F.col("_far")
+    tail = F.when(w <= 5.0, _poly(TAIL_C, near) / _poly(TAIL_D, near)).otherwise(_poly(FAR_E, far) / _poly(FAR_F, far))
+    centre = q * _poly(CENTRE_A, r) / _poly(CENTRE_B, r)
+    return (
+        df.withColumn("_q", F.col(p) - 0.5)
+        .withColumn("_w", F.sqrt(-F.ln(F.least(F.col(p), 1 - F.col(p)))))
+        .withColumns({"_r": 0.180625 - q * q, "_near": w - 1.6, "_far": w - 5.0})
+        .withColumn("_tail", tail)
+        .withColumn(out, F.when(F.abs(q) <= 0.425, centre).when(q < 0, -F.col("_tail")).otherwise(F.col("_tail")))
+        .drop("_q", "_w", "_r", "_near", "_far", "_tail")
+    )
 
 
 def two_sided_z(alpha: float) -> float:

@@ -17,52 +17,69 @@ def _pre():
     return F.col("reference_date") < F.col("campaign_start")
 
 
+def _pre_value(use_abs: bool):
+    return F.when(_pre(), F.abs("value") if use_abs else F.col("value"))
+
+
 def dropped_features(features: DataFrame, use_abs: bool = False) -> DataFrame:
     """Regressors whose values before the campaign sum to 0; target and dummies are exempt.
 
     ``use_abs`` keeps columns whose positive and negative values only cancel out.
     """
-    value = F.abs("value") if use_abs else F.col("value")
     return (
         features.where(~F.col("role").isin("target", *DUMMY_ROLES))
         .groupBy(*RUN_KEYS, "feature")
-        .agg(F.sum(F.when(_pre(), value)).alias("pre_sum"))
+        .agg(F.sum(_pre_value(use_abs)).alias("pre_sum"))
         .where(F.col("pre_sum") == 0)
         .select(*RUN_KEYS, "feature", F.lit("pre-period sum is 0").alias("reason"))
     )
 
 
 def drop_dead_features(features: DataFrame, use_abs: bool = False) -> DataFrame:
-    dead = dropped_features(features, use_abs)
-    return features.join(dead.select(*RUN_KEYS, "feature"), [*RUN_KEYS, "feature"], "left_anti")
+    """Drop what dropped_features lists, in the features' own partitioning: no second read, no join."""
+    pre_sum = F.sum(_pre_value(use_abs)).over(Window.partitionBy(*RUN_KEYS, "feature"))
+    exempt = F.col("role").isin("target", *DUMMY_ROLES)
+    return (
+        features.withColumn("_pre_sum", pre_sum)
+        .where(exempt | F.col("_pre_sum").isNull() | (F.col("_pre_sum") != 0))
+        .drop("_pre_sum")
+    )
 
 
-def flat_head(features: DataFrame, win: int = 7) -> DataFrame:
-    """Last day of the target's flat start per run; null where the target moves from the second day on.
+def _with_flat_until(features: DataFrame, win: int) -> DataFrame:
+    """Add ``flat_until`` to the target's rows: the last day of its flat start, null if there is none.
 
     A day is flat if the target did not vary over the trailing ``win`` days. The first day of the
     series is not looked at: a single value never varies.
     """
-    by_day = Window.partitionBy(*RUN_KEYS).orderBy(F.unix_date("reference_date"))
-    spread = (
-        features.where((F.col("role") == "target") & _pre())
-        .withColumn("std", F.stddev_pop("value").over(by_day.rangeBetween(-(win - 1), 0)))
-        .withColumn("rn", F.row_number().over(by_day))
-        .withColumn(
-            "first_live",
-            F.min(F.when((F.col("rn") > 1) & (F.col("std") != 0), F.col("reference_date"))).over(
-                Window.partitionBy(*RUN_KEYS)
-            ),
-        )
+    per_feature = Window.partitionBy(*RUN_KEYS, "feature")
+    by_day = per_feature.orderBy(F.unix_date("reference_date"))
+    target = F.when((F.col("role") == "target") & _pre(), F.col("value"))
+    considered = target.isNotNull() & (F.col("_rn") > 1)
+    live = F.min(F.when(considered & (F.col("_std") != 0), F.col("reference_date"))).over(per_feature)
+    before_live = F.col("_live").isNull() | (F.col("reference_date") < F.col("_live"))
+    flat = considered & (F.col("_std") == 0) & before_live
+    return (
+        features.withColumn("_std", F.stddev_pop(target).over(by_day.rangeBetween(-(win - 1), 0)))
+        .withColumn("_rn", F.row_number().over(by_day))
+        .withColumn("_live", live)
+        .withColumn("flat_until", F.max(F.when(flat, F.col("reference_date"))).over(per_feature))
+        .drop("_std", "_rn", "_live")
     )
-    flat = (F.col("rn") > 1) & (F.col("std") == 0)
-    before_live = F.col("first_live").isNull() | (F.col("reference_date") < F.col("first_live"))
-    return spread.groupBy(*RUN_KEYS).agg(F.max(F.when(flat & before_live, F.col("reference_date"))).alias("flat_until"))
+
+
+def flat_head(features: DataFrame, win: int = 7) -> DataFrame:
+    """Last day of the target's flat start per run; null where the target moves from the second day on."""
+    target = features.where(F.col("role") == "target")
+    return _with_flat_until(target, win).groupBy(*RUN_KEYS).agg(F.max("flat_until").alias("flat_until"))
 
 
 def trim_flat_head(features: DataFrame, win: int = 7) -> DataFrame:
+    """Drop every feature's days up to the end of the target's flat start."""
+    until = F.max("flat_until").over(Window.partitionBy(*RUN_KEYS))
     return (
-        features.join(flat_head(features, win), RUN_KEYS, "left")
+        _with_flat_until(features, win)
+        .withColumn("flat_until", until)
         .where(F.col("flat_until").isNull() | (F.col("reference_date") > F.col("flat_until")))
         .drop("flat_until")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftpanel.functions.normal import normal_pdf, normal_quantile
+from liftpanel.functions.normal import normal_pdf, with_normal_quantile
 from liftpanel.operators import explore
 from liftpanel.schema import RUN_KEYS
 
@@ -22,31 +22,33 @@ def residual_histogram(resid: DataFrame, bins: int = 20, keys=RUN_KEYS) -> DataF
     """Equal-width histogram as a density, with the normal density at each bin's centre.
 
     The normal curve has the residuals' mean and population standard deviation. Empty bins are
-    rows too, so the densities times the width sum to 1.
+    rows too, so the densities times the width sum to 1. Statistics and counts come from the same
+    shuffle: the counts are one conditional aggregate per bin.
     """
-    stats = resid.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("error").alias("lo"),
-        ((F.max("error") - F.min("error")) / bins).alias("width"),
-        F.avg("error").alias("centre"),
-        F.stddev_pop("error").alias("spread"),
-    )
-    bin_of = F.least(
-        F.coalesce(F.floor(F.try_divide(F.col("error") - F.col("lo"), F.col("width"))), F.lit(0)), F.lit(bins - 1)
-    )
+    per_run = Window.partitionBy(*keys)
+    lowest, highest = F.min("error").over(per_run), F.max("error").over(per_run)
+    place = F.floor(F.try_divide(F.col("error") - F.col("lo"), F.col("width")))
     counts = (
-        resid.join(stats.select(*keys, "lo", "width"), keys)
-        .groupBy(*keys, bin_of.cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+        resid.withColumn("lo", lowest)
+        .withColumn("width", (highest - lowest) / bins)
+        .withColumn("bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
+        .groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.first("lo").alias("lo"),
+            F.first("width").alias("width"),
+            F.avg("error").alias("centre"),
+            F.stddev_pop("error").alias("spread"),
+            F.array(*[F.count_if(F.col("bin") == i) for i in range(bins)]).alias("counts"),
+        )
     )
-    every_bin = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     middle = F.col("lo") + (F.col("bin") + 0.5) * F.col("width")
-    return every_bin.join(counts, [*keys, "bin"], "left").select(
+    return counts.select("*", F.posexplode("counts").alias("bin", "rows")).select(
         *keys,
         "bin",
         middle.alias("bin_centre"),
-        F.coalesce("rows", F.lit(0)).alias("rows"),
-        F.try_divide(F.coalesce("rows", F.lit(0)), F.col("n") * F.col("width")).alias("density"),
+        "rows",
+        F.try_divide(F.col("rows"), F.col("n") * F.col("width")).alias("density"),
         normal_pdf(middle, F.col("centre"), F.col("spread")).alias("normal_density"),
     )
 
@@ -85,7 +87,7 @@ def qq_points(resid: DataFrame, keys=RUN_KEYS) -> DataFrame:
     )
     per_run = Window.partitionBy(*keys)
     return (
-        ordered.withColumn("theoretical", normal_quantile(median))
+        with_normal_quantile(ordered.withColumn("median", median), "median", "theoretical")
         .withColumn("slope", F.regr_slope("error", "theoretical").over(per_run))
         .withColumn("intercept", F.avg("error").over(per_run) - F.col("slope") * F.avg("theoretical").over(per_run))
         .select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftpanel.functions.normal import normal_quantile, normal_tail
+from liftpanel.functions.normal import normal_tail, with_normal_quantile
 from liftpanel.schema import RUN_KEYS
 
 # The quantities of a summary, in order.
@@ -94,13 +94,19 @@ def summary(predictions: DataFrame, keys=RUN_KEYS) -> DataFrame:
     else:
         sums += [F.sum("lower").alias("predicted_lower"), F.sum("upper").alias("predicted_upper")]
     total = post.groupBy(*keys).agg(F.count(F.lit(1)).alias("days"), *sums)
-    effects = (
-        total.withColumn("abs_effect", F.col("actual") - F.col("predicted"))
-        .withColumn("abs_effect_lower", F.col("actual") - F.col("predicted_upper"))
-        .withColumn("abs_effect_upper", F.col("actual") - F.col("predicted_lower"))
+    effects = total.withColumns(
+        {
+            "abs_effect": F.col("actual") - F.col("predicted"),
+            "abs_effect_lower": F.col("actual") - F.col("predicted_upper"),
+            "abs_effect_upper": F.col("actual") - F.col("predicted_lower"),
+        }
+    )
+    effects = effects.withColumns(
+        {
+            f"rel_effect{bound}": F.try_divide(F.col(f"abs_effect{bound}"), F.col("predicted"))
+            for bound in ("", "_lower", "_upper")
+        }
     )
-    for name in ("rel_effect", "rel_effect_lower", "rel_effect_upper"):
-        effects = effects.withColumn(name, F.try_divide(F.col(name.replace("rel", "abs")), F.col("predicted")))
     rows = F.array(
         *[
             F.struct(
@@ -116,9 +122,15 @@ def summary(predictions: DataFrame, keys=RUN_KEYS) -> DataFrame:
     return effects.select(*keys, F.inline(rows))
 
 
-def interval_sd(lower: Column, upper: Column, alpha: Column) -> Column:
-    """Standard deviation implied by an interval, with z rounded to 2 decimals."""
-    return F.round(F.try_divide(upper - lower, F.round(normal_quantile(1 - alpha / 2), 2) * 2), 2)
+def with_interval_z(alphas: DataFrame, keys=RUN_KEYS) -> DataFrame:
+    """Keys, alpha and ``z``: the two-sided normal quantile of each run's alpha, to 2 decimals."""
+    tail = alphas.select(*keys, "alpha", (1 - F.col("alpha") / 2).alias("tail"))
+    return with_normal_quantile(tail, "tail", "z").select(*keys, "alpha", F.round("z", 2).alias("z"))
+
+
+def interval_sd(lower: Column, upper: Column) -> Column:
+    """Standard deviation implied by an interval of width 2 z."""
+    return F.round(F.try_divide(upper - lower, F.col("z") * 2), 2)
 
 
 def wide_summary(summary_data: DataFrame, keys=RUN_KEYS) -> DataFrame:
@@ -139,13 +151,13 @@ def _shown(quantity: str, part: str) -> Column:
 
 def effect_sd(summary_data: DataFrame, alphas: DataFrame, keys=RUN_KEYS) -> DataFrame:
     """Standard deviation of prediction, absolute and relative effect, from the rounded bounds."""
-    wide = wide_summary(summary_data, keys).join(alphas, keys)
+    wide = wide_summary(summary_data, keys).join(with_interval_z(alphas, keys), keys)
     rows = F.array(
         *[
             F.struct(
                 F.lit(q).alias("quantity"),
                 *[
-                    interval_sd(_shown(f"{q}_lower", part), _shown(f"{q}_upper", part), F.col("alpha")).alias(part)
+                    interval_sd(_shown(f"{q}_lower", part), _shown(f"{q}_upper", part)).alias(part)
                     for part in ("average", "cumulative")
                 ],
             )
@@ -157,13 +169,13 @@ def effect_sd(summary_data: DataFrame, alphas: DataFrame, keys=RUN_KEYS) -> Data
 
 def summary_report(summary_data: DataFrame, alphas: DataFrame, keys=RUN_KEYS) -> DataFrame:
     """The printed table: seven text rows per run; the interval's label follows alpha."""
-    wide = wide_summary(summary_data, keys).join(alphas, keys)
+    wide = wide_summary(summary_data, keys).join(with_interval_z(alphas, keys), keys)
 
     def text(x: Column) -> Column:
         return F.format_string("%.2f", x)
 
     def value(q, part, unit):
-        sd = interval_sd(_shown(f"{q}_lower", part), _shown(f"{q}_upper", part), F.col("alpha"))
+        sd = interval_sd(_shown(f"{q}_lower", part), _shown(f"{q}_upper", part))
         return F.concat(text(_shown(q, part)), F.lit(f"{unit} ("), text(sd), F.lit(f"{unit})"))
 
     def bounds(q, part, unit):
@@ -197,7 +209,7 @@ def p_value(predictions: DataFrame, keys=RUN_KEYS) -> DataFrame:
     """Tail probability of the observed post sum for independent daily errors of spread ``sd``."""
     post = predictions.where(_post())
     z = F.try_divide(F.sum("observed") - F.sum("mean"), F.sqrt(F.sum(F.col("sd") * F.col("sd"))))
-    return post.groupBy(*keys).agg(normal_tail(z).alias("p_value"))
+    return post.groupBy(*keys).agg(z.alias("z")).select(*keys, normal_tail(F.col("z")).alias("p_value"))
 
 
 def effect_probability(p: Column) -> Column:

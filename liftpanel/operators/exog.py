@@ -62,11 +62,12 @@ def on_calendar(daily: DataFrame, analyses: DataFrame, value: str = "new_cases")
 def exog_series(cumulative: DataFrame, analyses: DataFrame, win: int = 7, round_digits: int | None = 0) -> DataFrame:
     """Role series ``covid`` for all analyses from cumulative counts ``(target, reference_date, cases)``.
 
-    A target without counts gives no rows. Days before the first and after the last report stay
-    unknown here and become 0 in the feature table.
+    An analysis whose target has no usable count gives no rows. Days before the first and after
+    the last report stay unknown here and become 0 in the feature table.
     """
     daily = cumulative_to_daily(daily_total(cumulative, ["target"]), ["target"])
-    with_data = on_calendar(daily, analyses).join(cumulative.select("target").distinct(), "target", "left_semi")
+    known = F.count("new_cases").over(Window.partitionBy("analysis_id"))
+    with_data = on_calendar(daily, analyses).withColumn("known", known).where("known > 0")
     filled = fill_linear(with_data, ["analysis_id"], "reference_date", "new_cases", round_digits)
     return (
         filled.withColumn("mean", trailing_mean("new_cases", ["analysis_id"], win=win))

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftpanel.functions import statespace
 from liftpanel.functions.normal import normal_tail, two_sided_z
+from liftpanel.functions.statespace import Spec, forecast, sample_paths, search, smooth
 from liftpanel.schema import DUMMY_ROLES, ROLE_ORDER, RUN_KEYS
 
 # Fixed value: spread of the trend's prior relative to the target's, see hyperpriors.
@@ -161,11 +161,11 @@ def _fit_one(rows: pd.DataFrame, plan) -> dict:
     observed = rows["observed"].to_numpy(dtype=float)
     columns = np.column_stack([rows["y"].to_numpy(dtype=float)[before], x[before]])
     prior = (plan.prior_alpha, plan.prior_beta) if plan.prior_beta and plan.prior_beta > 0 else None
-    spec = statespace.Spec(plan.candidate, bool(plan.monthly_seasonality), int(plan.ar_order), prior)
-    mode = statespace.search(spec, columns)
+    spec = Spec(plan.candidate, bool(plan.monthly_seasonality), int(plan.ar_order), prior)
+    mode = search(spec, columns)
     if not np.isfinite(mode.score):
         raise ValueError("no finite likelihood")
-    ahead = statespace.forecast(spec, mode.theta, mode.weight, columns, x[~before])
+    ahead = forecast(spec, mode.theta, mode.weight, columns, x[~before])
     z, days = two_sided_z(plan.alpha), (~before).sum()
     level = mean + std * ahead.mean
     lower, upper = level - z * std * ahead.sd, level + z * std * ahead.sd
@@ -176,7 +176,7 @@ def _fit_one(rows: pd.DataFrame, plan) -> dict:
     cum_sd = std * ahead.cum_sd[-1]
     if plan.fit_method == "sample":
         rng = np.random.default_rng(_seed(plan.analysis_id, plan.run_kind, plan.candidate))
-        paths = mean + std * statespace.sample_paths(spec, mode, columns, x[~before], rng)
+        paths = mean + std * sample_paths(spec, mode, columns, x[~before], rng)
         tails = [plan.alpha / 2, 1 - plan.alpha / 2]
         lower[~before], upper[~before] = np.quantile(paths, tails, axis=0)
         level[~before] = paths.mean(axis=0)
@@ -185,7 +185,7 @@ def _fit_one(rows: pd.DataFrame, plan) -> dict:
         cum_lower, cum_upper = np.quantile(sums, tails, axis=0)
         total = observed[~before].sum()
         p_value = min((sums[:, -1] > total).sum(), (sums[:, -1] < total).sum()) / (len(paths) + 1)
-    parts = statespace.smooth(spec, mode.theta, columns, ahead.beta)
+    parts = smooth(spec, mode.theta, columns, ahead.beta)
     gap = [None] * int(before.sum())
     return {
         "p_value": p_value,
@@ -298,21 +298,21 @@ def control_regressions(features: DataFrame, alpha: float = 0.05) -> DataFrame:
     Slope, intercept and residual spread come from the days before the campaign.
     """
     day = Window.partitionBy(*RUN_KEYS, "reference_date")
-    with_target = features.withColumn(
-        "observed", F.max(F.when(F.col("role") == "target", F.col("value"))).over(day)
-    ).where(F.col("role") == "control")
-    keys = [*RUN_KEYS, "campaign_start", "reference_date"]
-    mean = with_target.groupBy(*keys).agg(
-        F.lit("control_mean").alias("candidate"), F.avg("value").alias("x"), F.max("observed").alias("observed")
+    is_target = F.col("role") == "target"
+    rows = (
+        features.where(F.col("role").isin("target", "control"))
+        .withColumn("observed", F.max(F.when(is_target, F.col("value"))).over(day))
+        .withColumn("control_mean", F.avg(F.when(~is_target, F.col("value"))).over(day))
+        # The target's own row stands for the mean of the controls.
+        .withColumn("candidate", F.when(is_target, "control_mean").otherwise(F.col("feature")))
+        .withColumn("x", F.when(is_target, F.col("control_mean")).otherwise(F.col("value")))
     )
-    single = with_target.select(*keys, F.col("feature").alias("candidate"), F.col("value").alias("x"), "observed")
     per_fit = Window.partitionBy(*FIT_KEYS)
     before = F.col("reference_date") < F.col("campaign_start")
     y, x = F.when(before, F.col("observed")), F.when(before, F.col("x"))
     z = two_sided_z(alpha)
     return (
-        mean.unionByName(single)
-        .withColumn("slope", F.coalesce(F.regr_slope(y, x).over(per_fit), F.lit(0.0)))
+        rows.withColumn("slope", F.coalesce(F.regr_slope(y, x).over(per_fit), F.lit(0.0)))
         .withColumn("centre_x", F.avg(x).over(per_fit))
         .withColumn("centre_y", F.avg(y).over(per_fit))
         .withColumn("mean", F.col("centre_y") + F.col("slope") * (F.col("x") - F.col("centre_x")))

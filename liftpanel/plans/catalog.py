@@ -116,8 +116,8 @@ def _residuals(spark, sf_dir) -> DataFrame:
     return diagnostics.residuals(_inferences(spark, sf_dir)).withColumn("error", F.round("error", 3))
 
 
-def _alphas(df: DataFrame) -> DataFrame:
-    return df.select(*RUN_KEYS).distinct().withColumn("alpha", F.lit(ALPHA))
+def _alphas(spark, sf_dir) -> DataFrame:
+    return runs_ops.expand_runs(W.region_analyses(spark, sf_dir, alpha=ALPHA)).select(*RUN_KEYS, "alpha")
 
 
 # --- sources ----------------------------------------------------------------------------------
@@ -612,13 +612,13 @@ def effect_summary(spark, sf_dir):
 @query
 def effect_sd(spark, sf_dir):
     data = effects.summary(_predictions(spark, sf_dir))
-    return effects.effect_sd(data, _alphas(data))
+    return effects.effect_sd(data, _alphas(spark, sf_dir))
 
 
 @query
 def effect_report(spark, sf_dir):
     data = effects.summary(_predictions(spark, sf_dir))
-    return effects.summary_report(data, _alphas(data))
+    return effects.summary_report(data, _alphas(spark, sf_dir))
 
 
 @query(digits=6)
@@ -637,7 +637,7 @@ def residuals(spark, sf_dir):
     return diagnostics.residuals(_inferences(spark, sf_dir))
 
 
-@query(bin_centre=3, density=12, normal_density=12)
+@query(bin_centre=6, density=12, normal_density=12)
 def residual_hist(spark, sf_dir):
     return diagnostics.residual_histogram(_residuals(spark, sf_dir))
 

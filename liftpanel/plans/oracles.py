@@ -843,7 +843,7 @@ ORACLES: dict[str, str] = {
         "effect",
     ),
     "residual_hist": _with(
-        f"""SELECT b.analysis_id, b.run_kind, b.bin, {r('b.middle', 3)} AS bin_centre, coalesce(c.rows, 0) AS rows,
+        f"""SELECT b.analysis_id, b.run_kind, b.bin, {r('b.middle', 6)} AS bin_centre, coalesce(c.rows, 0) AS rows,
                    {r('coalesce(c.rows, 0) / (b.n * b.width)', 12)} AS density,
                    {r(NORMAL_DENSITY.format('b.middle'), 12)} AS normal_density
             FROM (SELECT *, lo + (bin + 0.5) * width AS middle

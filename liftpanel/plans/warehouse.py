@@ -183,10 +183,14 @@ def line_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_brand(by_keyword: DataFrame) -> DataFrame:
-    """Add the world-wide brand series: all keywords of all markets together."""
-    brand = by_keyword.groupBy("reference_date").agg(F.sum("value").alias("value"))
-    return by_keyword.unionByName(
-        brand.select(F.lit("").alias("geo"), F.lit(BRAND).alias("keyword"), "reference_date", "value")
+    """Add the world-wide brand series: all keywords of all markets together, in the same pass."""
+    twice = F.array(
+        F.struct("geo", "keyword"), F.struct(F.lit("").alias("geo"), F.lit(BRAND).alias("keyword"))
+    )
+    return (
+        by_keyword.select(F.inline(twice), "reference_date", "value")
+        .groupBy("geo", "keyword", "reference_date")
+        .agg(F.sum("value").alias("value"))
     )
 
 

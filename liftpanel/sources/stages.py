@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and go on from the reliable copy, so lost executors cost no refit."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write ``df`` to a table of its own in the shared folder and go on from there.
+
+    Lost executors then cost no refit, later readers take only the columns they need, and their
+    plans know the table's real size. The table stays until the folder is cleared.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/liftpanel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_stage(df: DataFrame, path: str, partition_by=("analysis_id",)) -> None:
