@@ -38,14 +38,12 @@ def lag_sums(series: DataFrame, nlags: int, keys=RUN_KEYS, order="reference_date
     All lags are offsets in one ordered window, so the series is shuffled and sorted once and no
     row is joined or repeated per lag.
     """
-    ordered = Window.partitionBy(*keys).orderBy(order)
     centred = series.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
-    lagged = centred.select(
-        *keys, *[(F.col("_d") * F.lag("_d", k).over(ordered)).alias(f"_p{k}") for k in range(nlags + 1)]
-    )
-    return lagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)) for k in range(nlags + 1)]).alias("s"),
+    over = f"(PARTITION BY {', '.join(keys)} ORDER BY {order})"
+    products = [f"_d * lag(_d, {k}) OVER {over} AS _p{k}" for k in range(nlags + 1)]
+    sums = ", ".join(f"coalesce(sum(_p{k}), 0.0D)" for k in range(nlags + 1))
+    return (
+        centred.selectExpr(*keys, *products).groupBy(*keys).agg(F.expr("count(1) AS n"), F.expr(f"array({sums}) AS s"))
     )
 
 

@@ -112,8 +112,16 @@ def _inferences(spark, sf_dir) -> DataFrame:
 
 
 def _residuals(spark, sf_dir) -> DataFrame:
-    """Residuals rounded to 3 digits, so that bins and ranks do not hang on the last bit."""
-    return diagnostics.residuals(_inferences(spark, sf_dir)).withColumn("error", F.round("error", 3))
+    """Residuals rounded to 2 digits, so that bins and ranks do not hang on the last bit."""
+    return diagnostics.residuals(_inferences(spark, sf_dir)).withColumn("error", F.round("error", 2))
+
+
+def _summary_shown(data: DataFrame) -> DataFrame:
+    """Amounts in cents, shares to 6 digits."""
+    share = F.col("quantity").startswith("rel")
+    return data.withColumns(
+        {c: F.when(share, F.round(c, 6)).otherwise(F.round(c, 2)) for c in ("average", "cumulative")}
+    )
 
 
 def _alphas(spark, sf_dir) -> DataFrame:
@@ -480,7 +488,7 @@ def target_corr(spark, sf_dir):
 # --- model ------------------------------------------------------------------------------------
 
 
-@query(digits=3)
+@query(digits=2)
 def weekly_seasonal(spark, sf_dir):
     return stationarity.seasonal_additive(explore.pre_target(_features(spark, sf_dir)))
 
@@ -530,7 +538,7 @@ def design_moments(spark, sf_dir):
     return model.design_moments(_features(spark, sf_dir))
 
 
-@query(digits=3)
+@query(digits=2)
 def single_control_fit(spark, sf_dir):
     return _predictions(spark, sf_dir)
 
@@ -560,7 +568,7 @@ def importance(spark, sf_dir):
 # --- selection --------------------------------------------------------------------------------
 
 
-@query(error=3, perc_error=6)
+@query(error=2, perc_error=6)
 def inference_errors(spark, sf_dir):
     return effects.errors(_predictions(spark, sf_dir)).select(*RUN_KEYS, "reference_date", "error", "perc_error")
 
@@ -590,23 +598,23 @@ def selected_model(spark, sf_dir):
 # --- effects and diagnostics ------------------------------------------------------------------
 
 
-@query(digits=3)
+@query(digits=2)
 def point_effects(spark, sf_dir):
     return _inferences(spark, sf_dir).select(
         *RUN_KEYS, "reference_date", *[f"point_effects_{b}" for b in ("means", "lower", "upper")]
     )
 
 
-@query(digits=3)
+@query(digits=1)
 def cumulative_effects(spark, sf_dir):
     return _inferences(spark, sf_dir).select(
         *RUN_KEYS, "reference_date", *[f"post_cum_effects_{b}" for b in ("means", "lower", "upper")]
     )
 
 
-@query
+@query(digits=6)
 def effect_summary(spark, sf_dir):
-    return effects.summary(_predictions(spark, sf_dir))
+    return _summary_shown(effects.summary(_predictions(spark, sf_dir)))
 
 
 @query
@@ -627,12 +635,12 @@ def effect_probability(spark, sf_dir):
     return p.withColumn("probability", effects.effect_probability(F.round("p_value", 6)))
 
 
-@query
+@query(digits=2)
 def plot_bounds(spark, sf_dir):
     return effects.plot_bounds(_inferences(spark, sf_dir))
 
 
-@query(digits=3, perc_error=6)
+@query(digits=2, perc_error=6)
 def residuals(spark, sf_dir):
     return diagnostics.residuals(_inferences(spark, sf_dir))
 
@@ -642,7 +650,7 @@ def residual_hist(spark, sf_dir):
     return diagnostics.residual_histogram(_residuals(spark, sf_dir))
 
 
-@query(error=3, normal_density=12)
+@query(error=2, normal_density=12)
 def residual_density(spark, sf_dir):
     return diagnostics.residual_density(_residuals(spark, sf_dir))
 
@@ -657,7 +665,7 @@ def relative_error(spark, sf_dir):
     return diagnostics.relative_error(_residuals(spark, sf_dir))
 
 
-@query(digits=3, theoretical=6)
+@query(digits=2, theoretical=6)
 def qq_points(spark, sf_dir):
     return diagnostics.qq_points(_residuals(spark, sf_dir))
 
@@ -665,9 +673,9 @@ def qq_points(spark, sf_dir):
 # --- placebo and register ---------------------------------------------------------------------
 
 
-@query
+@query(digits=6)
 def placebo_summary(spark, sf_dir):
-    return effects.summary(_predictions(spark, sf_dir).where(F.col("run_kind") == "spec"))
+    return _summary_shown(effects.summary(_predictions(spark, sf_dir).where(F.col("run_kind") == "spec")))
 
 
 @query(digits=6)

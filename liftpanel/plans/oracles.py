@@ -346,7 +346,7 @@ CTES["effect"] = (
     ("pred",),
 )
 CTES["resid"] = (
-    f"SELECT {KEYS}, d, observed, {r('error', 3)} AS error, perc_error FROM effect WHERE d < cs",
+    f"SELECT {KEYS}, d, observed, {r('error', 2)} AS error, perc_error FROM effect WHERE d < cs",
     ("effect",),
 )
 CTES["totals_post"] = (
@@ -513,8 +513,8 @@ def _period_status(first: str, last: str, yearly: str) -> str:
                {year} AS yearly_ok, CASE WHEN {pre} AND {post} AND {year} THEN 'ok' ELSE 'period too short' END AS status"""
 
 
-def _bounds(prefix: str, columns: dict[str, str]) -> str:
-    return ", ".join(f"{r(c, 3)} AS {prefix}_{name}" for name, c in columns.items())
+def _bounds(prefix: str, digits: int, columns: dict[str, str]) -> str:
+    return ", ".join(f"{r(c, digits)} AS {prefix}_{name}" for name, c in columns.items())
 
 
 STATS = f"""
@@ -564,6 +564,10 @@ def _wide(source: str, columns) -> str:
 PERIOD = "CASE WHEN d < cs THEN 'pre' ELSE 'post' END"
 FEATURE_ROW = f"{KEYS}, {day('cs')} AS campaign_start, role, feature, {day('d')} AS reference_date, {r('value')} AS value"
 
+SUMMARY_SHOWN = f"SELECT {KEYS}, quantity_ord, quantity, " + ", ".join(
+    f"CASE WHEN quantity LIKE 'rel%' THEN {r(c, 6)} ELSE {r(c, 2)} END AS {c}" for c in ("average", "cumulative")
+)
+
 ORACLES: dict[str, str] = {
     "read_fact_range": f"""
         SELECT l_orderkey, l_partkey, {day('CAST(l_shipdate AS DATE)')} AS day, l_quantity, l_extendedprice
@@ -746,8 +750,8 @@ ORACLES: dict[str, str] = {
         "changes", "shares",
     ),
     "weekly_seasonal": _with(
-        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('value', 3)} AS value, {r('trend', 3)} AS trend,
-                   {r('seasonal', 3)} AS seasonal, {r('value - seasonal', 3)} AS deseasonal FROM seasonal""",
+        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('value', 2)} AS value, {r('trend', 2)} AS trend,
+                   {r('seasonal', 2)} AS seasonal, {r('value - seasonal', 2)} AS deseasonal FROM seasonal""",
         "seasonal",
     ),
     "trend_candidates": """
@@ -783,12 +787,12 @@ ORACLES: dict[str, str] = {
         "scaled",
     ),
     "single_control_fit": _with(
-        f"""SELECT {KEYS}, {day('cs')} AS campaign_start, {day('d')} AS reference_date, {r('observed', 3)} AS observed,
-                   {r('mean', 3)} AS mean, {r('lower', 3)} AS lower, {r('upper', 3)} AS upper, {r('sd', 3)} AS sd FROM pred""",
+        f"""SELECT {KEYS}, {day('cs')} AS campaign_start, {day('d')} AS reference_date, {r('observed', 2)} AS observed,
+                   {r('mean', 2)} AS mean, {r('lower', 2)} AS lower, {r('upper', 2)} AS upper, {r('sd', 2)} AS sd FROM pred""",
         "pred",
     ),
     "inference_errors": _with(
-        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('error', 3)} AS error, {r('perc_error', 6)} AS perc_error
+        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('error', 2)} AS error, {r('perc_error', 6)} AS perc_error
             FROM effect""",
         "effect",
     ),
@@ -804,15 +808,15 @@ ORACLES: dict[str, str] = {
         f"SELECT {KEYS}, candidate, mape, CAST(candidate_ord AS INTEGER) AS candidate_ord FROM winner", "winner"
     ),
     "point_effects": _with(
-        f"SELECT {KEYS}, {day('d')} AS reference_date, {_bounds('point_effects', {'means': 'pm', 'lower': 'pl', 'upper': 'pu'})} FROM effect",
+        f"SELECT {KEYS}, {day('d')} AS reference_date, {_bounds('point_effects', 2, {'means': 'pm', 'lower': 'pl', 'upper': 'pu'})} FROM effect",
         "effect",
     ),
     "cumulative_effects": _with(
-        f"SELECT {KEYS}, {day('d')} AS reference_date, {_bounds('post_cum_effects', {'means': 'cm', 'lower': 'cl', 'upper': 'cu'})} FROM effect",
+        f"SELECT {KEYS}, {day('d')} AS reference_date, {_bounds('post_cum_effects', 1, {'means': 'cm', 'lower': 'cl', 'upper': 'cu'})} FROM effect",
         "effect",
     ),
     "effect_summary": _with(
-        f"SELECT {KEYS}, quantity_ord, quantity, {r('average')} AS average, {r('cumulative')} AS cumulative FROM summary",
+        SUMMARY_SHOWN + " FROM summary",
         "summary",
     ),
     "effect_sd": _with(
@@ -830,15 +834,15 @@ ORACLES: dict[str, str] = {
     ),
     "plot_bounds": _with(
         f"""SELECT {KEYS},
-                   {r('least(min(observed), min(mean), min(lower))')} AS min_observed,
-                   {r('greatest(max(observed), max(mean), max(upper))')} AS max_observed,
-                   {r('least(min(pm), min(pl))')} AS min_point, {r('greatest(max(pm), max(pu))')} AS max_point,
-                   {r('least(min(cm), min(cl))')} AS min_cumulative, {r('greatest(max(cm), max(cu))')} AS max_cumulative
+                   {r('least(min(observed), min(mean), min(lower))', 2)} AS min_observed,
+                   {r('greatest(max(observed), max(mean), max(upper))', 2)} AS max_observed,
+                   {r('least(min(pm), min(pl))', 2)} AS min_point, {r('greatest(max(pm), max(pu))', 2)} AS max_point,
+                   {r('least(min(cm), min(cl))', 2)} AS min_cumulative, {r('greatest(max(cm), max(cu))', 2)} AS max_cumulative
             FROM effect GROUP BY {KEYS}""",
         "effect",
     ),
     "residuals": _with(
-        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('observed', 3)} AS observed, {r('error', 3)} AS error,
+        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('observed', 2)} AS observed, {r('error', 2)} AS error,
                    {r('perc_error', 6)} AS perc_error FROM effect WHERE d < cs""",
         "effect",
     ),
@@ -855,7 +859,7 @@ ORACLES: dict[str, str] = {
         "resid",
     ),
     "residual_density": _with(
-        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('error', 3)} AS error,
+        f"""SELECT {KEYS}, {day('d')} AS reference_date, {r('error', 2)} AS error,
                    {r(NORMAL_DENSITY.format('error'), 12)} AS normal_density
             FROM resid JOIN ({STATS}) USING (analysis_id, run_kind)""",
         "resid",
@@ -871,7 +875,7 @@ ORACLES: dict[str, str] = {
         "resid",
     ),
     "qq_points": _with(
-        f"""SELECT {KEYS}, rn, {r('t', 6)} AS theoretical, {r('error', 3)} AS observed, {r('my + slope * (t - mx)', 3)} AS fitted
+        f"""SELECT {KEYS}, rn, {r('t', 6)} AS theoretical, {r('error', 2)} AS observed, {r('my + slope * (t - mx)', 2)} AS fitted
             FROM (
                 SELECT *, regr_slope(error, t) OVER w AS slope, avg(error) OVER w AS my, avg(t) OVER w AS mx
                 FROM (
@@ -885,8 +889,7 @@ ORACLES: dict[str, str] = {
         "resid",
     ),
     "placebo_summary": _with(
-        f"""SELECT {KEYS}, quantity_ord, quantity, {r('average')} AS average, {r('cumulative')} AS cumulative
-            FROM summary WHERE run_kind = 'spec'""",
+        SUMMARY_SHOWN + " FROM summary WHERE run_kind = 'spec'",
         "summary",
     ),
     "placebo_verdict": _with(
