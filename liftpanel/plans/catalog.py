@@ -117,10 +117,13 @@ def _residuals(spark, sf_dir) -> DataFrame:
 
 
 def _summary_shown(data: DataFrame) -> DataFrame:
-    """Amounts in cents, shares to 6 digits."""
+    """Sums in cents, averages finer (a sum of cents over 92 days can end on half a cent), shares to 6 digits."""
     share = F.col("quantity").startswith("rel")
     return data.withColumns(
-        {c: F.when(share, F.round(c, 6)).otherwise(F.round(c, 2)) for c in ("average", "cumulative")}
+        {
+            c: F.when(share, F.round(c, 6)).otherwise(F.round(c, digits))
+            for c, digits in (("average", 4), ("cumulative", 2))
+        }
     )
 
 
@@ -670,6 +673,18 @@ def qq_points(spark, sf_dir):
     return diagnostics.qq_points(_residuals(spark, sf_dir))
 
 
+@query(digits=6)
+def nation_effect_summary(spark, sf_dir):
+    """The flagship summary for every nation, with all other nations as its controls."""
+    analyses = W.nation_analyses(spark, sf_dir)
+    fact = W.fact_marketing(spark, sf_dir, analyses)
+    measures = [m for m in W.role_measures() if m.role in ("target", "control")]
+    series = extract.extract_series(fact, analyses, "date", "source_medium", measures)
+    regressions = model.control_regressions(features.feature_long(series, runs_ops.expand_runs(analyses)), ALPHA)
+    predictions = regressions.where(F.col("candidate") == "control_mean").drop("candidate")
+    return _summary_shown(effects.summary(predictions))
+
+
 # --- placebo and register ---------------------------------------------------------------------
 
 

@@ -565,7 +565,8 @@ PERIOD = "CASE WHEN d < cs THEN 'pre' ELSE 'post' END"
 FEATURE_ROW = f"{KEYS}, {day('cs')} AS campaign_start, role, feature, {day('d')} AS reference_date, {r('value')} AS value"
 
 SUMMARY_SHOWN = f"SELECT {KEYS}, quantity_ord, quantity, " + ", ".join(
-    f"CASE WHEN quantity LIKE 'rel%' THEN {r(c, 6)} ELSE {r(c, 2)} END AS {c}" for c in ("average", "cumulative")
+    f"CASE WHEN quantity LIKE 'rel%' THEN {r(c, 6)} ELSE {r(c, digits)} END AS {c}"
+    for c, digits in (("average", 4), ("cumulative", 2))
 )
 
 ORACLES: dict[str, str] = {
@@ -909,3 +910,15 @@ ORACLES: dict[str, str] = {
         "fact",
     ),
 }
+
+
+def _for_nations(sql: str) -> str:
+    """The same query with nations in the place of regions."""
+    return (
+        sql.replace("r_name AS country_code", "n_name AS country_code")
+        .replace("r_name AS analysis_id, r_name AS target", "n_name AS analysis_id, n_name AS target")
+        .replace("FROM region)", "FROM nation)")
+    )
+
+
+ORACLES["nation_effect_summary"] = _for_nations(ORACLES["effect_summary"])

@@ -1,0 +1,122 @@
+"""The filter against the dense normal distribution of the same model."""
+
+import numpy as np
+import pytest
+
+from liftpanel.functions import statespace as S
+
+
+def dense_covariance(spec, theta, n):
+    """Covariance of the noise-and-state part of the first n observations."""
+    move, noise, obs, pick, start, _ = S.system(spec, theta[None, :])
+    move, noise, start = move[0], noise[0], start[0]
+    state = [np.diag(start)]
+    for _ in range(n - 1):
+        state.append(move @ state[-1] @ move.T + np.diag(noise))
+    out = np.zeros((n, n))
+    for t in range(n):
+        ahead = state[t]
+        for u in range(t, n):
+            out[t, u] = out[u, t] = pick @ ahead @ pick
+            ahead = move @ ahead
+    return out + obs[0] * np.eye(n)
+
+
+def case(trend, monthly=False, order=2, n=30, h=5, seed=0):
+    rng = np.random.default_rng(seed)
+    spec = S.Spec(trend, monthly, order)
+    theta = np.where(spec.is_scale(), np.log(0.3), 0.4) + 0.1 * rng.standard_normal(len(spec.parameters))
+    x = rng.standard_normal((n + h, 2))
+    y = rng.standard_normal(n)
+    weight = np.array([2.0, 3.0])
+    return spec, theta, weight, np.column_stack([y, x[:n]]), x[n:], dense_covariance(spec, theta, n + h), x
+
+
+@pytest.mark.parametrize("trend", S.TRENDS)
+@pytest.mark.parametrize("monthly", [False, True])
+def test_likelihood_and_forecast(trend, monthly):
+    n = 36
+    spec, theta, weight, columns, future, cov, x = case(trend, monthly, n=n)
+    cov = cov + x @ np.diag(1 / weight) @ x.T
+    a, y = cov[:n, :n], columns[:, 0]
+    expected = -0.5 * (np.linalg.slogdet(2 * np.pi * a)[1] + y @ np.linalg.solve(a, y))
+    innovations, variances, *_ = S.run_filter(columns, S.system(spec, theta[None, :]))
+    assert S.regress(innovations, variances, weight)[2][0] == pytest.approx(expected, rel=1e-9)
+    ahead = S.forecast(spec, theta, weight, columns, future)
+    mean = cov[n:, :n] @ np.linalg.solve(a, y)
+    left = cov[n:, n:] - cov[n:, :n] @ np.linalg.solve(a, cov[:n, n:])
+    np.testing.assert_allclose(ahead.mean[n:], mean, atol=1e-8)
+    np.testing.assert_allclose(ahead.sd[n:], np.sqrt(np.diag(left)), rtol=1e-8)
+    sums = np.tril(np.ones((len(future), len(future))))
+    np.testing.assert_allclose(ahead.cum_sd, np.sqrt(np.diag(sums @ left @ sums.T)), rtol=1e-8)
+    np.testing.assert_allclose(ahead.cum_mean, sums @ mean, atol=1e-8)
+
+
+@pytest.mark.parametrize("trend", S.TRENDS)
+def test_one_step_predictions(trend):
+    n = 20
+    spec, theta, weight, columns, future, cov, x = case(trend, n=n)
+    ahead = S.forecast(spec, theta, weight, columns, future)
+    y, beta = columns[:, 0], ahead.beta
+    rest = y - columns[:, 1:] @ beta
+    for t in range(1, n):
+        expected = columns[t, 1:] @ beta + cov[t, :t] @ np.linalg.solve(cov[:t, :t], rest[:t])
+        assert ahead.mean[t] == pytest.approx(expected, abs=1e-8)
+
+
+def test_components_add_up_to_the_smoothed_signal():
+    n = 40
+    spec, theta, weight, columns, future, cov, _ = case("local_linear", n=n)
+    beta = S.forecast(spec, theta, weight, columns, future).beta
+    parts = S.smooth(spec, theta, columns, beta)
+    assert set(parts) == {"Trend", "Weekly", "Auto-regressive", "Linear Regression"}
+    cov = cov[:n, :n]
+    noise = S.system(spec, theta[None, :])[2][0]
+    rest = columns[:, 0] - columns[:, 1:] @ beta
+    signal = (cov - noise * np.eye(n)) @ np.linalg.solve(cov, rest)
+    np.testing.assert_allclose(sum(parts.values()) - parts["Linear Regression"], signal, atol=1e-8)
+
+
+def test_settings_are_independent_of_their_batch():
+    spec, theta, weight, columns, *_ = case("semi_local_linear")
+    many = theta + np.linspace(-0.5, 0.5, 7)[:, None]
+    together = S.regress(*S.run_filter(columns, S.system(spec, many))[:2], weight)[2]
+    alone = [S.regress(*S.run_filter(columns, S.system(spec, m[None, :]))[:2], weight)[2][0] for m in many]
+    np.testing.assert_allclose(together, alone)
+
+
+def test_search_finds_the_useful_regressor_and_beats_its_start():
+    rng = np.random.default_rng(2)
+    n = 300
+    x = rng.standard_normal((n + 30, 6))
+    y = 0.9 * x[:, 2] + np.cumsum(0.05 * rng.standard_normal(n + 30)) + 0.3 * rng.standard_normal(n + 30)
+    y = (y - y[:n].mean()) / y[:n].std()
+    spec = S.Spec("local_level", False, 1, (2.2, 0.05))
+    columns = np.column_stack([y[:n], x[:n]])
+    mode = S.search(spec, columns)
+    ahead = S.forecast(spec, mode.theta, mode.weight, columns, x[n:])
+    assert np.argmax(np.abs(ahead.beta)) == 2
+    assert np.abs(np.delete(ahead.beta, 2)).max() < 0.1
+    paths = S.sample_paths(spec, mode, columns, x[n:], np.random.default_rng(0))
+    assert paths.shape == (1000, 30)
+    assert np.abs(paths.mean(axis=0) - ahead.mean[n:]).max() < 0.5
+    again = S.sample_paths(spec, mode, columns, x[n:], np.random.default_rng(0))
+    np.testing.assert_array_equal(paths, again)
+
+
+def test_no_regressors_and_unknown_trend():
+    rng = np.random.default_rng(3)
+    columns = rng.standard_normal((60, 1))
+    spec = S.Spec("no_trend")
+    mode = S.search(spec, columns, rounds=3)
+    ahead = S.forecast(spec, mode.theta, mode.weight, columns, np.empty((5, 0)))
+    assert ahead.mean.shape == (65,) and np.isfinite(ahead.sd).all()
+    with pytest.raises(ValueError, match="unknown trend"):
+        S.Spec("quadratic")
+
+
+def test_partial_autocorrelations_give_a_stationary_process():
+    rng = np.random.default_rng(4)
+    partial = np.tanh(rng.standard_normal((50, 4)))
+    for phi in S._ar_coefficients(partial):
+        assert np.abs(np.roots(np.r_[1, -phi])).max() < 1
