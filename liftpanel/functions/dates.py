@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,22 @@ def month_starts(lo, hi) -> Column:
     return F.sequence(F.trunc(_c(lo), "MM"), F.trunc(_c(hi), "MM"), F.expr("interval 1 month"))
 
 
+def join_windows(rows: DataFrame, windows: DataFrame, on: list[str], lo: str, hi: str) -> DataFrame:
+    """Join daily rows to the windows [lo, hi] that hold their ``reference_date``.
+
+    Windows are spread over the months they touch and the month joins the key. A key that most
+    windows ask for (a popular control, the brand) is thereby split by time instead of meeting all
+    its rows in one task, and rows are only compared with windows of their own month.
+    """
+    spread = windows.withColumn("_month", F.explode(month_starts(lo, hi)))
+    return (
+        rows.withColumn("_month", F.trunc("reference_date", "MM"))
+        .join(spread, [*on, "_month"])
+        .where(F.col("reference_date").between(F.col(lo), F.col(hi)))
+        .drop("_month")
+    )
+
+
 def days(lo, hi) -> Column:
     """Array with every day of [lo, hi]."""
     return F.sequence(_c(lo), _c(hi), F.expr("interval 1 day"))

@@ -105,13 +105,11 @@ def role_requests(analyses: DataFrame) -> DataFrame:
 
 
 def series_for_analyses(daily: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Hand the daily role table out to the analyses: hash join on role and dimension, bounded by day."""
-    requests = role_requests(analyses)
-    return (
-        daily.join(requests, ["role", "campaign_dimension"])
-        .where(F.col("reference_date").between(F.col("data_start"), F.col("data_end")))
-        .select("analysis_id", "role", "campaign_dimension", "reference_date", "value")
+    """Hand the daily role table out to the analyses: hash join on role, dimension and month."""
+    matched = D.join_windows(
+        daily, role_requests(analyses), ["role", "campaign_dimension"], "data_start", "data_end"
     )
+    return matched.select("analysis_id", "role", "campaign_dimension", "reference_date", "value")
 
 
 def extract_series(

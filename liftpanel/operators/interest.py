@@ -44,12 +44,9 @@ def interest_requests(analyses: DataFrame, brand: str | None = None) -> DataFram
 
 def interest_for_analyses(interest: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows of an interest table that fall into the week-aligned window of each request."""
-    return (
-        interest.withColumnRenamed("keyword", "source_keyword")
-        .join(requests, ["geo", "source_keyword"])
-        .where(F.col("reference_date").between(F.col("from_day"), F.col("to_day")))
-        .select(*SERIES_KEYS, "gtrend_smooth", "reference_date", "value")
-    )
+    rows = interest.withColumnRenamed("keyword", "source_keyword")
+    matched = D.join_windows(rows, requests, ["geo", "source_keyword"], "from_day", "to_day")
+    return matched.select(*SERIES_KEYS, "gtrend_smooth", "reference_date", "value")
 
 
 def monthly_scale(weekly: DataFrame, keys=SERIES_KEYS) -> DataFrame:

@@ -237,7 +237,10 @@ def fit_sts(features: DataFrame, plan: DataFrame, scope: str = "pre", partitions
     explicit partition count keeps adaptive execution from packing these small but slow groups
     into few tasks; groups beyond the cores simply queue.
     """
-    n = partitions or 4 * features.sparkSession.sparkContext.defaultParallelism
+    spark = features.sparkSession
+    # Under dynamic allocation few cores may be known yet, the shuffle setting says what is meant.
+    meant = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(4 * spark.sparkContext.defaultParallelism, meant)
     rows = design(features, scope).drop("campaign_start").join(plan.select(*FIT_KEYS), RUN_KEYS)
     plan = plan.select(*[F.col(c).alias(c) for c in plan.columns])
     fits = (

@@ -398,7 +398,8 @@ def features_long(spark, sf_dir):
 
 @query
 def features_wide(spark, sf_dir):
-    return features.feature_wide(_features(spark, sf_dir, "visitor", visitor_usage=True))
+    """Names and values come from the stored feature table, so the fact is read once."""
+    return features.feature_wide(stages.cut_lineage(_features(spark, sf_dir, "visitor", visitor_usage=True)))
 
 
 @query
