@@ -128,9 +128,14 @@ def with_interval_z(alphas: DataFrame, keys=RUN_KEYS) -> DataFrame:
     return with_normal_quantile(tail, "tail", "z").select(*keys, "alpha", F.round("z", 2).alias("z"))
 
 
+def cents(x: Column) -> Column:
+    """Two decimals, half up, decided on six: the last bits of a long sum must not tip a half cent."""
+    return F.round(x.try_cast("decimal(38,6)"), 2).cast("double")
+
+
 def interval_sd(lower: Column, upper: Column) -> Column:
     """Standard deviation implied by an interval of width 2 z."""
-    return F.round(F.try_divide(upper - lower, F.col("z") * 2), 2)
+    return cents(F.try_divide(upper - lower, F.col("z") * 2))
 
 
 def wide_summary(summary_data: DataFrame, keys=RUN_KEYS) -> DataFrame:
@@ -146,7 +151,7 @@ def wide_summary(summary_data: DataFrame, keys=RUN_KEYS) -> DataFrame:
 
 def _shown(quantity: str, part: str) -> Column:
     scale = 100.0 if quantity.startswith("rel") else 1.0
-    return F.round(F.col(f"{quantity}_{part}") * scale, 2)
+    return cents(F.col(f"{quantity}_{part}") * scale)
 
 
 def effect_sd(summary_data: DataFrame, alphas: DataFrame, keys=RUN_KEYS) -> DataFrame:

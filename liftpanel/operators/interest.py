@@ -88,10 +88,19 @@ def smooth_interest(series: DataFrame, keys=SERIES_KEYS, win: int = 7) -> DataFr
 def interest_series(
     weekly: DataFrame, daily: DataFrame, analyses: DataFrame, brand: str | None = None, win: int = 7
 ) -> DataFrame:
-    """Role series ``gtrend`` for all analyses. Keywords without data simply give no rows."""
+    """Role series ``gtrend`` for all analyses.
+
+    Keywords without weekly or without daily data give no rows: nothing could be scaled.
+    """
     requests = interest_requests(analyses, brand)
     scale = monthly_scale(interest_for_analyses(weekly, requests))
-    scaled = rescale_interest(interest_for_analyses(daily, requests), scale)
+    known = F.count("value").over(Window.partitionBy(*SERIES_KEYS))
+    scaled = (
+        rescale_interest(interest_for_analyses(daily, requests), scale)
+        .withColumn("known", known)
+        .where("known > 0")
+        .drop("known")
+    )
     return smooth_interest(scaled, win=win).select(
         "analysis_id",
         F.lit("gtrend").alias("role"),

@@ -17,6 +17,10 @@ def r(expr: str, digits: int = 4) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
+def cents(expr: str) -> str:
+    return f"(CAST(round(CAST({expr} AS DECIMAL(38, 6)), 2) AS DOUBLE) + 0.0)"
+
+
 def day(expr: str) -> str:
     return f"CAST({expr} AS VARCHAR)"
 
@@ -376,7 +380,7 @@ CTES["summary"] = (" UNION ALL ".join(_quantity(i, q) for i, q in enumerate(QUAN
 
 def _cell(quantity: str, part: str) -> str:
     factor = " * 100.0" if quantity.startswith("rel") else ""
-    return f"{r(f'max({part}) FILTER (quantity = {quantity!r}){factor}', 2)}"
+    return cents(f"max({part}) FILTER (quantity = {quantity!r}){factor}")
 
 
 CTES["wide_summary"] = (
@@ -388,7 +392,7 @@ CTES["wide_summary"] = (
 
 
 def _sd(q: str, part: str) -> str:
-    return r(f"({q}_upper_{part} - {q}_lower_{part}) / (1.96 * 2)", 2)
+    return cents(f"({q}_upper_{part} - {q}_lower_{part}) / (1.96 * 2)")
 
 
 CTES["scores"] = (

@@ -76,6 +76,12 @@ def test_summary_report_and_sd(spark):
     assert report[5].average.endswith("%)") and report[6].average.startswith("[")
 
 
+def test_half_a_cent_is_not_decided_by_noise(spark):
+    values = [(2.675, 2.68), (3070645.39499999999, 3070645.4), (3070645.3950000004, 3070645.4), (-0.005, -0.01), (0.0049, 0.0), (None, None)]
+    df = spark.createDataFrame(values, "x double, expected double").withColumn("got", effects.cents(F.col("x")))
+    assert [(r.x, r.got) for r in df.collect()] == values
+
+
 def test_no_division_by_zero(spark):
     df, _ = predictions(spark, zero_at=12)
     got = effects.errors(df).where("observed = 0").collect()

@@ -153,6 +153,30 @@ def test_interest_is_scaled_by_month_within_the_window(spark):
     assert {r.campaign_dimension for r in got} == {"shoe", "global_brand"}
 
 
+def test_keyword_without_weekly_data_is_left_out(spark):
+    weekly, daily = interest_tables(spark)
+    rows = [("T", "new", date(2020, 1, 20), 5.0)]
+    daily = daily.unionByName(spark.createDataFrame(rows, daily.schema))
+    got = interest.interest_series(weekly, daily, keyword_analyses(spark, ("shoe", "new")), "brand")
+    assert {r.campaign_dimension for r in got.select("campaign_dimension").distinct().collect()} == {"shoe", "global_brand"}
+
+
+def test_a_keyword_all_analyses_ask_for(spark):
+    """Many analyses share the brand: each gets every day of its own window once."""
+    weekly, daily = interest_tables(spark)
+    rows = [(f"a{i}", "T", ["c"], date(2020, 1, 10) + (i % 9) * DAY, date(2020, 1, 21), date(2020, 1, 25)) for i in range(200)]
+    analyses = analyses_df(spark, rows, disable_gtrend=False)
+    got = interest.interest_series(weekly, daily, analyses, "brand").groupBy("analysis_id").agg(
+        F.count("*").alias("n"), F.min("reference_date").alias("lo"), F.max("reference_date").alias("hi")
+    ).collect()
+    assert len(got) == 200
+    for r in got:
+        start = date(2020, 1, 10) + (int(r.analysis_id[1:]) % 9) * DAY - 5 * DAY
+        lo = start - (start.isoweekday() % 7) * DAY
+        assert (r.lo, r.hi) == (max(lo, date(2020, 1, 5)), date(2020, 1, 25))
+        assert r.n == (r.hi - r.lo).days + 1
+
+
 def test_interest_switches(spark):
     weekly, daily = interest_tables(spark)
 
