@@ -58,62 +58,73 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """Each child hangs on the edge that bears its Hamming distance to its parent."""
-
-    def __init__(self) -> None:
-        self.value: list[int] = []
-        self.edges: list[dict[int, int]] = []
-
-    def add(self, value: int) -> None:
-        node = len(self.value)
-        self.value.append(value)
-        self.edges.append({})
-        at = 0
-        while node:
-            edge = self.edges[at]
-            distance = (value ^ self.value[at]).bit_count()
-            if distance not in edge:
-                edge[distance] = node
-                return
-            at = edge[distance]
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """Nodes in the radius; only edges that may lead to one are followed."""
-        found, open_nodes = [], [0] if self.value else []
-        while open_nodes:
-            at = open_nodes.pop()
-            distance = (value ^ self.value[at]).bit_count()
-            if distance <= radius:
-                found.append(at)
-            edge = self.edges[at]
-            if len(edge) > 2 * radius + 1:
-                open_nodes += [edge[d] for d in range(distance - radius, distance + radius + 1) if d in edge]
-            else:
-                open_nodes += [child for d, child in edge.items() if -radius <= d - distance <= radius]
-        return found
-
-
-def shard_links(first: list[int], second: list[int], radius: int) -> list[tuple[int, int]]:
+    """Each child hangs on the edge that bears its Hamming distance to its parent.
+
+    Values are added one by one. For the search all edges lie in one array, sorted by node and distance, so the
+    edges that may lead to a match are a slice, and many queries go down the tree side by side.
+    """
+
+    def __init__(self, values: list[int]) -> None:
+        parents, distances = [], []
+        edges: list[dict[int, int]] = []
+        for node, value in enumerate(values):
+            edges.append({})
+            at = 0
+            while node:
+                distance = (value ^ values[at]).bit_count()
+                if distance not in edges[at]:
+                    edges[at][distance] = node
+                    parents.append(at)
+                    distances.append(distance)
+                    break
+                at = edges[at][distance]
+        self.values = np.array(values, np.uint64)
+        place = np.array(parents, np.int64) * 66 + np.array(distances, np.int64)
+        self.child = np.argsort(place, kind="stable") + 1
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=66 * len(values)))])
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, node) in the radius; only edges that may lead to one are followed."""
+        query, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        found = []
+        while len(query):
+            distance = np.bitwise_count(queries[query] ^ self.values[node]).astype(np.int64)
+            near = distance <= radius
+            found.append((query[near], node[near]))
+            low = self.begin[node * 66 + np.maximum(distance - radius, 0)]
+            n = self.begin[node * 66 + np.minimum(distance + radius, 64) + 1] - low
+            node = self.child[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            query = np.repeat(query, n)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def shard_links(first: list[int], second: list[int], radius: int, at_once: int = 256) -> list[tuple[int, int]]:
     """Links within ``first`` if ``second`` is empty, else those between the two, as stars (member, smallest)."""
-    tree, members = BKTree(), first + second
-    parent = list(range(len(members)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, value in enumerate(members):
-        if tree.value and (not second or i >= len(first)):
-            for j in tree.within(value, radius):
-                parent[root(i)] = root(j)
-        if i < len(first):
-            tree.add(value)
-    smallest: dict[int, int] = {}
-    for i, value in enumerate(members):
-        smallest[root(i)] = min(value, smallest.get(root(i), value))
-    return [(value, smallest[root(i)]) for i, value in enumerate(members) if value != smallest[root(i)]]
+    tree = BKTree(first)
+    members = np.array(first + second, np.uint64)
+    label = np.arange(len(members))
+    for start in range(len(first) if second else 0, len(members), at_once):
+        query, node = tree.within(members[start : start + at_once], radius)
+        join(label, query + start, node)
+    root = np.array(label)
+    smallest = np.full(len(members), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(smallest, root, members)
+    apart = members != smallest[root]
+    return list(zip(members[apart].tolist(), smallest[root][apart].tolist(), strict=True))
+
+
+def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give the ends of all pairs one label; in ``label`` each node points to a root that points to itself."""
+    while True:
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return
+        a, b = a[differ], b[differ]
+        high, low = np.maximum(x, y)[differ], np.minimum(x, y)[differ]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
 
 
 def _blocks(fp: Column, radius: int) -> Column:
