@@ -20,6 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; the warehouse, which is shared too, where it is unset."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/llm-work"
@@ -50,6 +54,19 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def in_groups(texts: Iterator[bytes], most_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Lists of consecutive texts, each ended by the text that reaches ``most_bytes``."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= most_bytes:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def worker_state() -> types.ModuleType:
     """A place that outlives a task: task functions travel by value, their own globals are new for each task."""
     return sys.modules.setdefault("liftpanel_worker_state", types.ModuleType("liftpanel_worker_state"))

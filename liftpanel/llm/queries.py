@@ -4,18 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from liftpanel.llm.common import documents
+from liftpanel.llm.bestfit_packing import pack
+from liftpanel.llm.common import benchmark, documents
+from liftpanel.llm.ecoc_language import identify
+from liftpanel.llm.markov_secrets import find_secrets
+from liftpanel.llm.qgram_decontamination import find_leaks
 from liftpanel.llm.simhash_bktree import near_duplicates
 
 
+def op1_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir))
+
+
+def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op8_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_simhash_bktree": op9_simhash_bktree,
+    f.__name__: f
+    for f in (op1_bestfit_packing, op5_markov_secrets, op7_qgram_decontamination, op8_ecoc_language, op9_simhash_bktree)
 }
 
 ORACLES: dict[str, str] = {}
