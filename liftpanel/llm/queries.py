@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from liftpanel.llm.bestfit_packing import pack
 from liftpanel.llm.common import benchmark, documents
 from liftpanel.llm.ecoc_language import identify
+from liftpanel.llm.fmindex_substrings import remove_repeats
 from liftpanel.llm.markov_secrets import find_secrets
 from liftpanel.llm.qgram_decontamination import find_leaks
 from liftpanel.llm.simhash_bktree import near_duplicates
@@ -35,9 +36,20 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_fmindex_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bestfit_packing, op5_markov_secrets, op7_qgram_decontamination, op8_ecoc_language, op9_simhash_bktree)
+    for f in (
+        op1_bestfit_packing,
+        op5_markov_secrets,
+        op7_qgram_decontamination,
+        op8_ecoc_language,
+        op9_simhash_bktree,
+        op10_fmindex_substrings,
+    )
 }
 
 ORACLES: dict[str, str] = {}
