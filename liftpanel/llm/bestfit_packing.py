@@ -10,6 +10,7 @@ joining on their rank within their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -30,6 +31,18 @@ MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+#: Words of these letters alone are one unit for the tokenizer, whose model can then be asked directly.
+PLAIN = re.compile("[a-zà-öø-ÿß]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones of Latin-1 for
+    themselves, the others in order from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class ChunkIds(dict):
     """Ids of a chunk between ASCII white space, as little-endian unsigned 32-bit bytes.
 
@@ -40,6 +53,7 @@ class ChunkIds(dict):
     def __init__(self, tokenizer) -> None:
         super().__init__()
         self.tokenizer = tokenizer
+        self.letters = "".join(letter for _, letter in sorted(byte_letters().items()))
 
     def __missing__(self, chunk: bytes) -> bytes:
         word = chunk.rstrip(MARKS)
@@ -54,10 +68,17 @@ class ChunkIds(dict):
         """Encode the words that are new in one call."""
         if len(self) + len(chunks) > REMEMBERED:
             self.clear()
-        new = [c for c in chunks if c not in self]
-        words = list({w for c in new if (w := c.rstrip(MARKS)) not in self})
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for word, e in zip(words, encoded, strict=True):
+        words = {w for c in chunks if c not in self and (w := c.rstrip(MARKS)) not in self}
+        model, rest = self.tokenizer.model, []
+        for word in words:
+            lower = word.decode("utf-8", "replace").lower()
+            if PLAIN.fullmatch(lower):
+                letters = lower.encode().decode("latin-1").translate(self.letters)
+                self[word] = np.array([t.id for t in model.tokenize(letters)], "<u4").tobytes()
+            else:
+                rest.append(word)
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        for word, e in zip(rest, encoded, strict=True):
             self[word] = np.array(e.ids, "<u4").tobytes()
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
