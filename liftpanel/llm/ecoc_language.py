@@ -141,7 +141,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "lang", "shares"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.join(sample, ["doc_id", "lang"]).mapInArrow(run, f"doc_id {kind}, lang string, shares binary").where("shares is not null").collect()
+    # At most `rows_each` short rows for each language.
+    rows = texts.join(F.broadcast(sample), ["doc_id", "lang"]).mapInArrow(run, f"doc_id {kind}, lang string, shares binary").where("shares is not null").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["shares"]))
     shares = np.array([np.frombuffer(r["shares"], np.float32) for r in rows]).reshape(len(rows), FEATURES)
     return fit_rows(shares, [r["lang"] for r in rows])
