@@ -8,11 +8,13 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from liftpanel.llm.bestfit_packing import pack
-from liftpanel.llm.common import benchmark, documents
+from liftpanel.llm.common import benchmark, documents, labels
+from liftpanel.llm.deobfuscated_toxicity import score
 from liftpanel.llm.ecoc_language import identify
 from liftpanel.llm.fmindex_substrings import remove_repeats
 from liftpanel.llm.markov_secrets import find_secrets
 from liftpanel.llm.qgram_decontamination import find_leaks
+from liftpanel.llm.risk_quality import judge
 from liftpanel.llm.simhash_bktree import near_duplicates
 
 
@@ -20,10 +22,18 @@ def op1_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
 
+def op6_risk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
@@ -44,7 +54,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bestfit_packing,
+        op4_deobfuscated_toxicity,
         op5_markov_secrets,
+        op6_risk_quality,
         op7_qgram_decontamination,
         op8_ecoc_language,
         op9_simhash_bktree,
