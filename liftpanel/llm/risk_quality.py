@@ -10,6 +10,8 @@ that fails, so trying many costs nothing. Where labels are too few for that, a r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,9 +104,9 @@ def _log_tail(k: Column, n: Column, p: Column) -> Column:
     return F.aggregate(more, F.struct(none.alias("term"), none.alias("sum")), step, lambda acc: acc["sum"])
 
 
-def cutoffs(good: DataFrame, strata: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+def cutoffs(good: DataFrame, strata: int, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """``stratum, rule, cutoff`` for the pairs that have one. ``good (stratum, *RULES)`` are texts labelled good,
-    ``strata`` names all strata, which share the level out. A null measure doesn't count."""
+    ``strata`` is the number of all strata, which share the level out. A null measure doesn't count."""
     rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES])).alias("rule")
     values = good.select("stratum", rule).select("stratum", "rule.*").where("value is not null")
     # Of each value only the number of cutoffs that it exceeds matters, and those are the strictest ones.
@@ -115,8 +117,7 @@ def cutoffs(good: DataFrame, strata: DataFrame, risk: float = RISK, level: float
     pairs = counts.select("stratum", "rule", "passed", "count", total).select("*", tried)
     rejected = F.sum(F.when(F.col("passed") >= len(CUTOFFS) - F.col("place"), F.col("count")).otherwise(0))
     tests = pairs.groupBy("stratum", "rule", "place", "cutoff").agg(F.first("n").alias("n"), rejected.alias("k"))
-    tests = tests.join(strata.agg(F.count("*").alias("strata")).withColumn("one", F.lit(1)), F.lit(1) == F.col("one"))
-    bar = F.log(F.lit(level) / (len(RULES) * F.col("strata")))
+    bar = F.lit(math.log(level / (len(RULES) * max(1, strata))))
     p = F.lit(risk / len(RULES))
     shown = F.when(F.col("k") <= p * F.col("n"), _log_tail(F.col("k"), F.col("n"), p) <= bar).otherwise(False)
     so_far = F.min(F.when(shown, 1).otherwise(0)).over(Window.partitionBy("stratum", "rule").orderBy("place"))
@@ -137,7 +138,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Not a filter: Spark would push it below the projections and repeat their expressions within each other.
     measures = [F.when(~base_failed(), F.col(r)).alias(r) for r in RULES]
     good = measured(sample, id_col, text_col, stratum_col).select("*", *rule_measures()).select("stratum", *measures)
-    strata = docs.select(F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")).distinct()
+    strata = docs.select(F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")).distinct().count()
     chosen = cutoffs(good, strata, risk, level).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     chosen = chosen.select("stratum", *[F.col(r).alias(f"{r}_cutoff") for r in RULES])
     judged = rows.withColumn("base_failed", base_failed()).select("*", *rule_measures()).join(chosen, "stratum", "left")
