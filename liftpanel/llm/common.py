@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a run of other characters than these: blank and the five controls from tab to carriage return.
 #: ``bytes.split()`` without arguments cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+MARKED_BITS = 26
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,24 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(bucket_of(doc_id, modulus) == remainder, F.lit(False))
 
 
+def fresh() -> str:
+    """A column name that no table has."""
+    return f"c{uuid.uuid4().hex}"
+
+
+def marked(rows: DataFrame, ids: DataFrame, into: str, bits: int = MARKED_BITS) -> DataFrame:
+    """``rows`` with the column ``into``: true for every id in ``ids``, and for few others. The marks are bits
+    of ``2 ** bits`` in words of 64, so at most ``2 ** (bits - 6)`` rows are broadcast, whatever ids there are.
+    Both tables have ``doc_id``; a null id is marked if one is in ``ids``."""
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
+    bit = F.pmod(place, F.lit(64)).cast("int")
+    word, found = fresh(), fresh()
+    words = ids.select(F.shiftright(place, 6).alias(word), F.lit(1).cast("long").alias("one"), bit.alias("bit"))
+    words = words.groupBy(word).agg(F.expr("bit_or(shiftleft(one, bit))").alias(found))
+    joined = rows.withColumn(word, F.shiftright(place, 6)).join(F.broadcast(words), word, "left")
+    return joined.withColumn(into, F.coalesce(F.getbit(found, bit) == 1, F.lit(False))).drop(word, found)
+
+
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """UTF-8 bytes of each text, null as empty."""
     for value in column.cast(pa.binary()):

@@ -27,14 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftpanel.llm.common import in_groups, raw_texts, worker_state, written
+from liftpanel.llm.common import in_groups, marked, raw_texts, worker_state, written
 
 WINDOW, GRAM = 50, 8
 LONGEST_RUN = 512
 CROWD = 20_000
 BLOCK_WORDS = 400_000
 REMEMBERED = 600_000
-MARKED_BITS = 26
 
 
 class WordHashes(dict):
@@ -232,22 +231,11 @@ def shard_intervals(regions: list[tuple[bytes, int]], window: int = WINDOW) -> l
     return out
 
 
-def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` with ``marked``: true for every id in ``ids``, and for few others. The marks are bits of
-    ``2 ** MARKED_BITS`` in words of 64, so at most ``2 ** (MARKED_BITS - 6)`` rows are broadcast, whatever ids there are."""
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MARKED_BITS)
-    bit = F.pmod(place, F.lit(64)).cast("int")
-    words = ids.select(F.shiftright(place, 6).alias("word"), F.lit(1).cast("long").alias("one"), bit.alias("bit"))
-    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(one, bit))").alias("bits"))
-    joined = rows.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word", "left")
-    return joined.withColumn("marked", F.coalesce(F.getbit("bits", bit) == 1, F.lit(False))).drop("word", "bits")
-
-
 def _region_texts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """``m, r, owner, last, words`` of the regions in ``wanted (m, r, owner, last, crowded, doc_id, t, start, n)``."""
     key = ["doc_id", "t"]
     lists = wanted.groupBy(*key).agg(F.collect_list(F.struct("m", "r", "owner", "last", "crowded", "start", "n")).alias("wanted"))
-    texts = _marked(rows, wanted.select("doc_id").distinct()).where("marked").select(*key, "text").dropDuplicates(key)
+    texts = marked(rows, wanted.select("doc_id").distinct(), "marked").where("marked").select(*key, "text").dropDuplicates(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,6 +350,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("doc_id", "t", "text")
     spans = written(repeated_intervals(rows, window, crowd, block_words), "repeats")
     lists = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("removed"))
-    marked = _marked(rows, spans.select("doc_id").distinct())
-    touched = marked.where("marked").join(lists, ["doc_id", "t"], "left")
-    return _kept(touched, F.col("removed")).unionByName(_kept(marked.where("not marked"), F.lit(None)))
+    both = marked(rows, spans.select("doc_id").distinct(), "marked")
+    touched = both.where("marked").join(lists, ["doc_id", "t"], "left")
+    return _kept(touched, F.col("removed")).unionByName(_kept(both.where("not marked"), F.lit(None)))

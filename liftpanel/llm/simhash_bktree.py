@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -181,11 +182,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = 8192) ->
     return shards.repartition(*key).sortWithinPartitions(*key, "fp").mapInArrow(run, "a long, b long")
 
 
+def _digits(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def fingerprint_of(text: Column) -> Column:
+    """The 16 digits for a text column, as ``near_duplicates`` gives them."""
+
+    @F.pandas_udf("string")
+    def digits(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint(t.encode() if t is not None else b''):016x}" for t in texts], dtype=object)
+
+    return digits(text.cast("string"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs``.
+    """``doc_id, fingerprint, component_id, group_fingerprint`` for every row of ``docs``.
 
     ``fingerprint`` has 16 lower-case hex digits, ``component_id`` is the smallest id that can be reached over
-    links, the own one included. Texts without a word have fingerprint 0 and are linked like any other. A row
+    links, the own one included, ``group_fingerprint`` one fingerprint of the group. Texts without a word have fingerprint 0 and are linked like any other. A row
     without an id gets the smallest id of its group, null if none has one. Repeated rows give repeated rows,
     an empty table gives an empty one, and further columns are not looked at.
     """
@@ -194,6 +209,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(smallest.select("fp"), radius)).withColumnRenamed("node", "fp")
     linked = smallest.join(roots, "fp")
     of_root = linked.groupBy("root").agg(F.min("least_id").alias("group_id"))
-    in_group = linked.join(of_root, "root").select("fp", "group_id")
-    labels = smallest.join(in_group, "fp", "left").select("fp", F.coalesce("group_id", "least_id").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    in_group = linked.join(of_root, "root").select("fp", "group_id", "root")
+    labels = smallest.join(in_group, "fp", "left").select("fp", F.coalesce("group_id", "least_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(labels, "fp").select("doc_id", _digits(F.col("fp")).alias("fingerprint"), "component_id", _digits(F.col("root")).alias("group_fingerprint"))
