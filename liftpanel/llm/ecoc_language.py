@@ -73,8 +73,9 @@ class Model:
     margin: float
 
     def losses(self, texts: list[bytes]) -> np.ndarray:
-        """Weighted exponential loss of each text against each codeword."""
-        votes = (ngram_shares(texts, len(self.centre)) - self.centre) @ self.weights
+        """Weighted exponential loss of each text against each codeword. Row by row: a product of whole
+        batches may round a text's votes by the company it is in."""
+        votes = np.array([row @ self.weights for row in ngram_shares(texts, len(self.centre)) - self.centre])
         return np.exp(-votes[:, None, :] * self.code[None]) @ self.bit_weight
 
     def predict(self, texts: list[bytes]) -> pd.DataFrame:
