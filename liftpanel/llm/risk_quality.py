@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftpanel.llm.common import WORD
+from liftpanel.llm.common import WORD, written
 
 # Fixed values of the base: characters that count as symbols, least words, greatest share of repeated words.
 SYMBOLS = r"[#*$%&|<>]"
@@ -132,16 +132,15 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     and fail the base. Without labels no rule rejects. Repeated rows give repeated rows, an empty table an
     empty one; further columns are not read.
     """
-    rows = measured(docs, id_col, text_col, stratum_col)
+    # Texts are read once; labels meet the counts, not the texts. The table also keeps Spark from pushing
+    # filters below the projections and repeating their expressions within each other.
+    rows = written(measured(docs, id_col, text_col, stratum_col), "quality-counts").withColumn("base_failed", base_failed())
     good_ids = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    sample = docs.join(good_ids.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
-    # Not a filter: Spark would push it below the projections and repeat their expressions within each other.
-    measures = [F.when(~base_failed(), F.col(r)).alias(r) for r in RULES]
-    good = measured(sample, id_col, text_col, stratum_col).select("*", *rule_measures()).select("stratum", *measures)
-    strata = docs.select(F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")).distinct().count()
+    good = rows.where("not base_failed").join(good_ids, "doc_id", "left_semi").select("stratum", *rule_measures())
+    strata = rows.select("stratum").distinct().count()
     chosen = cutoffs(good, strata, risk, level).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     chosen = chosen.select("stratum", *[F.col(r).alias(f"{r}_cutoff") for r in RULES])
-    judged = rows.withColumn("base_failed", base_failed()).select("*", *rule_measures()).join(chosen, "stratum", "left")
+    judged = rows.select("*", *rule_measures()).join(chosen, "stratum", "left")
     rejecting = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"{r}_cutoff"), F.lit(r)) for r in RULES])).alias("rules")
     counted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*counted, rejecting).select(*counted, (~F.col("base_failed") & (F.size("rules") == 0)).alias("kept"), F.array_join("rules", ",").alias("rules"))
