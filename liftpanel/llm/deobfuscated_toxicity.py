@@ -62,13 +62,14 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def log_model(counts: np.ndarray) -> np.ndarray:
-    """Log chance of a symbol after two others; trigrams, bigrams and single symbols mixed."""
+    """Log chance of a symbol after two others; trigrams, bigrams and single symbols mixed, as far as the two were seen."""
 
     def share(n: np.ndarray) -> np.ndarray:
         return n / np.maximum(n.sum(-1, keepdims=True), 1)
 
     single = (counts.sum((0, 1)) + 1) / (counts.sum() + SYMBOLS)
-    return np.log(0.8 * share(counts) + 0.15 * share(counts.sum(0))[None] + 0.05 * single).astype(np.float32)
+    mixed = 0.8 * share(counts) + 0.15 * share(counts.sum(0))[None] + 0.05 * single
+    return np.log(mixed / mixed.sum(-1, keepdims=True)).astype(np.float32)
 
 
 def edges_stripped(token: str) -> str:
