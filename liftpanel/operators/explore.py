@@ -128,16 +128,22 @@ def sparse_changes(changes: DataFrame, max_missing: float = 0.4) -> DataFrame:
     )
 
 
+def corr_status(changes: DataFrame, max_missing: float = 0.4) -> DataFrame:
+    """One row per run: ``ok``, or that the target has too few changes to correlate with."""
+    sparse = sparse_changes(changes, max_missing).where(F.col("role") == "target")
+    return sparse.select(*RUN_KEYS, "missing_share", F.when(F.col("is_sparse"), "target too sparse").otherwise("ok").alias("status"))
+
+
 def target_corr(changes: DataFrame, max_missing: float = 0.4) -> DataFrame:
     """|Pearson correlation| of each feature's changes with the target's, strongest first.
 
-    Only days on which every feature kept has a change count. If the target itself is too sparse
-    its run gets no correlations.
+    Only days on which every feature kept has a change count. The target is kept however sparse it is;
+    ``corr_status`` says where it is too sparse to trust.
     """
     share = Window.partitionBy(*RUN_KEYS, "feature")
     kept = changes.withColumn(
         "missing_share", F.avg(F.col("change").isNull().cast("double")).over(share)
-    ).where(F.col("missing_share") < max_missing)
+    ).where((F.col("role") == "target") | (F.col("missing_share") < max_missing))
     day = Window.partitionBy(*RUN_KEYS, "reference_date")
     complete = (
         kept.withColumn("holes", F.sum(F.col("change").isNull().cast("int")).over(day))

@@ -77,7 +77,8 @@ def daily_roles(fact: DataFrame, date_col: str, dim_col: str, measures: list[Rol
 def role_requests(analyses: DataFrame) -> DataFrame:
     """Which dimension values each analysis needs in which role; roles switched off give no row."""
     target = F.array(F.col("target"))
-    controls = F.col("controls")
+    # A list is a set: naming a dimension twice does not count it twice.
+    controls = F.array_compact(F.array_distinct("controls"))
     wanted = F.array(
         *[
             F.struct(F.lit(role).alias("role"), dims.alias("dims"), enabled.alias("enabled"))

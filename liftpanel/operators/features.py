@@ -14,12 +14,27 @@ FEATURE_COLUMNS = [*RUN_KEYS, "campaign_start", "role", "feature", "reference_da
 
 
 def feature_name(role: Column, dim: Column) -> Column:
-    """Prefix of the role plus the dimension value, blanks as underscores."""
+    """Prefix of the role plus the dimension value, blanks as underscores. Different features may share a name."""
     prefix = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_PREFIX.items() for x in kv]), role)
     name = F.when(role == "covid", prefix).otherwise(F.concat(prefix, dim))
     return F.regexp_replace(name, " ", "_")
 
 
+def full_name() -> Column:
+    """Display name with role and dimension value as they are: no two features have the same."""
+    return F.concat_ws("~", "feature", "role", "campaign_dimension")
+
+
+def shared_names(series: DataFrame) -> DataFrame:
+    """``analysis_id, feature, role, campaign_dimension, status`` for features whose display name others have too."""
+    identity = ["analysis_id", "role", "campaign_dimension"]
+    named = series.select(*identity).distinct().withColumn("feature", feature_name(F.col("role"), F.col("campaign_dimension")))
+    same = F.count(F.lit(1)).over(Window.partitionBy("analysis_id", "feature"))
+    return named.withColumn("same", same).where("same > 1").select(
+        "analysis_id", "feature", "role", "campaign_dimension", F.concat(F.lit("name shared, shown as "), full_name()).alias("status")
+    )
+
+
 def feature_long(series: DataFrame, runs: DataFrame) -> DataFrame:
     """Series on the daily calendar of every run, missing days as 0.
 
@@ -27,6 +42,9 @@ def feature_long(series: DataFrame, runs: DataFrame) -> DataFrame:
     in the loaded range. Each observed day also stands for the gap up to the next one, so the
     calendar is filled by looking one row ahead: the series are read once and shuffled once, by
     analysis and feature, and everything that later works per feature finds them already in place.
+
+    A feature is a role and a dimension value. Where several of an analysis have one display name, each gets
+    role and value added to it, so ``feature`` tells them apart; see ``shared_names``.
     """
     windows = runs.select(*RUN_KEYS, "campaign_start", "start", "end")
     # The runs of an analysis cover its whole data window; the marker makes the target exist.
@@ -40,26 +58,32 @@ def feature_long(series: DataFrame, runs: DataFrame) -> DataFrame:
         F.col("data_start").alias("reference_date"),
         F.lit(None).cast("double").alias("value"),
     )
-    per_feature = ["analysis_id", "feature"]
+    # Features that share a name share a partition, so whether a name is unique needs no shuffle of its own.
+    per_feature = ["analysis_id", "feature", "role", "campaign_dimension"]
     by_day = (
         series.select(marker.columns)
         .unionByName(marker)
         .withColumn("feature", feature_name(F.col("role"), F.col("campaign_dimension")))
-        .repartition(*per_feature)
-        .groupBy(*per_feature, "role", "reference_date")
+        .repartition("analysis_id", "feature")
+        .groupBy(*per_feature, "reference_date")
         .agg(F.sum("value").alias("value"))
         .join(data.select("analysis_id", "data_start", "data_end"), "analysis_id")
         .where(F.col("reference_date").between(F.col("data_start"), F.col("data_end")))
     )
+    identity = F.struct("role", F.coalesce("campaign_dimension", F.lit("")).alias("campaign_dimension"))
+    same_name = Window.partitionBy("analysis_id", "feature")
+    shared = F.min(identity).over(same_name) != F.max(identity).over(same_name)
     ordered = Window.partitionBy(*per_feature).orderBy("reference_date")
     first = F.when(F.lag("reference_date").over(ordered).isNull(), F.col("data_start"))
     following = F.lead("reference_date").over(ordered)
     return (
-        by_day.withColumn("from_day", F.coalesce(first, F.col("reference_date")))
+        by_day.withColumn("shared", shared)
+        .withColumn("from_day", F.coalesce(first, F.col("reference_date")))
         .withColumn("to_day", F.coalesce(F.date_sub(following, 1), F.col("data_end")))
         .select(
-            *per_feature,
+            "analysis_id",
             "role",
+            F.when(F.col("shared"), full_name()).otherwise(F.col("feature")).alias("feature"),
             F.col("reference_date").alias("observed_day"),
             "value",
             F.explode(D.days("from_day", "to_day")).alias("reference_date"),
@@ -123,22 +147,26 @@ def month_dummies(runs: DataFrame, drop_first: bool = False) -> DataFrame:
     )
 
 
-def one_hot(df: DataFrame, levels: dict[str, list]) -> DataFrame:
-    """Append a 0/1 column ``<column>_<level>`` for each level of each categorical column."""
-    return df.select(
-        "*",
-        *[
-            F.when(F.col(column) == level, 1).otherwise(0).alias(f"{column.replace('_name', '')}_{level}")
-            for column, values in levels.items()
-            for level in values
-        ],
-    )
+def level_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Long form of categorical columns: ``key, column, level``, a row for each that is known."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])).alias("pair")
+    return df.select(key, pairs).select(key, "pair.*").where("level is not null")
 
 
-def one_hot_levels(df: DataFrame, columns: list[str]) -> dict[str, list]:
-    """Sorted distinct levels of each column, found in one pass; they become column names."""
-    found = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first()
-    return {c: found[c] for c in columns}
+def indicator_columns(df: DataFrame, key: str, levels: dict[str, list[str]], prefix: dict[str, str]) -> DataFrame:
+    """``key`` and a 0/1 column ``<prefix>_<level>`` for each level that the caller names, with one prefix for each column.
+
+    Long rows meet the wanted levels, and each key's own levels come back as a set; levels nobody named
+    are passed over, and a key without any has zeros.
+    """
+    names = [prefix[c] + "_" + str(level) for c in levels for level in levels[c]]
+    if len(set(names)) < len(names):
+        raise ValueError("two levels would get the same column, give the columns other prefixes")
+    tag = F.concat_ws("=", "column", "level")
+    own = level_rows(df, key, list(levels)).groupBy(key).agg(F.collect_set(tag).alias("tags"))
+    wanted = [f"{c}={level}" for c in levels for level in levels[c]]
+    has = [F.coalesce(F.array_contains("tags", tag), F.lit(False)).cast("int").alias(name) for tag, name in zip(wanted, names, strict=True)]
+    return df.select(key).distinct().join(own, key, "left").select(key, *has)
 
 
 def analytical_dataset(series: DataFrame, runs: DataFrame, holidays: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftpanel.functions.normal import normal_tail, two_sided_z
+from liftpanel.functions.normal import normal_tail, two_sided_z, with_normal_quantile
 from liftpanel.functions.statespace import Spec, forecast, sample_paths, search, smooth
 from liftpanel.schema import DUMMY_ROLES, ROLE_ORDER, RUN_KEYS
 
@@ -294,33 +294,49 @@ def importance(fits: DataFrame) -> DataFrame:
     )
 
 
-def control_regressions(features: DataFrame, alpha: float = 0.05) -> DataFrame:
+def control_regressions(features: DataFrame, alpha: float = 0.05, alphas: DataFrame | None = None, each_control: bool = True) -> DataFrame:
     """Quick predictions without a state space: the target on one regressor by least squares.
 
-    Candidates are the mean of the controls (``control_mean``, the first) and every control alone.
-    Slope, intercept and residual spread come from the days before the campaign.
+    Candidates are the mean of the controls (``control_mean``, the first) and, unless switched off, every
+    control alone. Slope, intercept and residual spread come from the days before the campaign, as aggregates
+    that meet the days again as one row per candidate. ``alphas (RUN_KEYS, alpha)`` gives each run its own
+    level, otherwise ``alpha`` holds for all.
     """
-    day = Window.partitionBy(*RUN_KEYS, "reference_date")
     is_target = F.col("role") == "target"
-    rows = (
-        features.where(F.col("role").isin("target", "control"))
-        .withColumn("observed", F.max(F.when(is_target, F.col("value"))).over(day))
-        .withColumn("control_mean", F.avg(F.when(~is_target, F.col("value"))).over(day))
-        # The target's own row stands for the mean of the controls.
-        .withColumn("candidate", F.when(is_target, "control_mean").otherwise(F.col("feature")))
-        .withColumn("x", F.when(is_target, F.col("control_mean")).otherwise(F.col("value")))
+    days = [*RUN_KEYS, "campaign_start", "reference_date"]
+    used = features.where(F.col("role").isin("target", "control"))
+    by_day = used.groupBy(*days).agg(
+        F.max(F.when(is_target, F.col("value"))).alias("observed"), F.avg(F.when(~is_target, F.col("value"))).alias("x")
+    )
+    rows = by_day.select(*days, F.lit("control_mean").alias("candidate"), "observed", "x")
+    if each_control:
+        single = used.where(~is_target).select(*days, F.col("feature").alias("candidate"), F.col("value").alias("x"))
+        rows = rows.unionByName(single.join(by_day.select(*days, "observed"), days).select(*rows.columns))
+    before = rows.where(F.col("reference_date") < F.col("campaign_start"))
+    slope = F.coalesce("slope", F.lit(0.0))
+    spread = F.col("var_y") - 2 * slope * F.col("cov") + slope * slope * F.col("var_x")
+    fitted = (
+        before.groupBy(*FIT_KEYS)
+        .agg(
+            F.regr_slope("observed", "x").alias("slope"),
+            F.avg("x").alias("centre_x"),
+            F.avg("observed").alias("centre_y"),
+            F.var_pop("observed").alias("var_y"),
+            F.var_pop("x").alias("var_x"),
+            F.covar_pop("observed", "x").alias("cov"),
+        )
+        .select(*FIT_KEYS, slope.alias("slope"), "centre_x", "centre_y", F.sqrt(F.greatest(spread, F.lit(0.0))).alias("sd"))
     )
-    per_fit = Window.partitionBy(*FIT_KEYS)
-    before = F.col("reference_date") < F.col("campaign_start")
-    y, x = F.when(before, F.col("observed")), F.when(before, F.col("x"))
-    z = two_sided_z(alpha)
+    if alphas is None:
+        fitted = fitted.withColumn("z", F.lit(two_sided_z(alpha)))
+    else:
+        level = alphas.select(*RUN_KEYS, (1 - F.col("alpha") / 2).alias("tail"))
+        fitted = fitted.join(with_normal_quantile(level, "tail", "z").drop("tail"), RUN_KEYS, "left")
+    mean = F.col("centre_y") + F.col("slope") * (F.col("x") - F.col("centre_x"))
     return (
-        rows.withColumn("slope", F.coalesce(F.regr_slope(y, x).over(per_fit), F.lit(0.0)))
-        .withColumn("centre_x", F.avg(x).over(per_fit))
-        .withColumn("centre_y", F.avg(y).over(per_fit))
-        .withColumn("mean", F.col("centre_y") + F.col("slope") * (F.col("x") - F.col("centre_x")))
-        .withColumn("sd", F.stddev_pop(F.when(before, F.col("observed") - F.col("mean"))).over(per_fit))
-        .withColumn("lower", F.col("mean") - z * F.col("sd"))
-        .withColumn("upper", F.col("mean") + z * F.col("sd"))
+        rows.join(fitted, FIT_KEYS)
+        .withColumn("mean", mean)
+        .withColumn("lower", F.col("mean") - F.col("z") * F.col("sd"))
+        .withColumn("upper", F.col("mean") + F.col("z") * F.col("sd"))
         .select(*FIT_KEYS, "campaign_start", "reference_date", "observed", "mean", "lower", "upper", "sd")
     )

@@ -104,7 +104,7 @@ def _regressions(spark, sf_dir) -> DataFrame:
 
 def _predictions(spark, sf_dir) -> DataFrame:
     """Predictions of every run from the mean of its controls."""
-    return _regressions(spark, sf_dir).where(F.col("candidate") == "control_mean").drop("candidate")
+    return model.control_regressions(_features(spark, sf_dir), ALPHA, each_control=False).drop("candidate")
 
 
 def _inferences(spark, sf_dir) -> DataFrame:
@@ -225,7 +225,7 @@ def npc_daily(spark, sf_dir):
 def payment_daily(spark, sf_dir):
     analyses = W.event_analyses(spark, sf_dir)
     measure = RoleMeasure("target", F.col("gmv_proceeds_usd").cast("decimal(18,2)"))
-    return extract.extract_role(W.fact_payment(spark, sf_dir), analyses, "reference_date", "subject", measure)
+    return extract.extract_role(W.fact_payment(spark, sf_dir, analyses), analyses, "reference_date", "subject", measure)
 
 
 @query
@@ -303,7 +303,7 @@ def period_check_short(spark, sf_dir):
     """The event window is far too short for an analysis, which the status has to say."""
     analyses = W.event_analyses(spark, sf_dir)
     measures = [RoleMeasure(r, F.col("gmv_proceeds_usd").cast("decimal(18,2)")) for r in ("target", "control")]
-    series = extract.extract_series(W.fact_payment(spark, sf_dir), analyses, "reference_date", "subject", measures)
+    series = extract.extract_series(W.fact_payment(spark, sf_dir, analyses), analyses, "reference_date", "subject", measures)
     runs = runs_ops.expand_runs(analyses)
     return clean.check_periods(features.feature_long(series, runs), runs)
 
@@ -324,7 +324,7 @@ def _interest_inputs(spark, sf_dir, **settings):
 def interest_scale(spark, sf_dir):
     weekly, _, analyses = _interest_inputs(spark, sf_dir)
     requests = interest.interest_requests(analyses, W.BRAND)
-    return interest.monthly_scale(interest.interest_for_analyses(weekly, requests))
+    return interest.monthly_scale(interest.interest_for_analyses(weekly, requests)).drop("is_brand")
 
 
 @query(digits=6)
@@ -332,7 +332,7 @@ def interest_rescaled(spark, sf_dir):
     weekly, daily, analyses = _interest_inputs(spark, sf_dir)
     requests = interest.interest_requests(analyses, W.BRAND)
     scale = interest.monthly_scale(interest.interest_for_analyses(weekly, requests))
-    return interest.rescale_interest(interest.interest_for_analyses(daily, requests), scale).drop("gtrend_smooth")
+    return interest.rescale_interest(interest.interest_for_analyses(daily, requests), scale).drop("gtrend_smooth", "is_brand")
 
 
 @query(digits=6)
@@ -420,9 +420,8 @@ def month_dummies(spark, sf_dir):
 
 @query
 def one_hot_levels(spark, sf_dir):
-    orders = W.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    columns = ["o_orderstatus", "o_orderpriority"]
-    return features.one_hot(orders, features.one_hot_levels(orders, columns)).drop(*columns)
+    levels = {"o_orderstatus": W.ORDER_STATUSES, "o_orderpriority": W.ORDER_PRIORITIES}
+    return features.indicator_columns(W.table(spark, sf_dir, "orders"), "o_orderkey", levels, {c: c for c in levels})
 
 
 # --- post-processing --------------------------------------------------------------------------
@@ -476,17 +475,17 @@ def variance_status(spark, sf_dir):
 
 @query(digits=6)
 def pct_change(spark, sf_dir):
-    return explore.pct_change(_faulty_features(spark, sf_dir))
+    return explore.pct_change(_features(spark, sf_dir))
 
 
 @query(digits=6)
 def sparse_changes(spark, sf_dir):
-    return explore.sparse_changes(explore.pct_change(_faulty_features(spark, sf_dir)))
+    return explore.sparse_changes(explore.pct_change(_features(spark, sf_dir)))
 
 
 @query(digits=6)
 def target_corr(spark, sf_dir):
-    return explore.target_corr(explore.pct_change(_faulty_features(spark, sf_dir)))
+    return explore.target_corr(explore.pct_change(_features(spark, sf_dir)))
 
 
 # --- model ------------------------------------------------------------------------------------
@@ -681,8 +680,8 @@ def nation_effect_summary(spark, sf_dir):
     fact = W.fact_marketing(spark, sf_dir, analyses)
     measures = [m for m in W.role_measures() if m.role in ("target", "control")]
     series = extract.extract_series(fact, analyses, "date", "source_medium", measures)
-    regressions = model.control_regressions(features.feature_long(series, runs_ops.expand_runs(analyses)), ALPHA)
-    predictions = regressions.where(F.col("candidate") == "control_mean").drop("candidate")
+    long = features.feature_long(series, runs_ops.expand_runs(analyses))
+    predictions = model.control_regressions(long, ALPHA, each_control=False).drop("candidate")
     return _summary_shown(effects.summary(predictions))
 
 
@@ -714,9 +713,8 @@ def run_listing(spark, sf_dir):
 @query
 def run_exists(spark, sf_dir):
     """Are the customers' market segments and regions taken as names by the region panel?"""
-    wanted = W.fact_marketing(spark, sf_dir).select(
-        F.explode(F.array("channel", "country_code")).alias("analysis_id")
-    )
+    segments = W.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("analysis_id"))
+    wanted = segments.unionByName(W.table(spark, sf_dir, "region").select(F.col("r_name").alias("analysis_id")))
     return stages.check_names(wanted, runs_ops.expand_runs(W.region_analyses(spark, sf_dir)))
 
 

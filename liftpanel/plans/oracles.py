@@ -417,8 +417,8 @@ CTES["p_values"] = (
 CTES["changes"] = (
     f"""
         SELECT {KEYS}, role, feature, d, (value - before) / nullif(before, 0) AS change
-        FROM (SELECT *, lag(value) OVER (PARTITION BY {KEYS}, feature ORDER BY d) AS before FROM faulty WHERE d < cs)""",
-    ("faulty",),
+        FROM (SELECT *, lag(value) OVER (PARTITION BY {KEYS}, feature ORDER BY d) AS before FROM features WHERE d < cs)""",
+    ("features",),
 )
 CTES["shares"] = (
     f"""
@@ -750,7 +750,7 @@ ORACLES: dict[str, str] = {
                     SELECT k.*, count(*) FILTER (change IS NULL) OVER (PARTITION BY {KEYS}, d) AS holes,
                            max(change) FILTER (role = 'target') OVER (PARTITION BY {KEYS}, d) AS tc
                     FROM (SELECT c.* FROM changes c JOIN shares s USING (analysis_id, run_kind, feature)
-                          WHERE s.missing_share < 0.4) k)
+                          WHERE s.missing_share < 0.4 OR c.role = 'target') k)
                 WHERE holes = 0 AND tc IS NOT NULL AND role <> 'target' GROUP BY {KEYS}, feature)""",
         "changes", "shares",
     ),

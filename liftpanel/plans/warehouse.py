@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +19,12 @@ HOLIDAYS = (("01-01", "New Year"), ("05-01", "Labour Day"), ("12-25", "Christmas
 
 BRAND = "brand"
 
+# Levels of two columns of the orders.
+ORDER_STATUSES = ["F", "O", "P"]
+ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
 
-@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables; its schema is looked up once per session (no data are kept)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,9 +53,12 @@ def fact_marketing(
         F.lit(1).alias("new_visitors"),
     ]
     if with_lines:
+        lines = table(spark, sf_dir, "lineitem")
+        if analyses is not None:
+            # The wanted orders drop other lines before those are combined.
+            lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
         lines = (
-            table(spark, sf_dir, "lineitem")
-            .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+            lines.groupBy(F.col("l_orderkey").alias("o_orderkey"))
             .agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"))
         )
         orders = orders.join(lines, "o_orderkey", "left")
@@ -109,8 +112,8 @@ def role_measures() -> list[RoleMeasure]:
     ]
 
 
-def fact_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+def fact_payment(spark: SparkSession, sf_dir: str, analyses: DataFrame) -> DataFrame:
+    events = prune_to_windows(table(spark, sf_dir, "events"), "ts", analyses)
     return day_grain(
         events.select(F.col("ts").alias("payment_ts"), F.col("event_type").alias("subject"), F.col("value").alias("gmv_proceeds_usd")),
         "payment_ts",

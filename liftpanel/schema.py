@@ -61,6 +61,7 @@ ANALYSES = T.StructType(
         T.StructField("controls", T.ArrayType(T.StringType()), False),
         T.StructField("keywords", T.ArrayType(T.StringType())),
         T.StructField("country", T.StringType()),
+        T.StructField("geo", T.StringType()),
         T.StructField("start", T.DateType(), False),
         T.StructField("campaign_start", T.DateType(), False),
         T.StructField("end", T.DateType(), False),
@@ -89,6 +90,8 @@ ANALYSES = T.StructType(
 DEFAULTS = {
     "keywords": "array()",
     "country": "null",
+    # The market whose search interest counts.
+    "geo": "coalesce(country, target)",
     "out_perim_usage": "false",
     "visitor_usage": "false",
     "click_usage": "false",
@@ -111,16 +114,18 @@ DEFAULTS = {
 
 
 def analyses_table(df: DataFrame) -> DataFrame:
-    """Complete an analyses table: cast the given columns, add defaults for the rest."""
+    """Complete an analyses table: cast the given columns, add defaults for missing columns and null cells."""
     missing = [f.name for f in ANALYSES if f.name not in df.columns and f.name not in DEFAULTS]
     if missing:
         raise ValueError(f"analyses table lacks {missing}")
-    return df.selectExpr(
-        *[
-            f"CAST({f'`{f.name}`' if f.name in df.columns else DEFAULTS[f.name]} AS {f.dataType.simpleString()}) AS `{f.name}`"
-            for f in ANALYSES
-        ]
-    )
+    if "country" not in df.columns:
+        df = df.selectExpr("*", "CAST(null AS STRING) AS country")
+
+    def cell(f: T.StructField) -> str:
+        parts = [f"CAST({x} AS {f.dataType.simpleString()})" for x in ([f"`{f.name}`"] if f.name in df.columns else []) + [DEFAULTS.get(f.name)] if x]
+        return f"coalesce({', '.join(parts)}) AS `{f.name}`" if len(parts) > 1 else f"{parts[0]} AS `{f.name}`"
+
+    return df.selectExpr(*[cell(f) for f in ANALYSES])
 
 
 SERIES = T.StructType(
