@@ -39,10 +39,9 @@ HEADLINE = [
     "effect_report",
     "qq_points",
     "nation_effect_summary",
-    "sts_predictions",
     "panel_runs",
 ]
-REPEATS = {"panel_runs": 1, "sts_predictions": 1}
+REPEATS: dict[str, int] = {}
 
 
 def seconds(spark: SparkSession, name: str, sf_dir: str) -> float:

@@ -153,7 +153,12 @@ def target_corr(changes: DataFrame, max_missing: float = 0.4) -> DataFrame:
     return (
         complete.where(F.col("role") != "target")
         .groupBy(*RUN_KEYS, "feature")
-        .agg(F.abs(F.corr("change", "target_change")).alias("correlation"))
+        # Not corr(): it divides by zero where one of the two never changes; here that is null.
+        .agg(
+            F.abs(
+                F.try_divide(F.covar_pop("change", "target_change"), F.stddev_pop("change") * F.stddev_pop("target_change"))
+            ).alias("correlation")
+        )
         .withColumn(
             "rank",
             F.row_number().over(

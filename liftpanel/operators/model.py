@@ -1,32 +1,19 @@
-"""Structural time-series fits, one group per analysis, run kind and candidate."""
+"""Scaling, prior scales, design sums, and the candidate predictions: least squares by aggregates."""
 
 from __future__ import annotations
 
-import hashlib
-import time
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftpanel.functions.normal import normal_tail, two_sided_z, with_normal_quantile
-from liftpanel.functions.statespace import Spec, forecast, sample_paths, search, smooth
-from liftpanel.schema import DUMMY_ROLES, ROLE_ORDER, RUN_KEYS
+from liftpanel.functions.normal import two_sided_z, with_normal_quantile
+from liftpanel.schema import DUMMY_ROLES, RUN_KEYS
 
 # Fixed value: spread of the trend's prior relative to the target's, see hyperpriors.
 PRIOR_SPREAD = 0.1
 
-FIT_METHODS = ("map", "sample")
 FIT_KEYS = [*RUN_KEYS, "candidate"]
-FIT_SCHEMA = """
-    analysis_id string, run_kind string, candidate string, candidate_ord int, campaign_start date,
-    alpha double, ar_order int, fit_method string, status string, p_value double, surplus_z double, score double, elapsed_s double,
-    dates array<date>, observed array<double>, mean array<double>, lower array<double>, upper array<double>,
-    cum_mean array<double>, cum_lower array<double>, cum_upper array<double>,
-    component_names array<string>, component_values array<array<double>>, scaled_target array<double>,
-    regressor_names array<string>, weights array<double>
-"""
+# Names of candidates that are not single controls.
+CONTROL_MEAN, WEEKLY_TREND = "control_mean", "weekly_trend"
 
 
 def standardize(features: DataFrame, scope: str = "pre") -> DataFrame:
@@ -96,202 +83,20 @@ def design_moments(features: DataFrame, scope: str = "pre") -> DataFrame:
     )
 
 
-def _ord():
-    return F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_ORDER.items() for x in kv]), F.col("role"))
-
-
-def design(features: DataFrame, scope: str = "pre") -> DataFrame:
-    """One row per run and day: observed and scaled target, scaled regressors as an array in fixed order."""
-    scaled = standardize(features, scope)
-    regressor = F.when(F.col("role") != "target", F.struct(_ord().alias("o"), F.col("feature"), F.col("scaled")))
-    packed = F.transform(F.array_sort(F.collect_list(regressor)), lambda r: r["scaled"])
-    target = F.when(F.col("role") == "target", F.struct("value", "scaled", "mean", "std"))
-    return (
-        scaled.groupBy(*RUN_KEYS, "campaign_start", "reference_date")
-        .agg(F.max(target).alias("t"), packed.alias("x"))
-        .select(
-            *RUN_KEYS,
-            "campaign_start",
-            "reference_date",
-            F.col("t.value").alias("observed"),
-            F.col("t.scaled").alias("y"),
-            F.col("t.mean").alias("mean"),
-            F.col("t.std").alias("std"),
-            "x",
-        )
-    )
-
-
-def regressor_names(features: DataFrame) -> DataFrame:
-    """Names of the design's columns per run, in the same order."""
-    named = F.when(F.col("role") != "target", F.struct(_ord().alias("o"), F.col("feature")))
-    return features.groupBy(*RUN_KEYS).agg(
-        F.transform(F.array_sort(F.collect_set(named)), lambda r: r["feature"]).alias("regressor_names")
-    )
-
-
-def fit_plan(features: DataFrame, runs: DataFrame, wanted: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per fit with all it needs beside the daily rows."""
-    return (
-        wanted.join(
-            runs.select(*RUN_KEYS, "campaign_start", "alpha", "fit_method", "monthly_seasonality"), RUN_KEYS
-        )
-        .join(orders, RUN_KEYS)
-        .join(hyperpriors(features), RUN_KEYS)
-        .join(regressor_names(features), RUN_KEYS)
-    )
-
-
-def _seed(*key) -> int:
-    return int.from_bytes(hashlib.sha256("|".join(key).encode()).digest()[:8], "big")
-
-
-def _fit_one(rows: pd.DataFrame, plan) -> dict:
-    """Fit one group; returns the result columns that depend on the fit."""
-    if plan.fit_method not in FIT_METHODS:
-        raise ValueError(f"unknown fit method {plan.fit_method!r}")
-    rows = rows.sort_values("reference_date")
-    before = (rows["reference_date"] < plan.campaign_start).to_numpy()
-    if before.sum() < 14 or before.all():
-        raise ValueError("too few days before or after the campaign start")
-    mean, std = float(rows["mean"].iloc[0]), float(rows["std"].iloc[0])
-    if not std > 0:
-        raise ValueError("target has no variance before the campaign start")
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
-    observed = rows["observed"].to_numpy(dtype=float)
-    columns = np.column_stack([rows["y"].to_numpy(dtype=float)[before], x[before]])
-    prior = (plan.prior_alpha, plan.prior_beta) if plan.prior_beta and plan.prior_beta > 0 else None
-    spec = Spec(plan.candidate, bool(plan.monthly_seasonality), int(plan.ar_order), prior)
-    mode = search(spec, columns)
-    if not np.isfinite(mode.score):
-        raise ValueError("no finite likelihood")
-    ahead = forecast(spec, mode.theta, mode.weight, columns, x[~before])
-    z, days = two_sided_z(plan.alpha), (~before).sum()
-    level = mean + std * ahead.mean
-    lower, upper = level - z * std * ahead.sd, level + z * std * ahead.sd
-    cum_mean = mean * np.arange(1, days + 1) + std * ahead.cum_mean
-    cum_lower, cum_upper = cum_mean - z * std * ahead.cum_sd, cum_mean + z * std * ahead.cum_sd
-    p_value = None
-    surplus = observed[~before].sum() - cum_mean[-1]
-    cum_sd = std * ahead.cum_sd[-1]
-    if plan.fit_method == "sample":
-        rng = np.random.default_rng(_seed(plan.analysis_id, plan.run_kind, plan.candidate))
-        paths = mean + std * sample_paths(spec, mode, columns, x[~before], rng)
-        tails = [plan.alpha / 2, 1 - plan.alpha / 2]
-        lower[~before], upper[~before] = np.quantile(paths, tails, axis=0)
-        level[~before] = paths.mean(axis=0)
-        sums = paths.cumsum(axis=1)
-        cum_mean = sums.mean(axis=0)
-        cum_lower, cum_upper = np.quantile(sums, tails, axis=0)
-        total = observed[~before].sum()
-        p_value = min((sums[:, -1] > total).sum(), (sums[:, -1] < total).sum()) / (len(paths) + 1)
-    parts = smooth(spec, mode.theta, columns, ahead.beta)
-    gap = [None] * int(before.sum())
-    return {
-        "p_value": p_value,
-        "surplus_z": surplus / cum_sd if cum_sd > 0 else None,
-        "score": mode.score,
-        "dates": rows["reference_date"].tolist(),
-        "observed": observed.tolist(),
-        "mean": level.tolist(),
-        "lower": lower.tolist(),
-        "upper": upper.tolist(),
-        "cum_mean": gap + cum_mean.tolist(),
-        "cum_lower": gap + cum_lower.tolist(),
-        "cum_upper": gap + cum_upper.tolist(),
-        "component_names": list(parts),
-        "component_values": [v.tolist() for v in parts.values()],
-        "scaled_target": columns[:, 0].tolist(),
-        "regressor_names": list(plan.regressor_names),
-        "weights": ahead.beta.tolist(),
-    }
-
-
-_PLAN_COLUMNS = ["candidate_ord", "campaign_start", "alpha", "ar_order", "fit_method"]
-_RESULT_COLUMNS = [
-    "p_value", "surplus_z", "score", "dates", "observed", "mean", "lower", "upper", "cum_mean", "cum_lower",
-    "cum_upper", "component_names", "component_values", "scaled_target", "regressor_names", "weights",
-]
-
-
-def _fit_group(key: tuple, rows: pd.DataFrame, plans: pd.DataFrame) -> pd.DataFrame:
-    if plans.empty:
-        return pd.DataFrame(columns=[*FIT_KEYS, *_PLAN_COLUMNS, "status", "elapsed_s", *_RESULT_COLUMNS])
-    plan = next(plans.itertuples(index=False))
-    started = time.perf_counter()
-    try:
-        found, status = _fit_one(rows, plan), "ok"
-    except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:
-        # A series that cannot be fitted must not end the job of all others.
-        found, status = {}, f"failed: {error}"
-    out = {k: getattr(plan, k) for k in [*FIT_KEYS, *_PLAN_COLUMNS]}
-    out |= {"status": status, "elapsed_s": time.perf_counter() - started}
-    out |= {c: found.get(c) for c in _RESULT_COLUMNS}
-    return pd.DataFrame({c: [v] for c, v in out.items()})
-
-
-def fit_sts(features: DataFrame, plan: DataFrame, scope: str = "pre", partitions: int | None = None) -> DataFrame:
-    """Fit every row of ``plan``; one result row per fit (arrays by day), see FIT_SCHEMA.
-
-    A group is one analysis' daily rows, bounded by its calendar and its own regressors. The
-    explicit partition count keeps adaptive execution from packing these small but slow groups
-    into few tasks; groups beyond the cores simply queue.
-    """
-    spark = features.sparkSession
-    # Under dynamic allocation few cores may be known yet, the shuffle setting says what is meant.
-    meant = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = partitions or max(4 * spark.sparkContext.defaultParallelism, meant)
-    rows = design(features, scope).drop("campaign_start").join(plan.select(*FIT_KEYS), RUN_KEYS)
-    plan = plan.select(*[F.col(c).alias(c) for c in plan.columns])
-    fits = (
-        rows.repartition(n, *FIT_KEYS)
-        .groupBy(*FIT_KEYS)
-        .cogroup(plan.repartition(n, *FIT_KEYS).groupBy(*FIT_KEYS))
-        .applyInPandas(_fit_group, FIT_SCHEMA)
-    )
-    return fits.withColumn("p_value", F.coalesce("p_value", normal_tail(F.col("surplus_z")))).drop("surplus_z")
-
-
-def predictions(fits: DataFrame) -> DataFrame:
-    """Fits to one row per day: observed, mean, lower, upper and bounds of the running post sum."""
-    zipped = F.arrays_zip("dates", "observed", "mean", "lower", "upper", "cum_mean", "cum_lower", "cum_upper")
-    return (
-        fits.where(F.col("status") == "ok")
-        .select(*FIT_KEYS, "candidate_ord", "campaign_start", F.inline(zipped))
-        .withColumnRenamed("dates", "reference_date")
-    )
-
-
-def components(fits: DataFrame) -> DataFrame:
-    """Smoothed components before the campaign on the standardised scale, and the observed target."""
-    named = F.concat(
-        F.arrays_zip(F.col("component_names").alias("component"), F.col("component_values").alias("values")),
-        F.array(F.struct(F.lit("Observed").alias("component"), F.col("scaled_target").alias("values"))),
-    )
-    return (
-        fits.where(F.col("status") == "ok")
-        .select(*FIT_KEYS, "dates", F.inline(named))
-        .select(*FIT_KEYS, "component", F.posexplode("values").alias("i", "value"), F.col("dates"))
-        .select(*FIT_KEYS, "component", F.get("dates", F.col("i")).alias("reference_date"), "value")
-    )
+def _with_z(fitted: DataFrame, alpha: float, alphas: DataFrame | None) -> DataFrame:
+    """Add the two-sided normal quantile of each run's own level, or of the one level for all."""
+    if alphas is None:
+        return fitted.withColumn("z", F.lit(two_sided_z(alpha)))
+    level = alphas.select(*RUN_KEYS, (1 - F.col("alpha") / 2).alias("tail"))
+    return fitted.join(with_normal_quantile(level, "tail", "z").drop("tail"), RUN_KEYS, "left")
 
 
-def importance(fits: DataFrame) -> DataFrame:
-    """Regressors by the size of their standardised coefficient, largest first."""
-    pairs = F.arrays_zip(
-        F.col("regressor_names").alias("regressor_name"),
-        F.transform("weights", lambda w: F.abs(w)).alias("regressor_importance"),
-    )
-    return (
-        fits.where(F.col("status") == "ok")
-        .select(*FIT_KEYS, F.inline(pairs))
-        .withColumn(
-            "rank",
-            F.row_number().over(
-                Window.partitionBy(*FIT_KEYS).orderBy(F.col("regressor_importance").desc(), "regressor_name")
-            ),
-        )
-    )
+def _with_bounds(rows: DataFrame) -> DataFrame:
+    margin = F.col("z") * F.col("sd")
+    return rows.select(
+        *FIT_KEYS, "campaign_start", "reference_date", "observed", "mean",
+        (F.col("mean") - margin).alias("lower"), (F.col("mean") + margin).alias("upper"), "sd",
+    )
 
 
 def control_regressions(features: DataFrame, alpha: float = 0.05, alphas: DataFrame | None = None, each_control: bool = True) -> DataFrame:
@@ -308,7 +113,7 @@ def control_regressions(features: DataFrame, alpha: float = 0.05, alphas: DataFr
     by_day = used.groupBy(*days).agg(
         F.max(F.when(is_target, F.col("value"))).alias("observed"), F.avg(F.when(~is_target, F.col("value"))).alias("x")
     )
-    rows = by_day.select(*days, F.lit("control_mean").alias("candidate"), "observed", "x")
+    rows = by_day.select(*days, F.lit(CONTROL_MEAN).alias("candidate"), "observed", "x")
     if each_control:
         single = used.where(~is_target).select(*days, F.col("feature").alias("candidate"), F.col("value").alias("x"))
         rows = rows.unionByName(single.join(by_day.select(*days, "observed"), days).select(*rows.columns))
@@ -327,16 +132,35 @@ def control_regressions(features: DataFrame, alpha: float = 0.05, alphas: DataFr
         )
         .select(*FIT_KEYS, slope.alias("slope"), "centre_x", "centre_y", F.sqrt(F.greatest(spread, F.lit(0.0))).alias("sd"))
     )
-    if alphas is None:
-        fitted = fitted.withColumn("z", F.lit(two_sided_z(alpha)))
-    else:
-        level = alphas.select(*RUN_KEYS, (1 - F.col("alpha") / 2).alias("tail"))
-        fitted = fitted.join(with_normal_quantile(level, "tail", "z").drop("tail"), RUN_KEYS, "left")
     mean = F.col("centre_y") + F.col("slope") * (F.col("x") - F.col("centre_x"))
-    return (
-        rows.join(fitted, FIT_KEYS)
-        .withColumn("mean", mean)
-        .withColumn("lower", F.col("mean") - F.col("z") * F.col("sd"))
-        .withColumn("upper", F.col("mean") + F.col("z") * F.col("sd"))
-        .select(*FIT_KEYS, "campaign_start", "reference_date", "observed", "mean", "lower", "upper", "sd")
+    return _with_bounds(rows.join(_with_z(fitted, alpha, alphas), FIT_KEYS).withColumn("mean", mean))
+
+
+def trend_regression(features: DataFrame, alpha: float = 0.05, alphas: DataFrame | None = None) -> DataFrame:
+    """Candidate ``weekly_trend``: a straight line through the days before the campaign plus the mean rest of each weekday."""
+    number, weekday = F.unix_date("reference_date").alias("number"), F.dayofweek("reference_date").alias("weekday")
+    target = features.where(F.col("role") == "target")
+    days = target.select(*RUN_KEYS, "campaign_start", "reference_date", number, weekday, F.col("value").alias("observed"))
+    before = F.col("reference_date") < F.col("campaign_start")
+    line = days.where(before).groupBy(*RUN_KEYS).agg(
+        F.coalesce(F.regr_slope("observed", "number"), F.lit(0.0)).alias("slope"), F.avg("number").alias("centre_x"), F.avg("observed").alias("centre_y")
     )
+    straight = F.col("centre_y") + F.col("slope") * (F.col("number") - F.col("centre_x"))
+    on_line = days.join(line, RUN_KEYS).withColumn("line", straight).withColumn("rest", F.col("observed") - straight)
+    phases = on_line.where(before).groupBy(*RUN_KEYS, "weekday").agg(F.avg("rest").alias("phase"), F.count("rest").alias("n"), F.sum(F.col("rest") ** 2).alias("squares"))
+    # The rest of a weekday has its mean as centre, so its squared sum splits into mean and spread.
+    left = F.sum(F.col("squares") - F.col("n") * F.col("phase") ** 2)
+    spread = phases.groupBy(*RUN_KEYS).agg(F.sqrt(F.greatest(left / F.sum("n"), F.lit(0.0))).alias("sd"))
+    rows = on_line.join(phases.select(*RUN_KEYS, "weekday", "phase"), [*RUN_KEYS, "weekday"], "left").join(_with_z(spread, alpha, alphas), RUN_KEYS)
+    mean = F.col("line") + F.coalesce("phase", F.lit(0.0))
+    return _with_bounds(rows.withColumn("mean", mean).withColumn("candidate", F.lit(WEEKLY_TREND)))
+
+
+def candidate_order() -> Column:
+    """Sort key of candidates: the mean of the controls, each control by name, the trend."""
+    return F.struct(F.col("candidate") == WEEKLY_TREND, F.col("candidate") != CONTROL_MEAN, F.col("candidate"))
+
+
+def all_candidates(features: DataFrame, alphas: DataFrame) -> DataFrame:
+    """Predictions of every candidate of every run, at each run's own level."""
+    return control_regressions(features, alphas=alphas).unionByName(trend_regression(features, alphas=alphas))

@@ -45,23 +45,26 @@ def placebo_verdict(p_values: DataFrame, analyses: DataFrame) -> DataFrame:
     )
 
 
+def placebo_winners(winners: DataFrame, scores: DataFrame) -> DataFrame:
+    """Winners of the main runs, and for each placebo the candidate of its main run with the error it has there."""
+    main = winners.where(F.col("run_kind") == MAIN)
+    taken = placebo_candidates(main).select(*RUN_KEYS, "candidate")
+    return main.unionByName(scores.join(taken, [*RUN_KEYS, "candidate"]).select(*main.columns))
+
+
 def run_table(
-    runs: DataFrame, winners: DataFrame, fits: DataFrame, status: DataFrame, verdicts: DataFrame
+    runs: DataFrame, winners: DataFrame, p_values: DataFrame, orders: DataFrame, status: DataFrame, verdicts: DataFrame
 ) -> DataFrame:
-    """One row per run: window, flags, selected trend, error, p value, times and the placebo's verdict.
+    """One row per run: window, flags, selected candidate, error, p value and the placebo's verdict.
 
-    ``elapsed_s`` adds up all candidates of the run. The status names what kept a run from a result.
+    The status names what kept a run from a result; ``elapsed_s`` is filled in when results are saved.
     """
     chosen = winners.select(*RUN_KEYS, F.col("candidate").alias("model_name"), "mape")
-    per_run = fits.groupBy(*RUN_KEYS).agg(
-        F.sum("elapsed_s").alias("elapsed_s"), F.min("status").alias("worst"), F.count_if(F.col("status") == "ok").alias("fitted")
-    )
-    picked = fits.select(*RUN_KEYS, F.col("candidate").alias("model_name"), "p_value", "ar_order")
     return (
         runs.join(status.select(*RUN_KEYS, "first_day", "last_day", F.col("status").alias("period_status")), RUN_KEYS, "left")
-        .join(per_run, RUN_KEYS, "left")
         .join(chosen, RUN_KEYS, "left")
-        .join(picked, [*RUN_KEYS, "model_name"], "left")
+        .join(p_values.select(*RUN_KEYS, "p_value"), RUN_KEYS, "left")
+        .join(orders.select(*RUN_KEYS, "ar_order"), RUN_KEYS, "left")
         .join(verdicts.select("analysis_id", "specificity_test"), "analysis_id", "left")
         .select(
             *RUN_KEYS,
@@ -72,17 +75,16 @@ def run_table(
             "monthly_seasonality",
             "yearly_seasonality",
             "fix_order",
-            "fit_method",
             "alpha",
             "model_name",
             "ar_order",
             "mape",
             "p_value",
             F.when(F.col("run_kind") == MAIN, F.col("specificity_test")).alias("specificity_test"),
-            "elapsed_s",
+            F.lit(None).cast("double").alias("elapsed_s"),
             F.when(F.col("period_status") != "ok", F.col("period_status"))
-            .when(F.coalesce("fitted", F.lit(0)) > 0, "ok")
-            .otherwise(F.coalesce("worst", F.lit("not fitted")))
+            .when(F.col("model_name").isNull(), "no candidate")
+            .otherwise("ok")
             .alias("status"),
         )
     )

@@ -5,6 +5,7 @@ Results carry days as ISO text and rounded doubles so that they compare across e
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -398,8 +399,9 @@ def features_long(spark, sf_dir):
 
 @query
 def features_wide(spark, sf_dir):
-    """Names and values come from the stored feature table, so the fact is read once."""
-    return features.feature_wide(stages.cut_lineage(_features(spark, sf_dir, "visitor", visitor_usage=True)))
+    """Columns are named beforehand: every region as target, control and visitor."""
+    columns = [prefix + name.replace(" ", "_") for prefix in ("metric_in_perim_", "metric_", "visitor_") for name in W.REGIONS]
+    return features.feature_wide(_features(spark, sf_dir, "visitor", visitor_usage=True), columns)
 
 
 @query
@@ -413,7 +415,7 @@ def month_dummies(spark, sf_dir):
     """Twelve 0/1 columns beside the target of each day."""
     analyses, series = _series(spark, sf_dir, "target", yearly_seasonality=True)
     runs = runs_ops.expand_runs(analyses)
-    dummies = features.feature_wide(features.month_dummies(runs))
+    dummies = features.feature_wide(features.month_dummies(runs), [f"month_{m}" for m in calendar.month_name[1:]])
     target = features.feature_long(series, runs).select(*RUN_KEYS, "reference_date", "value")
     return target.join(dummies, [*RUN_KEYS, "reference_date"])
 
@@ -546,28 +548,6 @@ def single_control_fit(spark, sf_dir):
     return _predictions(spark, sf_dir)
 
 
-def _panel_fits(spark, sf_dir) -> DataFrame:
-    """Main runs of the region panel: search and fit every candidate."""
-    analyses = W.region_analyses(spark, sf_dir)
-    cleaned = stages.cut_lineage(clean.clean_features(_features(spark, sf_dir)))
-    return panel.fit_main(cleaned, runs_ops.expand_runs(analyses))
-
-
-@query
-def sts_predictions(spark, sf_dir):
-    return model.predictions(_panel_fits(spark, sf_dir)).drop("campaign_start")
-
-
-@query
-def components(spark, sf_dir):
-    return model.components(_panel_fits(spark, sf_dir))
-
-
-@query(digits=6)
-def importance(spark, sf_dir):
-    return model.importance(_panel_fits(spark, sf_dir))
-
-
 # --- selection --------------------------------------------------------------------------------
 
 
@@ -578,9 +558,7 @@ def inference_errors(spark, sf_dir):
 
 def _scores(spark, sf_dir) -> DataFrame:
     """Error of every regression candidate, the control mean first, then the controls by name."""
-    scores = selection.mape(_regressions(spark, sf_dir), model.FIT_KEYS).withColumn("mape", F.round("mape", 6))
-    order = Window.partitionBy(*RUN_KEYS).orderBy(F.col("candidate") != "control_mean", "candidate")
-    return scores.withColumn("candidate_ord", F.row_number().over(order) - 1)
+    return panel.scored(_regressions(spark, sf_dir))
 
 
 @query(digits=6)
@@ -720,7 +698,7 @@ def run_exists(spark, sf_dir):
 
 @query
 def panel_runs(spark, sf_dir):
-    """The whole pipeline on the region panel: search, placebo, verdict; one row per run."""
+    """The whole pipeline on the region panel: candidates, placebo, verdict; one row per run."""
     analyses, series = _series(spark, sf_dir, "target", "control", add_holidays=True)
     tables = panel.run_panel(series, analyses, W.holiday_dates(spark, sf_dir))
-    return tables["runs"].drop("elapsed_s")
+    return tables["runs"].drop("elapsed_s").withColumns({c: F.round(c, 4) for c in ("mape", "p_value")})

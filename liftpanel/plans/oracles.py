@@ -6,6 +6,8 @@ its counterpart in catalog.py. Days are given as text and doubles rounded, as th
 
 from __future__ import annotations
 
+import re
+
 from liftpanel.functions import normal
 from liftpanel.functions.normal import two_sided_z
 
@@ -463,6 +465,81 @@ CTES["scaled"] = (
                      stddev_pop(value) FILTER (d < cs) OVER (PARTITION BY {KEYS}, feature) AS std FROM features)""",
     ("features",),
 )
+
+
+def _on(name: str, **instead: str) -> tuple[str, tuple[str, ...]]:
+    """A common table expression that reads other tables than it was written for."""
+    text, needs = CTES[name]
+    for old, new in instead.items():
+        text = re.sub(rf"\b{old}\b", new, text)
+    return text, tuple(instead.get(n, n) for n in needs)
+
+
+# The panel's own cleaning and candidates, on the features as they are.
+CTES["head0"] = _on("head", faulty="features")
+CTES["dead0"] = _on("dead", faulty="features")
+CTES["clean0"] = _on("clean", faulty="features", head="head0", dead="dead0")
+CTES["status0"] = (
+    f"""
+        SELECT {KEYS}, f, l, CASE WHEN f + INTERVAL 6 MONTHS <= cs AND datediff('day', cs, l) >= 10
+                                  THEN 'ok' ELSE 'period too short' END AS status
+        FROM (SELECT {KEYS}, cs, min(d) AS f, max(d) AS l FROM clean0 WHERE role = 'target' GROUP BY {KEYS}, cs)""",
+    ("clean0",),
+)
+CTES["usable0"] = (
+    f"SELECT c.* FROM clean0 c JOIN status0 USING ({KEYS}) WHERE status = 'ok'",
+    ("clean0", "status0"),
+)
+CTES["candidate_x0"] = _on("candidate_x", features="usable0")
+CTES["regression0"] = _on("regression", candidate_x="candidate_x0")
+CTES["line0"] = (
+    f"""
+        SELECT *, observed - line AS rest
+        FROM (
+            SELECT *, coalesce(regr_slope(observed, number) FILTER (d < cs) OVER w, 0.0)
+                      * (number - avg(number) FILTER (d < cs) OVER w) + avg(observed) FILTER (d < cs) OVER w AS line
+            FROM (SELECT {KEYS}, cs, d, value AS observed, datediff('day', DATE '1970-01-01', d) AS number
+                  FROM usable0 WHERE role = 'target')
+            WINDOW w AS (PARTITION BY {KEYS}))""",
+    ("usable0",),
+)
+CTES["trend0"] = (
+    f"""
+        SELECT {KEYS}, 'weekly_trend' AS candidate, cs, d, observed, line + coalesce(phase, 0.0) AS mean,
+               sqrt(avg((rest - phase) * (rest - phase)) FILTER (d < cs) OVER (PARTITION BY {KEYS})) AS sd
+        FROM (SELECT *, avg(rest) FILTER (d < cs) OVER (PARTITION BY {KEYS}, dayofweek(d)) AS phase FROM line0)""",
+    ("line0",),
+)
+CTES["candidates0"] = (
+    f"""
+        SELECT {KEYS}, candidate, cs, d, observed, mean, sd FROM regression0
+        UNION ALL SELECT {KEYS}, candidate, cs, d, observed, mean, sd FROM trend0""",
+    ("regression0", "trend0"),
+)
+CTES["scores0"] = (
+    f"""
+        SELECT *, row_number() OVER (PARTITION BY {KEYS}
+                                     ORDER BY candidate = 'weekly_trend', candidate <> 'control_mean', candidate) AS ord
+        FROM (SELECT {KEYS}, candidate, {r('avg(abs((observed - mean) / nullif(observed, 0)))', 6)} AS mape
+              FROM candidates0 GROUP BY {KEYS}, candidate)""",
+    ("candidates0",),
+)
+CTES["chosen0"] = (
+    """
+        SELECT s.analysis_id, s.run_kind, s.candidate, s.mape
+        FROM scores0 s JOIN (
+            SELECT analysis_id, candidate FROM scores0 WHERE run_kind = 'main'
+            QUALIFY row_number() OVER (PARTITION BY analysis_id ORDER BY mape NULLS LAST, ord) = 1) w
+          ON w.analysis_id = s.analysis_id AND w.candidate = s.candidate""",
+    ("scores0",),
+)
+CTES["p0"] = (
+    f"""
+        SELECT {KEYS}, {tail('z')} AS p_value
+        FROM (SELECT {KEYS}, (sum(observed) - sum(mean)) / nullif(sqrt(sum(sd * sd)), 0) AS z
+              FROM candidates0 JOIN chosen0 USING ({KEYS}, candidate) WHERE d >= cs GROUP BY {KEYS})""",
+    ("candidates0", "chosen0"),
+)
 RECURSIVE = ("levinson",)
 
 
@@ -916,6 +993,20 @@ ORACLES: dict[str, str] = {
 }
 
 
+ORACLES["panel_runs"] = _with(
+    f"""SELECT u.analysis_id, u.run_kind, u.analysis_id AS target, {day('s.f')} AS start, {day('u.cs')} AS campaign_start,
+               {day('s.l')} AS "end", false AS monthly_seasonality, false AS yearly_seasonality, true AS fix_order,
+               0.05 AS alpha, c.candidate AS model_name, CAST(1 AS INTEGER) AS ar_order, {r('c.mape')} AS mape,
+               {r('p.p_value')} AS p_value,
+               CASE WHEN u.run_kind = 'main' AND q.p_value IS NOT NULL
+                    THEN CASE WHEN 1 - q.p_value >= 0.95 THEN 'Negative' ELSE 'Positive' END END AS specificity_test,
+               CASE WHEN s.status <> 'ok' THEN s.status WHEN c.candidate IS NULL THEN 'no candidate' ELSE 'ok' END AS status
+        FROM runs u LEFT JOIN status0 s USING ({KEYS}) LEFT JOIN chosen0 c USING ({KEYS}) LEFT JOIN p0 p USING ({KEYS})
+        LEFT JOIN p0 q ON q.analysis_id = u.analysis_id AND q.run_kind = 'spec'""",
+    "runs", "status0", "chosen0", "p0",
+)
+
+
 def _for_nations(sql: str) -> str:
     """The same query with nations in the place of regions."""
     return (

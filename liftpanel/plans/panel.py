@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from liftpanel.operators import clean, effects, features, model, selection, stationarity
 from liftpanel.operators.explore import pre_target
 from liftpanel.operators.runs import expand_runs
-from liftpanel.schema import MAIN, PLACEBO, RUN_KEYS
+from liftpanel.schema import RUN_KEYS
 from liftpanel.sources import stages
-from pyspark.sql import functions as F
 
 
 def dataset(series: DataFrame, analyses: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
@@ -17,30 +19,11 @@ def dataset(series: DataFrame, analyses: DataFrame, holidays: DataFrame | None =
     return features.analytical_dataset(series, expand_runs(analyses), holidays)
 
 
-def fit_main(cleaned: DataFrame, runs: DataFrame, scope: str = "pre") -> DataFrame:
-    """Search: test the target's stationarity, fit every candidate of every main run."""
-    main = cleaned.where(F.col("run_kind") == MAIN)
-    main_runs = runs.where(F.col("run_kind") == MAIN)
-    target = pre_target(main)
-    verdicts = stationarity.adf_test(stationarity.seasonal_additive(target))
-    wanted = stationarity.candidates(verdicts, main_runs)
-    orders = stationarity.ar_order(target, main_runs)
-    return model.fit_sts(main, model.fit_plan(main, main_runs, wanted, orders), scope)
-
-
-def fit_placebo(cleaned: DataFrame, runs: DataFrame, winners: DataFrame, scope: str = "pre") -> DataFrame:
-    """Fit every placebo run once, with the trend of its main run."""
-    placebo = cleaned.where(F.col("run_kind") == PLACEBO)
-    placebo_runs = runs.where(F.col("run_kind") == PLACEBO)
-    orders = stationarity.ar_order(pre_target(placebo), placebo_runs)
-    plan = model.fit_plan(placebo, placebo_runs, selection.placebo_candidates(winners), orders)
-    return model.fit_sts(placebo, plan, scope)
-
-
-def select(fits: DataFrame, scope: str = "all") -> DataFrame:
-    """Winner per run by error."""
-    scored = selection.mape(model.predictions(fits), [*model.FIT_KEYS, "candidate_ord"], scope)
-    return selection.select_model(scored)
+def scored(predicted: DataFrame, scope: str = "all") -> DataFrame:
+    """Error of every candidate of every run to 6 digits, with the order in which ties resolve."""
+    scores = selection.mape(predicted, model.FIT_KEYS, scope).withColumn("mape", F.round("mape", 6))
+    order = Window.partitionBy(*RUN_KEYS).orderBy(model.candidate_order())
+    return scores.withColumn("candidate_ord", F.row_number().over(order) - 1)
 
 
 def run_panel(
@@ -50,11 +33,11 @@ def run_panel(
     mape_scope: str = "all",
     strict: bool = False,
 ) -> dict[str, DataFrame]:
-    """From role series to the result tables, see stages.RESULT_TABLES.
+    """From role series to the result tables, see stages.RESULT_SCHEMAS.
 
-    Runs that break the period rules are not fitted and say so in ``runs``; ``strict`` raises
-    instead. The cleaned features and the fits are cut from their lineage, since several tables
-    are read from each and a fit must not be repeated for every one of them.
+    Candidates of the main run compete by error; the placebo takes over the winner's. Runs that break the
+    period rules get no predictions and say so in ``runs``; ``strict`` raises instead. Cleaned features and
+    candidate predictions, which several tables read, are cut from their lineage: both are computed here.
     """
     runs = expand_runs(analyses)
     cleaned = stages.cut_lineage(clean.clean_features(dataset(series, analyses, holidays)))
@@ -62,19 +45,26 @@ def run_panel(
     if strict:
         clean.require_periods(status)
     usable = cleaned.join(status.where(F.col("status") == "ok").select(*RUN_KEYS), RUN_KEYS, "left_semi")
-    main = stages.cut_lineage(fit_main(usable, runs))
-    winners = select(main, mape_scope)
-    placebo = stages.cut_lineage(fit_placebo(usable, runs, winners))
-    fits = main.unionByName(placebo)
-    chosen = winners.unionByName(select(placebo, mape_scope))
-    best = fits.join(chosen.select(*model.FIT_KEYS), model.FIT_KEYS, "left_semi")
-    predicted = model.predictions(best)
-    verdicts = selection.placebo_verdict(best.select(*RUN_KEYS, "p_value"), analyses)
+    candidates = stages.cut_lineage(model.all_candidates(usable, runs.select(*RUN_KEYS, "alpha")))
+    scores = scored(candidates, mape_scope)
+    chosen = selection.placebo_winners(selection.select_model(scores), scores)
+    predicted = candidates.join(chosen.select(*model.FIT_KEYS), model.FIT_KEYS, "left_semi").drop("candidate")
+    p_values = effects.p_value(predicted)
+    orders = stationarity.ar_order(pre_target(usable), runs)
+    verdicts = selection.placebo_verdict(p_values, analyses)
     return {
-        "runs": selection.run_table(runs, chosen, fits, status, verdicts),
+        "runs": selection.run_table(runs, chosen, p_values, orders, status, verdicts),
         "inferences": effects.inferences(predicted),
         "summary_data": effects.summary(predicted),
-        "components": model.components(best).drop("candidate"),
-        "importance": model.importance(best).drop("candidate"),
         "features": model.standardize(cleaned),
     }
+
+
+def save_panel(tables: dict[str, DataFrame], path: str) -> None:
+    """Save all tables of ``run_panel``, the register last: with the seconds that the others took."""
+    started = time.perf_counter()
+    register = tables["runs"]
+    keys = register.select(*RUN_KEYS)
+    stages.save_results({k: v for k, v in tables.items() if k != "runs"}, path, keys)
+    took = F.lit(time.perf_counter() - started)
+    stages.save_results({"runs": register.withColumn("elapsed_s", took)}, path, keys)

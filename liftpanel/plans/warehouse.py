@@ -19,7 +19,8 @@ HOLIDAYS = (("01-01", "New Year"), ("05-01", "Labour Day"), ("12-25", "Christmas
 
 BRAND = "brand"
 
-# Levels of two columns of the orders.
+# The regions, and levels of two columns of the orders.
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 ORDER_STATUSES = ["F", "O", "P"]
 ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 

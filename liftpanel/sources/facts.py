@@ -43,10 +43,12 @@ def day_grain(fact: DataFrame, ts_col: str, date_col: str = "reference_date") ->
 def load_months(source: DataFrame, path: str, date_col: str, start, campaign_start, end) -> None:
     """Copy every whole month the analysis needs into a month-partitioned table at ``path``.
 
-    One job for all months. Each month is replaced as a whole, so a second run after a failure
-    gives the same table; months outside the range are left alone. ``rebalance`` lets Spark
-    split a month that is much larger than the others instead of writing it from one task.
+    One job for all months. Each month is replaced as a whole, also by nothing if the source has no rows of
+    it any more, so a second run after a failure gives the same table; months outside the range are left
+    alone. ``rebalance`` lets Spark split a month that is much larger than the others instead of writing
+    it from one task.
     """
+    spark = source.sparkSession
     day = F.to_date(date_col)
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     cs = F.lit(campaign_start).cast("date")
@@ -61,6 +63,11 @@ def load_months(source: DataFrame, path: str, date_col: str, start, campaign_sta
         .partitionBy("month")
         .parquet(path)
     )
+    whole = D.month_starts(D.whole_month_start(lo, cs, hi), D.whole_month_end(hi))
+    wanted = spark.range(1).select(F.explode(whole).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"))
+    there = spark.read.parquet(path).select(F.date_format(day, "yyyy-MM").alias("month")).distinct().join(wanted, "month")
+    for row in there.join(months.select("month").distinct(), "month", "left_anti").collect():
+        months.drop("month").limit(0).write.mode("overwrite").parquet(f"{path}/month={row['month']}")
 
 
 def read_cumulative_csv(spark: SparkSession, path: str, date_col: str) -> DataFrame:

@@ -1,17 +1,35 @@
-"""Stage tables, result tables and the register of runs, all Parquet partitioned by run."""
+"""Stage tables, result tables and the register of runs: Parquet in a fixed number of buckets of analyses.
+
+A table's schema is declared, so reading one run looks at no file of another bucket, and ids stay text.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liftpanel.schema import MAIN, RUN_KEYS, SERIES
 
-RESULT_TABLES = ("runs", "inferences", "summary_data", "components", "importance", "features")
+# Fixed value: buckets of a table; a bucket is what a change rewrites.
+BUCKETS = 64
+
+_EFFECTS = ", ".join(f"{k}_{b} double" for k in ("point_effects", "post_cum_effects") for b in ("means", "lower", "upper"))
+_PREDICTIONS = ", ".join(f"{k}_preds_{b} double" for k in ("complete",) for b in ("means", "lower", "upper"))
+RESULT_SCHEMAS = {
+    "runs": "analysis_id string, run_kind string, target string, start date, campaign_start date, end date, "
+    "monthly_seasonality boolean, yearly_seasonality boolean, fix_order boolean, alpha double, model_name string, ar_order int, "
+    "mape double, p_value double, specificity_test string, elapsed_s double, status string",
+    "inferences": "analysis_id string, run_kind string, campaign_start date, reference_date date, observed double, "
+    f"{_PREDICTIONS}, {_EFFECTS}, error double, perc_error double",
+    "summary_data": "analysis_id string, run_kind string, quantity_ord int, quantity string, average double, cumulative double",
+    "features": "analysis_id string, run_kind string, campaign_start date, role string, feature string, reference_date date, "
+    "value double, mean double, std double, scaled double",
+}
+RESULT_TABLES = tuple(RESULT_SCHEMAS)
 
 
 def empty_series(spark: SparkSession, schema: T.StructType = SERIES) -> DataFrame:
@@ -20,24 +38,15 @@ def empty_series(spark: SparkSession, schema: T.StructType = SERIES) -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in which lineage may be cut: the cluster's ``spark.checkpoint.dir``.
-
-    Only a local session, where driver and tasks share one disk, may fall back on a temporary folder.
-    """
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="liftpanel-")
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset one in the warehouse, which is shared too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/liftpanel-work"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and go on from there.
 
-    Lost executors then cost no refit, later readers take only the columns they need, and their
-    plans know the table's real size. The table stays until the folder is cleared.
+    Lost executors then cost a read, later readers take only the columns they need, and plans stay small.
+    The table stays until the folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/liftpanel-{uuid.uuid4().hex}"
@@ -45,45 +54,74 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_stage(df: DataFrame, path: str, partition_by=("analysis_id",)) -> None:
-    """Replace the partitions that ``df`` holds; other analyses in the table are kept."""
-    (
-        df.hint("rebalance", *partition_by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
+def bucket_of(analysis_id: Column) -> Column:
+    return F.pmod(F.xxhash64(analysis_id), F.lit(BUCKETS)).cast("int")
 
 
-def read_stage(spark: SparkSession, path: str, analysis_id: str | None = None) -> DataFrame:
-    """Read a stage; naming an analysis prunes to its partition. Columns added later are merged.
+def replaced(old: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
+    """``old`` without the rows whose key is in ``gone``, and ``new``. ``gone`` names the key columns, and must
+    name what ``new`` brings: a key without new rows is emptied."""
+    return old.join(gone.distinct(), gone.columns, "left_anti").unionByName(new, allowMissingColumns=True)
 
-    Partition values come back as text whatever they look like, so an id such as ``007`` survives.
-    """
-    inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    before = spark.conf.get(inference)
-    spark.conf.set(inference, "false")
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The whole table with its bucket; an empty one if there is none yet."""
+    full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
     try:
-        df = spark.read.option("mergeSchema", True).parquet(path)
-    finally:
-        spark.conf.set(inference, before)
-    return df if analysis_id is None else df.where(F.col("analysis_id") == analysis_id)
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
+
 
+def write_stage(df: DataFrame, path: str, keys=("analysis_id",), gone: DataFrame | None = None) -> None:
+    """Replace the rows of the keys in ``gone`` (default: those in ``df``) by ``df``; others are kept.
 
-def save_results(results: dict[str, DataFrame], path: str) -> None:
+    ``keys`` begin with ``analysis_id``. The buckets concerned are written anew, in one job, and swapped in
+    when it is done; a bucket that is left without rows becomes an empty file.
+    """
+    spark = df.sparkSession
+    keys = list(keys)
+    gone = (df if gone is None else gone).select(*keys).distinct()
+    buckets = sorted(r["bucket"] for r in gone.select(bucket_of(F.col("analysis_id")).alias("bucket")).distinct().collect())
+    old = _read(spark, path, df.schema).where(F.col("bucket").isin(buckets))
+    after = replaced(old.drop("bucket"), df, gone).withColumn("bucket", bucket_of(F.col("analysis_id")))
+    ordered = after.repartition(max(1, len(buckets)), "bucket").sortWithinPartitions("bucket", *keys)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    filled = {r["bucket"] for r in _read(spark, path, df.schema).where(F.col("bucket").isin(buckets)).join(gone, keys, "left_anti").select("bucket").distinct().collect()}
+    filled |= {r["bucket"] for r in df.select(bucket_of(F.col("analysis_id")).alias("bucket")).distinct().collect()}
+    for bucket in set(buckets) - filled:
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{path}/bucket={bucket}")
+
+
+def read_stage(spark: SparkSession, path: str, schema: T.StructType | str, analysis_id: str | None = None) -> DataFrame:
+    """Read a stage by its declared schema; naming an analysis reads its bucket only. Columns that a file has
+    not are null."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    table = _read(spark, path, schema)
+    if analysis_id is not None:
+        table = table.where((F.col("bucket") == bucket_of(F.lit(analysis_id))) & (F.col("analysis_id") == analysis_id))
+    return table.drop("bucket")
+
+
+def save_results(results: dict[str, DataFrame], path: str, keys: DataFrame | None = None) -> None:
+    """Save result tables. All rows of the runs in ``keys (RUN_KEYS)`` are replaced, also in tables that have
+    no rows for them any more; without it, the runs of each table."""
     unknown = set(results) - set(RESULT_TABLES)
     if unknown:
         raise ValueError(f"unknown result tables {sorted(unknown)}")
     for name, df in results.items():
-        write_stage(df, f"{path}/{name}", RUN_KEYS)
+        schema = T.StructType.fromDDL(RESULT_SCHEMAS[name])
+        typed = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+        write_stage(typed, f"{path}/{name}", RUN_KEYS, keys)
 
 
 def load_results(
     spark: SparkSession, path: str, analysis_id: str, run_kind: str = MAIN, tables=RESULT_TABLES
 ) -> dict[str, DataFrame]:
     return {
-        name: read_stage(spark, f"{path}/{name}", analysis_id).where(F.col("run_kind") == run_kind)
+        name: read_stage(spark, f"{path}/{name}", RESULT_SCHEMAS[name], analysis_id).where(F.col("run_kind") == run_kind)
         for name in tables
     }
 
@@ -102,23 +140,12 @@ def check_names(wanted: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def delete_run(spark: SparkSession, path: str, analysis_id: str, run_kind: str = MAIN) -> bool:
-    """Drop one run, main or placebo, from every result table; True if anything was there.
-
-    A run is one partition folder per table. The folder is taken from the files Spark itself lists
-    for that partition, so any id works however the path encodes it.
-    """
+    """Drop one run, main or placebo, from every result table; True if anything was there."""
+    gone = spark.createDataFrame([(analysis_id, run_kind)], "analysis_id string, run_kind string")
     found = False
-    for name in RESULT_TABLES:
-        files = (
-            read_stage(spark, f"{path}/{name}", analysis_id)
-            .where(F.col("run_kind") == run_kind)
-            .select(F.col("_metadata.file_path").alias("file"))
-            .distinct()
-            .limit(1)
-            .collect()
-        )
-        for row in files:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row["file"])).getParent()
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    for name, schema in RESULT_SCHEMAS.items():
+        there = read_stage(spark, f"{path}/{name}", schema, analysis_id).where(F.col("run_kind") == run_kind)
+        if not there.isEmpty():
+            write_stage(spark.createDataFrame([], schema), f"{path}/{name}", RUN_KEYS, gone)
             found = True
     return found

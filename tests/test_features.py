@@ -1,8 +1,9 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
-from liftpanel.operators import features, runs as runs_ops
+from liftpanel.operators import extract, features, runs as runs_ops
 from liftpanel.schema import SERIES
 from tests.helpers import DAY, analyses_df
 
@@ -79,13 +80,36 @@ def test_month_dummies_mark_exactly_one_level_a_day(spark):
     assert features.month_dummies(runs_ops.expand_runs(analyses(spark))).count() == 0
 
 
-def test_one_hot(spark):
-    df = spark.createDataFrame([("a", "u"), ("b", "u"), (None, "v")], "month_name string, k string")
-    levels = features.one_hot_levels(df, ["month_name", "k"])
-    assert levels == {"month_name": ["a", "b"], "k": ["u", "v"]}
-    got = features.one_hot(df, levels)
-    assert got.columns == ["month_name", "k", "month_a", "month_b", "k_u", "k_v"]
-    assert sorted(tuple(r)[2:] for r in got.collect()) == [(0, 0, 0, 1), (0, 1, 1, 0), (1, 0, 1, 0)]
+def test_indicator_columns(spark):
+    rows = [(1, "a", 1), (2, "b", None), (3, None, 2), (3, None, 2), (4, "other", 1)]
+    df = spark.createDataFrame(rows, "id int, month_name string, k int")
+    got = features.indicator_columns(df, "id", {"month_name": ["a", "b"], "k": ["1", "2"]}, {"month_name": "m", "k": "k"})
+    assert got.columns == ["id", "m_a", "m_b", "k_1", "k_2"]
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 1, 0), (2, 0, 1, 0, 0), (3, 0, 0, 0, 1), (4, 0, 0, 1, 0)]
+    with pytest.raises(ValueError, match="same column"):
+        features.indicator_columns(df, "id", {"month_name": ["a"], "k": ["a"]}, {"month_name": "x", "k": "x"})
+
+
+def test_features_that_share_a_name_stay_apart(spark):
+    """A blank beside its underscore twin, and a control named like the target's prefix."""
+    day = date(2020, 1, 1)
+    table = analyses_df(spark, [("x", "A", ["NEW YORK", "NEW_YORK", "in_perim_A", "B", "B", None], day, day + 5 * DAY, day + 9 * DAY)])
+    rows = [("control", d, day + i * DAY, v) for i in range(10) for d, v in (("NEW YORK", 1.0), ("NEW_YORK", 10.0), ("in_perim_A", 100.0), ("B", 5.0))]
+    rows += [("target", "A", day + i * DAY, 7.0) for i in range(10)]
+    daily = spark.createDataFrame(rows, "role string, campaign_dimension string, reference_date date, value double")
+    found = extract.series_for_analyses(daily, table)
+    long = features.feature_long(found, runs_ops.expand_runs(table)).where("run_kind = 'main'")
+    got = {r[0]: (r[1], r[2]) for r in long.groupBy("feature").agg(F.sum("value"), F.first("role")).collect()}
+    assert got == {
+        "metric_NEW_YORK~control~NEW YORK": (10.0, "control"),
+        "metric_NEW_YORK~control~NEW_YORK": (100.0, "control"),
+        "metric_in_perim_A~control~in_perim_A": (1000.0, "control"),
+        "metric_in_perim_A~target~A": (70.0, "target"),
+        "metric_B": (50.0, "control"),
+    }
+    shared = features.shared_names(found).collect()
+    assert len(shared) == 4 and all(r.status.startswith("name shared") for r in shared)
+
 
 
 def test_later_steps_per_feature_need_no_new_shuffle(spark):

@@ -10,8 +10,8 @@ from tools.compare import TABLES, rows_of
 
 # Queries of optional subpackages have tests of their own.
 ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
-# Iterative fits and tests have no SQL form; their numbers are tested against numpy.
-WITHOUT_SQL = {"adf", "sts_predictions", "components", "importance", "panel_runs"}
+# The unit-root regression has no SQL form; its numbers are tested against numpy.
+WITHOUT_SQL = {"adf"}
 
 
 @pytest.fixture(scope="module")

@@ -177,6 +177,21 @@ def test_a_keyword_all_analyses_ask_for(spark):
         assert r.n == (r.hi - r.lo).days + 1
 
 
+def test_only_the_brand_itself_is_exempt_and_lists_are_sets(spark):
+    """A keyword that begins like the brand's label is smoothed; one that is named twice counts once."""
+    days = [(g, k, date(2020, 1, 1) + i * DAY, float(i % 5 + 1)) for g, k in (("M", "global_news"), ("M", "news"), ("", "brand")) for i in range(90)]
+    daily = spark.createDataFrame(days, "geo string, keyword string, reference_date date, value double")
+    base = analyses_df(spark, [("a", "T", ["c"], date(2020, 1, 20), date(2020, 2, 20), date(2020, 3, 1))], gtrend_usage=True, disable_gtrend=False, gtrend_smooth=True)
+    table = base.withColumns({"keywords": F.expr("array('news', 'global_news', 'news', null)"), "geo": F.lit("M")})
+    got = interest.interest_series(daily, daily, table, "brand").collect()
+    by_keyword = {}
+    for r in got:
+        by_keyword.setdefault(r.campaign_dimension, {})[r.reference_date] = r.value
+    assert set(by_keyword) == {"news", "global_news", "global_brand"}
+    assert by_keyword["news"] == by_keyword["global_news"] != by_keyword["global_brand"]
+    assert len(got) == 3 * len(by_keyword["news"])
+
+
 def test_interest_switches(spark):
     weekly, daily = interest_tables(spark)
 

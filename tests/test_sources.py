@@ -79,7 +79,10 @@ def test_analyses_defaults(spark):
     df = analyses_df(spark, [("a", "t", ["c"], date(2020, 1, 1), date(2020, 6, 1), date(2020, 7, 1))])
     assert df.columns == ANALYSES.names
     row = df.first()
-    assert row.search_model == "search" and row.alpha == 0.05 and row.keywords == [] and row.disable_gtrend
+    assert row.search_model == "search" and row.alpha == 0.05 and row.keywords == [] and row.disable_gtrend and row.geo == "t"
+    cells = df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in ("alpha", "spec_thr", "visitor_usage", "geo")})
+    row = analyses_table(cells.withColumn("country", F.lit("DE"))).first()
+    assert (row.alpha, row.spec_thr, row.visitor_usage, row.geo) == (0.05, 0.95, False, "DE")
     with pytest.raises(ValueError, match="controls"):
         analyses_table(df.drop("controls"))
 
@@ -89,35 +92,55 @@ def test_empty_series_is_typed(spark):
     assert stages.empty_series(spark).count() == 0
 
 
-def test_stage_replaces_only_its_analyses_and_merges_new_columns(spark, tmp_path):
+def test_stage_replaces_only_its_analyses(spark, tmp_path):
     path = str(tmp_path / "stage")
-    stages.write_stage(spark.createDataFrame([("007", 1), ("b", 2)], "analysis_id string, v int"), path)
-    stages.write_stage(spark.createDataFrame([("007", 5, "x")], "analysis_id string, v int, w string"), path)
-    got = {(r.analysis_id, r.v, r.w) for r in stages.read_stage(spark, path).collect()}
-    assert got == {("007", 5, "x"), ("b", 2, None)}
-    one = stages.read_stage(spark, path, "007")
-    assert one.count() == 1
-    assert "PartitionFilters: [isnotnull(analysis_id" in plan_of(one)
+    stages.write_stage(spark.createDataFrame([("007", 1), ("b", 2), ("c", 3)], "analysis_id string, v int"), path)
+    schema = "analysis_id string, v int, w string"
+    stages.write_stage(spark.createDataFrame([("007", 5, "x")], schema), path)
+    got = {(r.analysis_id, r.v, r.w) for r in stages.read_stage(spark, path, schema).collect()}
+    assert got == {("007", 5, "x"), ("b", 2, None), ("c", 3, None)}
+    one = stages.read_stage(spark, path, schema, "007")
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(bucket" in plan_of(one)
+    gone = spark.createDataFrame([("b",), ("c",), ("never there",)], "analysis_id string")
+    stages.write_stage(spark.createDataFrame([("c", 9, None)], schema), path, gone=gone)
+    assert {tuple(r) for r in stages.read_stage(spark, path, schema).collect()} == {("007", 5, "x"), ("c", 9, None)}
 
 
 def test_results_round_trip_listing_and_deletion(spark, tmp_path):
     path = str(tmp_path / "results")
-    rows = [("a: 1", "main", 1.0), ("a: 1", "spec", 2.0), ("b", "main", 3.0)]
-    df = spark.createDataFrame(rows, "analysis_id string, run_kind string, v double")
-    stages.save_results({name: df for name in stages.RESULT_TABLES}, path)
+    ids = [("a: 1", "main"), ("a: 1", "spec"), ("b", "main")]
+    tables = {}
+    for name, ddl in stages.RESULT_SCHEMAS.items():
+        width = len(spark.createDataFrame([], ddl).columns)
+        tables[name] = spark.createDataFrame([(*i, *[None] * (width - 2)) for i in ids], ddl)
+    stages.save_results(tables, path)
     loaded = stages.load_results(spark, path, "a: 1", "spec")
-    assert set(loaded) == set(stages.RESULT_TABLES)
-    assert [r.v for r in loaded["runs"].collect()] == [2.0]
-    runs = stages.read_stage(spark, f"{path}/runs")
+    assert set(loaded) == set(stages.RESULT_TABLES) and all(df.count() == 1 for df in loaded.values())
+    runs = stages.read_stage(spark, f"{path}/runs", stages.RESULT_SCHEMAS["runs"])
     assert sorted(r.analysis_id for r in stages.list_runs(runs).collect()) == ["a: 1", "b"]
     wanted = spark.createDataFrame([("b",), ("c",)], "analysis_id string")
     assert {tuple(r) for r in stages.check_names(wanted, runs).collect()} == {("b", True), ("c", False)}
     assert stages.delete_run(spark, path, "a: 1", "spec")
     assert not stages.delete_run(spark, path, "a: 1", "spec")
-    left = {(r.analysis_id, r.run_kind) for r in stages.read_stage(spark, f"{path}/inferences").collect()}
-    assert left == {("a: 1", "main"), ("b", "main")}
+    for name, ddl in stages.RESULT_SCHEMAS.items():
+        left = {(r.analysis_id, r.run_kind) for r in stages.read_stage(spark, f"{path}/{name}", ddl).collect()}
+        assert left == {("a: 1", "main"), ("b", "main")}
+    # A run that is saved again without some rows loses them; other runs keep theirs.
+    again = spark.createDataFrame([("a: 1", "main")], "analysis_id string, run_kind string")
+    stages.save_results({"inferences": tables["inferences"].limit(0)}, path, again)
+    left = stages.read_stage(spark, f"{path}/inferences", stages.RESULT_SCHEMAS["inferences"]).collect()
+    assert {(r.analysis_id, r.run_kind) for r in left} == {("b", "main")}
     with pytest.raises(ValueError):
-        stages.save_results({"other": df}, path)
+        stages.save_results({"other": tables["runs"]}, path)
+
+
+def test_a_month_emptied_at_the_source_is_emptied_in_the_copy(spark, tmp_path):
+    source = spark.createDataFrame([(date(2020, 1, 1) + i * DAY, i) for i in range(200)], "day date, v int")
+    path, window = str(tmp_path / "copy"), (date(2020, 3, 1), date(2020, 5, 1), date(2020, 5, 20))
+    facts.load_months(source, path, "day", *window)
+    facts.load_months(source.where("month(day) <> 4"), path, "day", *window)
+    months = {r[0] for r in spark.read.parquet(path).select(F.month("day")).distinct().collect()}
+    assert 4 not in months and {3, 5} <= months
 
 
 def test_lineage_is_cut_in_the_shared_folder(spark):

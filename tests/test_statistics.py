@@ -90,6 +90,15 @@ def test_changes_and_correlations_match_pandas(spark):
     np.testing.assert_allclose([r.correlation for r in rows], expected.to_numpy())
 
 
+def test_a_sparse_target_keeps_its_run_and_says_so(spark):
+    n = 60
+    values = {("target", "t"): np.where(np.arange(n) % 2, 5.0, 0.0), ("control", "x"): np.arange(1.0, n + 1)}
+    df = features_df(spark, feature_rows("a", values, START, CAMPAIGN))
+    changes = explore.pct_change(df)
+    assert [r.feature for r in explore.target_corr(changes).collect()] == ["x"]
+    assert [r.status for r in explore.corr_status(changes).collect()] == ["target too sparse"]
+
+
 def test_unknown_input_type(spark):
     df = features_df(spark, feature_rows("a", {("target", "t"): [1.0]}, START, CAMPAIGN))
     with pytest.raises(ValueError, match="unknown input type"):

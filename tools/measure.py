@@ -46,7 +46,7 @@ def run(spark, sf_dir, what, n):
         out = panel.run_panel(series, analyses)["summary_data"]
     else:
         cleaned = clean.clean_features(features.feature_long(series, runs_ops.expand_runs(analyses)))
-        out = effects.summary(model.control_regressions(cleaned).where("candidate = 'control_mean'").drop("candidate"))
+        out = effects.summary(model.control_regressions(cleaned, each_control=False).drop("candidate"))
     out.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - started
 
