@@ -10,6 +10,8 @@ alphabets count as random, the other words of a bounded sample of texts as ordin
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +64,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """Log-likelihood ratios of all pairs of symbols, in thousandths and in order, joined by commas.
 
     The sample: the ``sample_rows`` texts whose hashed id comes first, whole, of texts with a base span, and as
-    many of the others. An empty corpus still has the generated random strings; ordinary words are then flat.
+    many whatever they hold. Rows without an id teach nothing. An empty corpus still has the generated random strings; ordinary words are then flat.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = rows.withColumn("order", F.md5(F.coalesce("id", F.lit("")).cast("binary")))
-    ordinary = rows.orderBy("order", "id", "text").limit(sample_rows)
-    secret = rows.where(" or ".join("text rlike '" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for _, p, _, _ in RULES)).orderBy("order", "id", "text").limit(sample_rows)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and id is not null")
+    with_match = reduce(lambda a, b: a | b, [F.col("text").rlike(pattern) for _, pattern, _, _ in RULES])
+
+    def sampled(usable: DataFrame) -> DataFrame:
+        # Ids are sorted, not texts; at most `sample_rows` of them are broadcast.
+        chosen = usable.select("id", F.md5(F.col("id").cast("binary")).alias("order")).orderBy("order", "id").limit(sample_rows)
+        return rows.join(F.broadcast(chosen.select("id").distinct()), "id")
+
+    ordinary, secret = sampled(rows), sampled(rows.where(with_match))
 
     found = secret.select("text", F.explode(base_spans(F.col("text"))).alias("span"))
     values = found.select(F.regexp_extract(_text_of(F.col("text"), F.col("span")), r"([A-Za-z0-9+/_.=-]+)$", 1).alias("s"))
