@@ -1,4 +1,4 @@
-"""One query for each operator, over its whole table, and SQL where SQL can say the same."""
+"""One query for each operator, over its whole table."""
 
 from __future__ import annotations
 
@@ -82,5 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_fmindex_substrings,
     )
 }
-
-ORACLES: dict[str, str] = {}

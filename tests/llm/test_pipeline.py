@@ -10,7 +10,8 @@ import corpus_pipeline
 from liftpanel.llm.common import held_out
 from liftpanel.llm.ecoc_language import fit
 from liftpanel.llm.qgram_decontamination import Index, fold
-from liftpanel.llm.queries import ORACLES, QUERIES
+from liftpanel.llm.oracles import ORACLES
+from liftpanel.llm.queries import QUERIES
 from tests.conftest import SMALL
 from tests.llm.cases import SCHEMA, empty, odd, odd_rows, rows_of, with_clashes
 from tests.llm.test_near_duplicates import expected
