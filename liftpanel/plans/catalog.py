@@ -198,6 +198,15 @@ def control_daily(spark, sf_dir):
     return _role(spark, sf_dir, RoleMeasure("control", F.col("metric")))
 
 
+@query
+def control_daily_repeated(spark, sf_dir):
+    """Controls that are listed twice, and a null among them, count once and not at all."""
+    analyses = W.region_analyses(spark, sf_dir)
+    analyses = analyses.withColumn("controls", F.concat("controls", "controls", F.array(F.lit(None).cast("string"))))
+    measure = RoleMeasure("control", F.col("metric"))
+    return extract.extract_role(W.fact_marketing(spark, sf_dir, analyses), analyses, "date", "country_code", measure)
+
+
 @query
 def visitor_daily(spark, sf_dir):
     return _role(
@@ -348,6 +357,15 @@ def interest_smoothed(spark, sf_dir):
     return interest.interest_series(weekly, daily, analyses, W.BRAND)
 
 
+@query(digits=6)
+def interest_repeated(spark, sf_dir):
+    """Keywords that are listed twice, in a market that is not the target's name."""
+    weekly, daily, analyses = _interest_inputs(spark, sf_dir, gtrend_smooth=True)
+    analyses = analyses.withColumns({"keywords": F.concat("keywords", "keywords"), "geo": F.concat(F.lit("market of "), "target")})
+    moved = F.when(F.col("geo") == "", "").otherwise(F.concat(F.lit("market of "), "geo"))
+    return interest.interest_series(weekly.withColumn("geo", moved), daily.withColumn("geo", moved), analyses, W.BRAND)
+
+
 # --- exogenous counts -------------------------------------------------------------------------
 
 
@@ -490,6 +508,11 @@ def target_corr(spark, sf_dir):
     return explore.target_corr(explore.pct_change(_features(spark, sf_dir)))
 
 
+@query(digits=6)
+def corr_status(spark, sf_dir):
+    return explore.corr_status(explore.pct_change(_features(spark, sf_dir)))
+
+
 # --- model ------------------------------------------------------------------------------------
 
 
@@ -683,6 +706,15 @@ def placebo_fit_plan(spark, sf_dir):
     return selection.placebo_candidates(selection.select_model(_scores(spark, sf_dir)))
 
 
+@query
+def stage_replaced(spark, sf_dir):
+    """A stage of features after one analysis was computed again, with half the values, and one was emptied."""
+    old = _features(spark, sf_dir).drop("campaign_start")
+    new = old.where("analysis_id = 'ASIA'").withColumn("value", F.col("value") / 2)
+    gone = W.table(spark, sf_dir, "region").select(F.col("r_name").alias("analysis_id")).where("analysis_id in ('ASIA', 'EUROPE')")
+    return stages.replaced(old, new, gone)
+
+
 @query
 def run_listing(spark, sf_dir):
     return stages.list_runs(runs_ops.expand_runs(W.supplier_windows(spark, sf_dir)))

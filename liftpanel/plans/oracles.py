@@ -1007,6 +1007,22 @@ ORACLES["panel_runs"] = _with(
 )
 
 
+ORACLES["control_daily_repeated"] = ORACLES["control_daily"]
+ORACLES["interest_repeated"] = ORACLES["interest_smoothed"]
+ORACLES["corr_status"] = _with(
+    f"""SELECT {KEYS}, {r('missing_share', 6)} AS missing_share,
+               CASE WHEN missing_share >= 0.4 THEN 'target too sparse' ELSE 'ok' END AS status
+        FROM shares WHERE role = 'target'""",
+    "shares",
+)
+ORACLES["stage_replaced"] = _with(
+    f"""SELECT {KEYS}, role, feature, {day('d')} AS reference_date,
+               {r("CASE WHEN analysis_id = 'ASIA' THEN value / 2 ELSE value END")} AS value
+        FROM features WHERE analysis_id <> 'EUROPE'""",
+    "features",
+)
+
+
 def _for_nations(sql: str) -> str:
     """The same query with nations in the place of regions."""
     return (
