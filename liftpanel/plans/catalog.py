@@ -382,19 +382,19 @@ def exog_new_cases(spark, sf_dir):
 @query
 def exog_filled(spark, sf_dir):
     analyses = W.region_analyses(spark, sf_dir, covid_usage=True)
-    return exog.exog_series(W.case_counts(spark, sf_dir), analyses)
+    return exog.exog_series(W.case_counts(spark, sf_dir, with_gaps=True), analyses)
 
 
 @query
 def exog_smoothed(spark, sf_dir):
     analyses = W.region_analyses(spark, sf_dir, covid_usage=True, covid_smooth=True)
-    return exog.exog_series(W.case_counts(spark, sf_dir), analyses)
+    return exog.exog_series(W.case_counts(spark, sf_dir, with_gaps=True), analyses)
 
 
 @query
 def exog_edges_filled(spark, sf_dir):
     """Linear fill over the whole life of the counts: gaps closed, unknown edges left open."""
-    totals = exog.cumulative_to_daily(exog.daily_total(W.case_counts(spark, sf_dir), ["target"]), ["target"])
+    totals = exog.cumulative_to_daily(exog.daily_total(W.case_counts(spark, sf_dir, with_gaps=True), ["target"]), ["target"])
     extent = W.table(spark, sf_dir, "orders").agg(
         F.to_date(F.min("o_orderdate")).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi")
     )

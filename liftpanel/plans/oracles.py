@@ -540,6 +540,11 @@ CTES["p0"] = (
               FROM candidates0 JOIN chosen0 USING ({KEYS}, candidate) WHERE d >= cs GROUP BY {KEYS})""",
     ("candidates0", "chosen0"),
 )
+# The counts as they are, without the gaps that are there to be filled.
+CTES["cases_whole"] = (CTES["cases"][0][: CTES["cases"][0].index("        WHERE day(d) % 9")], CTES["cases"][1])
+CTES["totals_whole"] = _on("totals", cases="cases_whole")
+CTES["totals_whole"] = (CTES["totals_whole"][0].replace("sum(cases_whole) AS cases_whole", "sum(cases) AS cases"), ("cases_whole",))
+CTES["new_cases_whole"] = (CTES["new_cases"][0].replace("FROM totals", "FROM totals_whole"), ("totals_whole",))
 RECURSIVE = ("levinson",)
 
 
@@ -747,8 +752,8 @@ ORACLES: dict[str, str] = {
             SELECT analysis_id, 'gtrend', keyword, {day('d')}, {r('value', 6)} FROM rescaled WHERE keyword = 'global_brand'""",
         "rescaled",
     ),
-    "exog_daily_sum": _with(f"SELECT target, {day('d')} AS reference_date, cases FROM totals", "totals"),
-    "exog_new_cases": _with(f"SELECT target, {day('d')} AS reference_date, cases, new_cases FROM new_cases", "new_cases"),
+    "exog_daily_sum": _with(f"SELECT target, {day('d')} AS reference_date, cases FROM totals_whole", "totals_whole"),
+    "exog_new_cases": _with(f"SELECT target, {day('d')} AS reference_date, cases, new_cases FROM new_cases_whole", "new_cases_whole"),
     "exog_filled": _with(_case_rows("filled", "value"), "filled"),
     "exog_smoothed": _with(
         _case_rows(
