@@ -28,8 +28,8 @@ MODULUS, REMAINDER = 4, 2
 #: Lower case; all of ASCII that is not a letter becomes a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 97 and c <= 122 or c >= 128 else 32 for c in range(256))
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
-#: Bytes of letters and more from which an ambiguous text is rejected; of a shorter one little can be said.
-ENOUGH = 200
+#: Share of the sample whose cross-validated margin lies below the least margin of a text that can be told.
+DOUBTFUL = 0.01
 RESULT = "lang_pred string, score double, margin double, ambiguous boolean, rejected boolean"
 
 
@@ -94,13 +94,14 @@ class Model:
                 out.loc[part, "score"] = shares
                 out.loc[part, "margin"] = margin
                 out.loc[part, "ambiguous"] = margin < self.margin
-                out.loc[part, "rejected"] = (margin < self.margin) & np.array([len(texts[i]) >= ENOUGH for i in part])
+                out.loc[part, "rejected"] = margin < self.margin
         return out
 
 
 def fit_rows(shares: np.ndarray, langs: list[str], ridge: float = 0.02) -> Model:
     """Ridge regressions of all bits on the sample; the weight of a bit is its share of right signs on the half
-    that did not fit it, and a text is ambiguous if its margin is below a sixteenth of what 99.9 of 100 sample rows reach: nearly a tie."""
+    that did not fit it. A text is ambiguous if its margin is below that of all but ``DOUBTFUL`` of the sample rows, each
+    judged by the half that did not fit it."""
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((shares.shape[1], 0)), np.zeros(shares.shape[1], np.float32), np.zeros(0), 0.0)
@@ -108,22 +109,22 @@ def fit_rows(shares: np.ndarray, langs: list[str], ridge: float = 0.02) -> Model
     bits = code[[languages.index(x) for x in langs]]
     centre = shares.mean(0)
 
-    def solve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def solve(x: np.ndarray, y: np.ndarray, centre: np.ndarray) -> np.ndarray:
         x = (x - centre).astype(float)
         return x.T @ np.linalg.solve(x @ x.T + ridge * np.eye(len(x)), y)
 
     even = np.arange(len(langs)) % 2 == 0
-    right = np.ones(code.shape[1])
+    right, votes = np.ones(code.shape[1]), np.zeros_like(bits)
     if 0 < even.sum() < len(langs):
-        votes = np.zeros_like(bits)
         for half in (even, ~even):
-            votes[half] = (shares[half] - centre) @ solve(shares[~half], bits[~half])
+            other = shares[~half].mean(0)
+            votes[half] = (shares[half] - other) @ solve(shares[~half], bits[~half], other)
         right = (votes * bits > 0).mean(0)
     bit_weight = np.maximum(right - 0.5, 1e-3)
-    model = Model(languages, code, solve(shares, bits).astype(np.float32), centre.astype(np.float32), bit_weight / max(bit_weight.sum(), 1e-9), 0.0)
+    model = Model(languages, code, solve(shares, bits, centre).astype(np.float32), centre.astype(np.float32), bit_weight / max(bit_weight.sum(), 1e-9), 0.0)
     if len(languages) > 1:
-        losses = np.sort(np.exp(-((shares - centre) @ model.weights)[:, None, :] * code[None]) @ model.bit_weight, axis=1)
-        model.margin = float(np.quantile(losses[:, 1] - losses[:, 0], 0.001)) / 16
+        losses = np.sort(np.exp(-votes[:, None, :] * code[None]) @ model.bit_weight, axis=1)
+        model.margin = float(np.quantile(losses[:, 1] - losses[:, 0], DOUBTFUL))
     return model
 
 
@@ -151,8 +152,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
 def predicted(text: Column, model: Model) -> Column:
     """Struct ``lang_pred, score, margin, ambiguous, rejected`` for a text column. Null, empty and letterless
-    texts are ``und`` with score 0, as is every text if nothing was learned. Rejected are those, and ambiguous
-    texts of ``ENOUGH`` bytes or more."""
+    texts are ``und`` with score 0, as is every text if nothing was learned. Rejected are those and
+    ambiguous texts, however short."""
 
     @F.pandas_udf(RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:

@@ -53,6 +53,25 @@ def test_letterless_is_unknown(spark):
     assert [got[i]["lang_pred"] for i in (3, 4, 5)] == ["und"] * 3 and all(got[i]["rejected"] for i in (3, 4, 5))
 
 
+def test_mixed_and_foreign_texts_are_rejected_and_clean_ones_kept(spark):
+    """Held-out texts, halves of two languages in one text, and letters of no learned language."""
+    from liftpanel.llm.common import held_out
+
+    docs = spark.read.parquet(f"{SMALL[:-5]}0.01/documents.parquet").where("n_chars > 600")
+    model = fit(docs, ~held_out(F.col("doc_id"), 4, 2), rows_each=80)
+    out = docs.where(held_out(F.col("doc_id"), 4, 2)).orderBy("doc_id").toPandas()
+    rejected = lambda texts: model.predict([t.encode() for t in texts]).rejected.mean()
+    assert rejected(out.text) <= 0.02
+    own = {lang: [t[:1500] for t in part.text] for lang, part in out.groupby("lang")}
+    for a, b in [("en", "fr"), ("de", "es"), ("en", "de")]:
+        assert rejected([x[:700] + " " + y[:700] for x, y in zip(own[a], own[b], strict=False)]) > 0.8, (a, b)
+    rng = random.Random(2)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрст", "日本語中文字漢学校生"):
+        words = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))  # noqa: B023, E731
+        assert rejected([words(150) for _ in range(40)]) > 0.9, letters
+        assert rejected([words(15) for _ in range(40)]) > 0.5, letters
+
+
 def test_odd_tables(spark):
     want = bears_odd_tables(spark, identify)
     assert len(want) == 35
