@@ -31,11 +31,14 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("proprietary", "Copyright. All rights reserved"),
+    ("proprietary", "All rights reserved"),
 ]
 NOTICE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution|public domain|all rights reserved"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|copyright)(\.[a-z]+)?$"
 BETWEEN_TERMS = r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9]|$)|(?<=^|[^a-z0-9])[.-]+"
 LEAST_COSINE = 0.7
+#: No term weighs more: one that few notices or none have must not outweigh the others as the corpus grows.
+MOST_WEIGHT = 4.0
 
 
 def _terms(text: Column) -> Column:
@@ -53,15 +56,15 @@ def own_licenses(files: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 
     ``files`` has ``path`` and ``terms``. Rows of one path are one file. Cosines are rounded to 6 places, ties
     go to the first identifier. The weight of a term is its count times ``1 + ln((1 + n) / (1 + df))`` over the
-    n notices.
+    n notices, at most ``MOST_WEIGHT``; a term of templates that no notice has counts as if one had it.
     """
     spark = files.sparkSession
     counted = written(files.select("path", F.explode("terms").alias("term")).groupBy("path", "term").agg(F.count("*").alias("tf")), "notice-terms")
     n = F.lit(counted.select("path").distinct().count())
-    idf = counted.groupBy("term").agg((1 + F.log((1 + n) / (1 + F.count("*")))).alias("idf"))
+    idf = counted.groupBy("term").agg(F.least(F.lit(MOST_WEIGHT), 1 + F.log((1 + n) / (1 + F.count("*")))).alias("idf"))
     given = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, notice string")
     model = given.select("template", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * F.coalesce("idf", 1 + F.log(1 + n))
+    weight = F.col("tf") * F.coalesce("idf", F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(1.0), 1 + F.log((1 + n) / 2))))
     model = model.join(idf, "term", "left").select("template", "license", "term", weight.alias("model_weight"))
     sizes = model.groupBy("template").agg(F.sqrt(F.sum(F.col("model_weight") ** 2)).alias("model_size"))
     model = F.broadcast(model.join(sizes, "template"))  # as many rows as the templates have terms

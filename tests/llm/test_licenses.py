@@ -91,3 +91,23 @@ def test_odd_tables(spark):
     assert scan(table.limit(0)).count() == 0
     long = spark.createDataFrame([("x/LICENSE", "word " * 50_000 + "\nReleased under the MIT License.")], "path string, text string")
     assert scan(long).first()["license"] == "MIT"
+
+
+def test_notices_are_found_however_large_the_corpus(spark):
+    """A fifth of the notices say 'All rights reserved.', none says 'copyright'; the table is small, then 40 times as large."""
+    lines = ["All rights reserved.", *["Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0."]]
+    for copies in (4, 160):
+        files = [(f"d{i}/f{k}", line) for i in range(copies) for k, line in enumerate(lines)]
+        got = {r["path"]: r["license"] for r in scan(spark.createDataFrame(files, "path string, text string"), F.lit(False)).collect()}
+        assert [got[f"d0/f{k}"] for k in range(5)] == ["proprietary", "MIT", "CC-BY-4.0", "Apache-2.0", "Apache-2.0"]
+        assert all(x == got[f"d0/f{p[-1]}"] for p, x in got.items())
+
+
+def test_a_term_that_no_notice_has_does_not_outweigh_the_others(spark, monkeypatch):
+    from liftpanel.llm import tfidf_licenses
+
+    monkeypatch.setattr(tfidf_licenses, "TEMPLATES", [t for t in TEMPLATES if t[1] != "All rights reserved"])
+    for copies in (4, 160):
+        files = [(f"f{i}", "All rights reserved." if i < copies else f"Released under the MIT License {i % 4}") for i in range(5 * copies)]
+        got = {r["path"]: r["license"] for r in scan(spark.createDataFrame(files, "path string, text string"), F.lit(False)).collect()}
+        assert {got[f"f{i}"] for i in range(copies)} == {"proprietary"}, copies
