@@ -9,6 +9,9 @@ file, and joined to the folders that have one.
 
 from __future__ import annotations
 
+import math
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,21 @@ TEMPLATES = [
     ("proprietary", "Copyright. All rights reserved"),
     ("proprietary", "All rights reserved"),
 ]
+# Standard headers of source files, and whole licence texts from the folder beside this file, by the same identifiers.
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-2.0", 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program'),
+    ("GPL-3.0", 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program'),
+    ("LGPL-2.1", 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program'),
+    ("LGPL-3.0", 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program'),
+    ("AGPL-3.0", 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program'),
+    ("MPL-2.0", 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.'),
+]
+TEXTS = [(f.stem, f.read_text()) for f in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))]
 NOTICE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution|public domain|all rights reserved"
+COMMENT = r"^\s*($|#|//|/?\*|--|;|%|<!--|REM )"
+BLOCK_COMMENT = r"(?s)^\s*/\*(.*?)\*/"
+BETWEEN_PARAGRAPHS = r"\n[ \t]*[#/*;%-]{0,3}[ \t]*\r?\n"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|copyright)(\.[a-z]+)?$"
 BETWEEN_TERMS = r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9]|$)|(?<=^|[^a-z0-9])[.-]+"
 LEAST_COSINE = 0.7
@@ -51,30 +68,52 @@ def notice_terms(text: Column) -> Column:
     return F.when(text.rlike(NOTICE), _terms(F.array_join(lines, "\n"))).otherwise(F.array().cast("array<string>"))
 
 
+def notice_blocks(text: Column) -> Column:
+    """Terms of what may be a notice of several lines, for a text that speaks of rights: the whole text, its
+    leading comment, and each paragraph with such a line."""
+    lines = F.split(text, "\n", -1)
+    code = F.array_position(F.transform(lines, lambda line: line.rlike(COMMENT)), F.lit(False))
+    head = F.array_join(F.slice(lines, F.lit(1), F.when(code > 0, code - 1).otherwise(F.size(lines)).cast("int")), "\n")
+    paragraphs = F.filter(F.split(text, BETWEEN_PARAGRAPHS, -1), lambda p: p.rlike(NOTICE))
+    blocks = F.array_distinct(F.concat(F.array(text, head, F.regexp_extract(text, BLOCK_COMMENT, 1)), paragraphs))
+    return F.when(text.rlike(NOTICE), F.transform(blocks, _terms)).otherwise(F.array().cast("array<array<string>>"))
+
+
 def own_licenses(files: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """``path, license, cosine, notice_terms``: the best template of each path's notice, if it is close enough.
 
-    ``files`` has ``path`` and ``terms``. Rows of one path are one file. Cosines are rounded to 6 places, ties
+    ``files`` has ``path`` and ``terms`` of single lines, and may have ``blocks``, which are compared with standard
+    headers and whole texts too: a whole text goes before a header, a header before a line, which may be a part of both. Rows of one path are one file. Cosines are rounded to 6 places, ties
     go to the first identifier. The weight of a term is its count times ``1 + ln((1 + n) / (1 + df))`` over the
     n notices, at most ``MOST_WEIGHT``; a term of templates that no notice has counts as if one had it.
     """
     spark = files.sparkSession
-    counted = written(files.select("path", F.explode("terms").alias("term")).groupBy("path", "term").agg(F.count("*").alias("tf")), "notice-terms")
-    n = F.lit(counted.select("path").distinct().count())
-    idf = counted.groupBy("term").agg(F.least(F.lit(MOST_WEIGHT), 1 + F.log((1 + n) / (1 + F.count("*")))).alias("idf"))
-    given = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, notice string")
-    model = given.select("template", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * F.coalesce("idf", F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(1.0), 1 + F.log((1 + n) / 2))))
-    model = model.join(idf, "term", "left").select("template", "license", "term", weight.alias("model_weight"))
-    sizes = model.groupBy("template").agg(F.sqrt(F.sum(F.col("model_weight") ** 2)).alias("model_size"))
-    model = F.broadcast(model.join(sizes, "template"))  # as many rows as the templates have terms
-
-    weighted = counted.join(idf, "term").select("path", "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
-    total = weighted.groupBy("path").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("size"), F.sum("tf").alias("notice_terms"))
-    dots = weighted.join(model, "term").groupBy("path", "template", "license", "model_size").agg(F.sum(F.col("weight") * F.col("model_weight")).alias("dot"))
+    views = F.concat(F.array("terms"), F.col("blocks")) if "blocks" in files.columns else F.array("terms")
+    each = files.select("path", F.posexplode(views).alias("view", "terms")).select("path", "view", F.explode("terms").alias("term"))
+    counted = written(each.groupBy("path", "view", "term").agg(F.count("*").alias("tf")), "notice-terms")
+    lines = counted.where("view = 0")
+    n = F.lit(lines.select("path").distinct().count())
+    idf = lines.groupBy("term").agg(F.least(F.lit(MOST_WEIGHT), 1 + F.log((1 + n) / (1 + F.count("*")))).alias("idf"))
+    unseen = F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(1.0), 1 + F.log((1 + n) / 2)))
+    notices = [(i, name, text, rank) for i, (rank, (name, text)) in enumerate((rank, x) for rank, own in enumerate([TEXTS, HEADERS, TEMPLATES]) for x in own)]
+    given = spark.createDataFrame(notices, "template int, license string, notice string, rank int")
+    model = given.select("template", "license", "rank", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "license", "rank", "term").agg(F.count("*").alias("tf"))
+    # Blocks have ordinary words too: those are told by the templates, and a word that comes often counts by its logarithm.
+    told = model.groupBy("term").agg((1 + F.log((1 + F.lit(len(notices))) / (1 + F.count("*")))).alias("told"))
+    untold = F.lit(1 + math.log(1 + len(notices)))
+    often = 1 + F.log("tf")
+    block = F.col("view") > 0
+    model = model.join(idf, "term", "left").join(told, "term").withColumn("view", F.explode(F.when(F.col("rank") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    model = model.select("template", "license", "rank", "term", block.alias("block"), F.when(block, often * F.col("told")).otherwise(F.col("tf") * F.coalesce("idf", unseen)).alias("model_weight"))
+    sizes = model.groupBy("template", "block").agg(F.sqrt(F.sum(F.col("model_weight") ** 2)).alias("model_size"))
+    model = F.broadcast(model.join(sizes, ["template", "block"]))  # as many rows as the templates have terms, short ones twice
+
+    weighted = counted.join(idf, "term", "left").join(F.broadcast(told), "term", "left").select("path", "view", "term", "tf", block.alias("block"), F.when(block, often * F.coalesce("told", untold)).otherwise(F.col("tf") * F.col("idf")).alias("weight"))
+    total = weighted.groupBy("path", "view").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("size"), F.sum("tf").alias("notice_terms"))
+    dots = weighted.join(model, ["term", "block"]).groupBy("path", "view", "template", "license", "rank", "model_size").agg(F.sum(F.col("weight") * F.col("model_weight")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("size") * F.col("model_size")), 6).alias("cosine")
-    scored = dots.join(total, "path").select("path", "license", cosine, "notice_terms").where(F.col("cosine") >= least)
-    best = F.min(F.struct((-F.col("cosine")).alias("less"), "license", "notice_terms")).alias("best")
+    scored = dots.join(total, ["path", "view"]).select("path", "license", "rank", cosine, "notice_terms").where(F.col("cosine") >= least)
+    best = F.min(F.struct("rank", (-F.col("cosine")).alias("less"), "license", "notice_terms")).alias("best")
     return scored.groupBy("path").agg(best).select("path", "best.license", (-F.col("best.less")).alias("cosine"), "best.notice_terms")
 
 
@@ -94,9 +133,9 @@ def scan(files: DataFrame, is_license_file: Column | None = None, least: float =
     rule = F.col("path").rlike(LICENSE_FILE) if is_license_file is None else is_license_file
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "w")).alias("n_terms")
-    read = files.where("path is not null").select("path", text.alias("text")).withColumn("terms", notice_terms(F.col("text")))
-    read = read.select("path", "text", "terms", words, F.size("terms").alias("n_notice")).select("path", "terms", rule.alias("speaks"))
-    own = own_licenses(read.select("path", "terms"), least)
+    read = files.where("path is not null").select("path", text.alias("text")).withColumn("terms", notice_terms(F.col("text"))).withColumn("blocks", notice_blocks(F.col("text")))
+    read = read.select("path", "text", "terms", "blocks", words, F.size("terms").alias("n_notice")).select("path", "terms", "blocks", rule.alias("speaks"))
+    own = own_licenses(read.select("path", "terms", "blocks"), least)
     paths = read.groupBy("path").agg(F.max("speaks").alias("speaks"))
     found = paths.join(own, "path", "left").withColumn("folder", _folder(F.col("path")))
     speaking = found.where("speaks and license is not null").groupBy("folder")

@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -111,3 +112,22 @@ def test_a_term_that_no_notice_has_does_not_outweigh_the_others(spark, monkeypat
         files = [(f"f{i}", "All rights reserved." if i < copies else f"Released under the MIT License {i % 4}") for i in range(5 * copies)]
         got = {r["path"]: r["license"] for r in scan(spark.createDataFrame(files, "path string, text string"), F.lit(False)).collect()}
         assert {got[f"f{i}"] for i in range(copies)} == {"proprietary"}, copies
+
+
+def test_whole_texts_and_wrapped_headers(spark):
+    from liftpanel.llm.tfidf_licenses import HEADERS, TEXTS
+
+    texts = dict(TEXTS)
+    owned = lambda name: texts[name].replace("Copyright (c)", "Copyright (c) 2019-2024 Some Body and others")
+    files = [(f"{name}/LICENSE", owned(name)) for name in texts]
+    header = textwrap.wrap(dict(HEADERS[:1])["Apache-2.0"], 70)
+    code = "\n\nimport os\nlicense = os.environ\n" + "def f(x):\n    return x + 1\n" * 50
+    files += [("h/a.py", "#!/usr/bin/python\n# Copyright 2020 Some Body\n#\n# " + "\n# ".join(header) + code)]
+    files += [("h/b.c", "/*\n" + "\n".join(header) + "\n*/" + code), ("h/c.c", "/*\n * " + "\n * ".join(textwrap.wrap(HEADERS[2][1], 60)) + "\n */" + code)]
+    files += [("h/d.txt", "word " * 300 + "\n\nLicensed under the Apache\nLicense, Version 2.0\n\n" + "word " * 300), ("MIT/src/x.py", "code")]
+    for more in (1, 100):
+        table = files + [(f"n{i}/f{k}", x) for i in range(more) for k, x in enumerate(["All rights reserved.", "Licensed under CC BY 4.0."])]
+        got = {r["path"]: (r["license"], r["origin"]) for r in scan(spark.createDataFrame(table, "path string, text string")).collect()}
+        assert {p: got[p] for p, _ in files[: len(texts)]} == {f"{name}/LICENSE": (name, "own") for name in texts}
+        assert [got[f"h/{x}"][0] for x in ("a.py", "b.c", "c.c", "d.txt")] == ["Apache-2.0", "Apache-2.0", "GPL-3.0", "Apache-2.0"]
+        assert got["MIT/src/x.py"] == ("MIT", "inherited")
