@@ -87,7 +87,8 @@ def disguised(token: str) -> bool:
 
 
 def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest path through the token's lattice, letters only."""
+    """The likeliest path through the token's lattice, letters only. A blank in it parts letters of a word, or two
+    words, which then stay parted in the result; the character model has the cost of a word's end."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     at = 0
     while at < len(token):
@@ -97,6 +98,8 @@ def restore(token: str, model: np.ndarray) -> str:
             run += 1
         n, at = run - at, run
         choices: list[tuple[str, float]] = []
+        if c == " ":
+            choices = [("", 0.0), (" ", 0.0)]
         if c in LETTERS:
             choices = [(c, REPEAT_COST * (n > 1)), *([(c + c, REPEAT_COST * (n > 2))] if n > 1 else [])]
         for letter in LEET.get(c, ""):
@@ -108,7 +111,7 @@ def restore(token: str, model: np.ndarray) -> str:
             for letters, extra in choices:
                 x, y, total = a, b, cost + extra
                 for letter in letters:
-                    z = LETTERS.index(letter) + 1
+                    z = LETTERS.index(letter) + 1 if letter != " " else 0
                     total -= float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in after or (total, out + letters) < after[x, y]:
@@ -143,18 +146,25 @@ class TokenFeatures(dict):
     def __missing__(self, token: str) -> tuple:
         if len(self) > REMEMBERED:
             self.clear()
-        found = features_of(words_of(token, self.model))
+        found = features_of(self.parted(token) if " " in token else words_of(token, self.model))
         if self.known is not None:
             found = [self.known[f] for f in found if f in self.known]
         self[token] = out = tuple(found)
         return out
 
+    def parted(self, letters: str) -> list[str]:
+        """Words of a run of single characters: those of all put together, and of the likeliest parting."""
+        together = words_of(letters.replace(" ", ""), self.model)
+        if not any(c.isalpha() for c in letters):
+            return together
+        return [*together, *(w for w in restore(letters.lower(), self.model).split() if w not in together)]
+
     def count(self, text: str) -> tuple[int, Counter]:
-        """Number of tokens, and how often each feature comes; letters parted by blanks are one more token."""
+        """Number of tokens, and how often each feature comes; letters parted by blanks are further words."""
         tokens = text.split()
         hits = Counter(f for found in map(self.__getitem__, tokens) if found for f in found)
         for spaced in SPACED.findall(text):
-            hits.update(self["".join(spaced.split())])
+            hits.update(self[" ".join(spaced.split())])
         return len(tokens), hits
 
 

@@ -106,3 +106,13 @@ def test_odd_tables(spark):
     bears_odd_tables(spark, lambda d: score(d, labels))
     flat = score(odd(spark), labels.limit(0)).toPandas()
     assert len(flat) == 35 and flat.score.nunique() == 1
+
+
+@pytest.mark.parametrize("spaced", ["a g r u m b o k", "g r u m b o k s n a r v e x", "s n a r v e x g r u m b o k"])
+def test_spaced_words_beside_others(model, spaced):
+    from liftpanel.llm.deobfuscated_toxicity import TokenFeatures
+
+    hits = TokenFeatures(model.log_chance).count(f"the er {spaced} ing st")[1]
+    assert all("=" + w in hits for w in BAD if " ".join(w) in spaced)
+    plain, hidden = model.scores(["the er grumbok ing st", f"the er {spaced} ing st"])
+    assert (plain > 0.5) == (hidden > 0.5)
