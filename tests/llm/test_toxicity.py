@@ -116,3 +116,13 @@ def test_spaced_words_beside_others(model, spaced):
     assert all("=" + w in hits for w in BAD if " ".join(w) in spaced)
     plain, hidden = model.scores(["the er grumbok ing st", f"the er {spaced} ing st"])
     assert (plain > 0.5) == (hidden > 0.5)
+
+
+def test_the_sample_sorts_no_label_in_one_task(table, monkeypatch):
+    """Each label's rows are taken as a top-k, not as a window over all of them."""
+    from liftpanel.llm import deobfuscated_toxicity
+
+    plans, keep = [], deobfuscated_toxicity.written
+    monkeypatch.setattr(deobfuscated_toxicity, "written", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or keep(df, label))
+    fit(table, table.select("doc_id", "toxic"), F.lit(True), rows_each=4000)
+    assert plans and all("TakeOrderedAndProject" in p and "row_number" not in p for p in plans)
