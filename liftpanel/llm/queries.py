@@ -12,9 +12,12 @@ from liftpanel.llm.bestfit_packing import pack
 from liftpanel.llm.common import benchmark, documents, labels
 from liftpanel.llm.deobfuscated_toxicity import score
 from liftpanel.llm.ecoc_language import identify
+from liftpanel.llm.fast_sketches import near_duplicate_sets
 from liftpanel.llm.fmindex_substrings import remove_repeats
 from liftpanel.llm.markov_secrets import find_secrets
+from liftpanel.llm.merkle_manifest import manifest
 from liftpanel.llm.offset_tokens import count_tokens
+from liftpanel.llm.parsed_collocations import collocations
 from liftpanel.llm.qgram_decontamination import find_leaks
 from liftpanel.llm.risk_quality import judge
 from liftpanel.llm.simhash_bktree import near_duplicates
@@ -67,6 +70,18 @@ def op10_fmindex_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(documents(spark, sf_dir))
+
+
+def op12_fast_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_sets(documents(spark, sf_dir))
+
+
+def op13_parsed_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,5 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ecoc_language,
         op9_simhash_bktree,
         op10_fmindex_substrings,
+        op11_merkle_manifest,
+        op12_fast_sketches,
+        op13_parsed_collocations,
     )
 }
