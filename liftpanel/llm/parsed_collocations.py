@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftpanel.llm.common import written
+from liftpanel.llm.common import raw_texts, written
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 OVERLAP, MODULUS = LONGEST - 1, 8
@@ -70,33 +71,33 @@ def dictionary(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     """``lang, last, chunk, f``: the distinct chunks of all texts and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, bytes, bool], int] = defaultdict(int)
         pieces: list[list[bytes]] = []
         langs: list[str] = []
         held = 0
 
-        def found() -> pa.RecordBatch:
+        def found() -> Iterator[pa.RecordBatch]:
+            chunks: dict[tuple[str, bool], list[bytes]] = defaultdict(list)
             for piece, chunk, last in chunks_of(pieces):
-                counts[langs[piece], chunk, last] += 1
-            columns = list(zip(*counts, strict=True)) or [(), (), ()]
-            arrays = [pa.array(columns[0], pa.string()), pa.array(columns[2], pa.bool_()), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
-            counts.clear()
+                chunks[langs[piece], last].append(chunk)
+            for (lang, last), own in chunks.items():
+                counts = pc.value_counts(pa.array(own, pa.binary()))
+                n = len(counts)
+                arrays = [pa.repeat(lang, n), pa.repeat(last, n), counts.field(0).cast(pa.string()), counts.field(1)]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "last", "chunk", "f"])
             pieces.clear()
             langs.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "last", "chunk", "f"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
-                raw = text.as_py() or b""
-                own = [w for p in CUT.split(raw.lower()) if (w := p.split())]
+            for lang, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                own = [w for p in CUT.split(text.lower()) if (w := p.split())]
                 pieces += own
-                langs += [lang.as_py()] * len(own)
-                held += len(raw)
+                langs += [lang] * len(own)
+                held += len(text)
                 if held >= HELD_BYTES:
-                    yield found()
+                    yield from found()
                     held = 0
         if pieces:
-            yield found()
+            yield from found()
 
     narrow = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text"))
     parsed = narrow.mapInArrow(run, "lang string, last boolean, chunk string, f long")
@@ -123,13 +124,15 @@ class Marks:
 class Block:
     """Words of some chunks of one language in a row, and the weight that each place has as a start."""
 
-    def __init__(self, lang: str, texts: list[bytes], last: np.ndarray, weights: np.ndarray) -> None:
-        self.words = b" ".join(texts).split(b" ")
-        known: dict[bytes, int] = {}
-        self.ids = np.fromiter((known.setdefault(w, len(known)) for w in self.words), np.int64, len(self.words))
-        self.vocabulary = list(known)
-        sizes = np.array([t.count(b" ") + 1 for t in texts], np.int64)
+    def __init__(self, lang: str, rows: pa.Table) -> None:
+        """From rows ``last, chunk, f`` of the dictionary."""
+        lists = pc.split_pattern(rows.column("chunk").combine_chunks().cast(pa.binary()), b" ")
+        words = lists.flatten().dictionary_encode()
+        self.ids = words.indices.to_numpy().astype(np.int64)
+        self.vocabulary = words.dictionary.to_pylist()
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
         self.end = np.repeat(np.cumsum(sizes), sizes)
+        last, weights = rows.column("last").to_numpy(), rows.column("f").to_numpy()
         place = np.arange(len(self.ids))
         self.weight = np.where(np.repeat(last, sizes) | (place + OVERLAP < self.end), np.repeat(weights, sizes), 0)
         self.lang = lang
@@ -163,8 +166,9 @@ class Block:
             key = rank[at] * len(self.vocabulary) + self.ids[at + size - 1]
             _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             sums = np.bincount(inverse, self.weight[at]).astype(np.int64)
-            for start, f in zip(at[first].tolist(), sums.tolist(), strict=True):
-                yield size, b" ".join(self.words[start : start + size]), f
+            words = [self.ids[at[first] + i].tolist() for i in range(size)]
+            for f, *own in zip(sums.tolist(), *words, strict=True):
+                yield size, b" ".join([self.vocabulary[w] for w in own]), f
             rank = np.zeros(len(self.ids), np.int64)
             rank[at] = inverse
             at = at[(at + size < self.end[at]) & there[np.minimum(at + size - 1, len(there) - 1)]]
@@ -174,22 +178,21 @@ class Block:
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     """Blocks of one language from batches of the dictionary."""
-    held: dict[str, list[tuple[bytes, bool, int]]] = defaultdict(list)
+    held: dict[str, list[pa.RecordBatch]] = defaultdict(list)
     size = 0
 
     def found() -> Iterator[Block]:
-        for lang, rows in held.items():
-            texts, last, f = zip(*rows, strict=True)
-            yield Block(lang, list(texts), np.array(last), np.array(f, np.int64))
+        for lang, parts in held.items():
+            yield Block(lang, pa.Table.from_batches(parts))
         held.clear()
 
     for batch in batches:
-        for lang, last, chunk, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            held[lang].append((chunk, last, f))
-            size += len(chunk)
-            if size >= HELD_BYTES:
-                yield from found()
-                size = 0
+        for lang in pc.unique(batch.column(0)):
+            held[lang.as_py()].append(batch.filter(pc.equal(batch.column(0), lang)).select(["last", "chunk", "f"]))
+        size += batch.nbytes
+        if size >= HELD_BYTES:
+            yield from found()
+            size = 0
     yield from found()
 
 
@@ -200,7 +203,7 @@ def _counted(parsed: DataFrame, words: Marks | None = None, pairs: Marks | None
         for block in blocks(batches):
             rows = list(block.count_words() if words is None else block.count_phrases(words, pairs))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            arrays = [pa.array([block.lang] * len(rows), pa.string()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(columns[2], pa.int64())]
+            arrays = [pa.repeat(block.lang, len(rows)), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(columns[2], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "size", "phrase", "f"])
 
     rows = parsed.mapInArrow(run, "lang string, size int, phrase string, f long")
