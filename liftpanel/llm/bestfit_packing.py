@@ -82,7 +82,8 @@ class ChunkIds(dict):
             self[word] = np.array(e.ids, "<u4").tobytes()
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        chunks = [t.lower().split() for t in texts]
+        # Special tokens are found before case is folded, so what looks like one is encoded as it is.
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
         self.learn(set().union(*chunks))
         for own in chunks:
             yield b"".join(map(self.__getitem__, own))
@@ -90,7 +91,7 @@ class ChunkIds(dict):
 
 def chunk_ids(path: str) -> ChunkIds:
     """The worker's memory for this tokenizer, kept from task to task."""
-    known = worker_state().__dict__.setdefault("chunk_ids", {})
+    known = worker_state("chunks").setdefault("chunk_ids", {})
     if path not in known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

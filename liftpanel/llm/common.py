@@ -90,6 +90,17 @@ def in_groups(texts: Iterator[bytes], most_bytes: int = 1 << 20) -> Iterator[lis
         yield group
 
 
-def worker_state() -> types.ModuleType:
-    """A place that outlives a task: task functions travel by value, their own globals are new for each task."""
-    return sys.modules.setdefault("liftpanel_worker_state", types.ModuleType("liftpanel_worker_state"))
+def worker_state(owner: str) -> dict:
+    """A memory that outlives a task: task functions travel by value, their own globals are new for each task.
+    It belongs to one operator at a time; a task of another ``owner`` finds it empty."""
+    module = sys.modules.setdefault("liftpanel_worker_state", types.ModuleType("liftpanel_worker_state"))
+    if module.__dict__.get("owner") != owner:
+        module.owner, module.memory = owner, {}
+        pa.default_memory_pool().release_unused()
+    return module.memory
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand rows to Python in batches of this many from now on: texts are long, and a batch is held in the JVM and in
+    Python several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

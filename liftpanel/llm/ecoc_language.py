@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftpanel.llm.common import held_out
+from liftpanel.llm.common import held_out, worker_state
 
 UNKNOWN = "und"
 FEATURES = 4096
@@ -137,6 +137,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     texts = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("language")
         for batch in batches:
             texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
             rows = [ngram_shares([t])[0].tobytes() if has_letter(t) else None for t in texts]
@@ -157,6 +158,7 @@ def predicted(text: Column, model: Model) -> Column:
 
     @F.pandas_udf(RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:
+        worker_state("language")
         return model.predict([t.encode() if t is not None else b"" for t in texts])
 
     return predict(text.cast("string"))

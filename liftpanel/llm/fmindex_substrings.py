@@ -43,7 +43,7 @@ class WordHashes(dict):
 
 
 def word_hashes() -> WordHashes:
-    memory = worker_state().__dict__.setdefault("word_hashes", WordHashes())
+    memory = worker_state("words").setdefault("word_hashes", WordHashes())
     if len(memory) > REMEMBERED:
         memory.clear()
     return memory
@@ -112,7 +112,7 @@ def runs(rows: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*hashes, batch.column(0).take(take), batch.column(1).take(take), *own], ["m", "r", "doc_id", "t", "start", "n"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.where("doc_id is not null").mapInArrow(run, f"m long, r long, doc_id {kind}, t int, start int, n int")
+    return rows.where("doc_id is not null").mapInArrow(run, f"m long, r long, doc_id {kind}, t long, start int, n int")
 
 
 class WaveletMatrix:
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words and takes none from others. Rows that repeat an id take none from each other; their texts are
     told apart. An empty table gives an empty result; further columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.hash("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     rows = rows.select("doc_id", "t", "text")
     spans = written(repeated_intervals(rows, window, crowd, block_words), "repeats")
     lists = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("removed"))

@@ -63,7 +63,7 @@ class ByteTokens(dict):
 
 
 def byte_tokens(path: str) -> ByteTokens:
-    known = worker_state().__dict__.setdefault("byte_tokens", {})
+    known = worker_state("tokens").setdefault("byte_tokens", {})
     if path not in known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

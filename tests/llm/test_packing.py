@@ -81,5 +81,12 @@ def test_pieces_and_sequences(spark):
     assert got.sequence_id.nunique() == best_fit(got.length.value_counts().to_dict(), 64)
 
 
+def test_special_tokens_are_told_by_case():
+    memory = ChunkIds(Tokenizer.from_file(FILE))
+    for text in ("<|ENDOFTEXT|> Two", "a <|endoftext|> B", "x<|endoftext|>Y", "<|EndOfText|>", "<|startoftext|>."):
+        want = np.array(memory.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert list(memory.of([text.encode()])) == [want]
+
+
 def test_odd_tables(spark):
     bears_odd_tables(spark, lambda d: pack(d, FILE, capacity=128).select(*COLUMNS))

@@ -14,23 +14,16 @@ from liftpanel.llm.oracles import ORACLES
 from liftpanel.llm.queries import QUERIES
 from tests.conftest import SMALL
 from tests.llm.cases import SCHEMA, empty, odd, odd_rows, rows_of, with_clashes
-from tests.llm.test_near_duplicates import expected
+from tests.llm.test_minhash_groups import plain_groups
 
 STAGES = dict(corpus_pipeline.STAGES)
 
 
 def kept_once(rows):
-    """One row of each group: (id, text) pairs, by plain fingerprints and all pairs."""
+    """One row of each group: (id, text) pairs, by five-word shingles, Jaccard 0.8 and all pairs. Texts without a word are a group."""
     by_group, out = {}, []
-    groups = {}
-    for i, fp, least in expected(rows):
-        groups[fp, i] = least
-    from tests.llm.test_near_duplicates import plain_fingerprint, plain_groups
-
-    prints = [plain_fingerprint(t) for _, t in rows]
-    roots = plain_groups(set(prints))
-    for (i, text), fp in zip(rows, prints, strict=True):
-        by_group.setdefault(roots[fp], []).append((i, text))
+    for row, group in zip(rows, plain_groups([t for _, t in rows]), strict=True):
+        by_group.setdefault(group, []).append(row)
     for members in by_group.values():
         ids = [i for i, _ in members if i is not None]
         out.append((min(ids), next(t for i, t in members if i == min(ids))) if ids else members[0])
@@ -100,7 +93,7 @@ def test_secrets_are_gone_and_nothing_else(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
     assert [f.__module__ for _, f in corpus_pipeline.STAGES] == ["liftpanel.llm.stages"] * 5
     assert np.array_equal([n for n, _ in corpus_pipeline.STAGES], ["language", "near_duplicates", "decontamination", "secrets", "packing"])
