@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftpanel.schema import DUMMY_ROLES, INPUT_TYPES, RUN_KEYS
@@ -60,11 +60,11 @@ def adjusted_autocovariance(sums: DataFrame) -> DataFrame:
     return sums.withColumn("gamma", F.transform("s", lambda x, k: F.try_divide(x, F.col("n") - k)))
 
 
-def pacf_vector(nlags: int):
+def levinson(nlags: Column, finish) -> Column:
     """Durbin-Levinson recursion over the column ``gamma`` as a fold over the lags.
 
     ``phi`` holds the regression coefficients of the current order, ``out`` the partial
-    correlations so far.
+    correlations so far; ``finish`` makes the result of the two.
     """
     gamma = F.col("gamma")
     start = F.struct(F.array().cast("array<double>").alias("phi"), F.array(F.lit(1.0)).alias("out"))
@@ -88,7 +88,12 @@ def pacf_vector(nlags: int):
         )
         return F.get(with_last, F.lit(0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(nlags)), start, step, lambda state: state["out"])
+    return F.aggregate(F.sequence(F.lit(1), nlags), start, step, finish)
+
+
+def pacf_vector(nlags: int) -> Column:
+    """Partial correlations of all lags from 0."""
+    return levinson(F.lit(nlags), lambda state: state["out"])
 
 
 def pacf(series: DataFrame, nlags: int = 40, keys=RUN_KEYS, order="reference_date", value="value") -> DataFrame:

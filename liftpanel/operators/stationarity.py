@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftpanel.functions.unitroot import adf
+from liftpanel.functions.linear import let, numbers, products, square, sweep
+from liftpanel.functions.normal import normal_tail
 from liftpanel.operators.explore import pacf
 from liftpanel.schema import RUN_KEYS
 
@@ -17,6 +18,13 @@ SEARCHED = {
     "Stationary": ("no_trend",),
 }
 
+# MacKinnon (1994) response surface for one series with a constant.
+TAU_SPLIT = -1.61
+TAU_MIN = -18.83
+TAU_MAX = 2.74
+TAU_SMALL = (2.1659, 1.4412, 0.038269)
+TAU_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+
 # Partial autocorrelations looked at, and the size that still counts.
 PACF_LAGS = 40
 PACF_THRESHOLD = 0.3
@@ -42,26 +50,70 @@ def seasonal_additive(series: DataFrame, keys=RUN_KEYS, period: int = 7) -> Data
     )
 
 
+def _p_value(tau: Column) -> Column:
+    """MacKinnon's response surface at a statistic."""
+    poly = lambda cs: reduce(lambda acc, c: acc * tau + c, reversed(cs[:-1]), F.lit(cs[-1]))
+    inside = let(F.when(tau <= TAU_SPLIT, poly(TAU_SMALL)).otherwise(poly(TAU_LARGE)), lambda z: F.when(z > 0, 1 - normal_tail(z)).otherwise(normal_tail(z)))
+    return F.when(tau > TAU_MAX, 1.0).when(tau < TAU_MIN, 0.0).otherwise(inside)
+
+
+def _unit_root(x: Column, n: Column, max_lag: Column) -> Column:
+    """Struct ``used, beta, inverse, rest`` of the regression of the differences of ``x`` on the level before, older
+    differences and a constant; the lag is chosen by AIC on the days that all lags have, then fitted on all days."""
+    size = max_lag + 3
+    last = size - 1
+
+    def fits(d: Column) -> Column:
+        def vector(t: Column) -> Column:
+            lags = F.transform(numbers(1, max_lag), lambda j: F.coalesce(F.get(d, t - j), F.lit(0.0)))
+            return F.concat(F.array(F.lit(1.0), F.get(x, t)), lags, F.array(F.get(d, t)))
+
+        def add(sums: Column, t: Column) -> Column:
+            return F.zip_with(sums, let(vector(t), products), lambda a, b: a + b)
+
+        def nested(sums: Column) -> Column:
+            start = F.struct(square(sums, size).alias("m"), F.array().cast("array<double>").alias("rests"))
+            step = lambda s, k: let(sweep(s["m"], k), lambda m: F.struct(m.alias("m"), F.concat(s["rests"], F.array(F.get(F.get(m, last), last))).alias("rests")))
+            return F.aggregate(numbers(0, max_lag + 1), start, step, lambda s: s["rests"])
+
+        def chosen(sums: Column) -> Column:
+            rows = n - 1 - max_lag
+            score = lambda v, i: rows * F.ln(F.greatest(v, F.lit(1e-300)) / rows) + 2 * (i + 2)
+            scores = F.transform(F.slice(nested(sums), 2, max_lag + 1), score)
+            return let(let(scores, lambda s: (F.array_position(s, F.array_min(s)) - 1).cast("int")), lambda used: fitted(sums, used))
+
+        def fitted(sums: Column, used: Column) -> Column:
+            every = F.aggregate(numbers(used, max_lag - 1), sums, add)
+            m = F.aggregate(numbers(0, used + 1), square(every, size), sweep)
+            parts = lambda m: F.struct(used.alias("used"), F.get(F.get(m, F.lit(1)), last).alias("beta"), F.get(F.get(m, F.lit(1)), F.lit(1)).alias("inverse"), F.get(F.get(m, last), last).alias("rest"))
+            return let(m, parts)
+
+        none = F.transform(numbers(1, (size * (size + 1) / 2).cast("int")), lambda _: F.lit(0.0))
+        return let(F.aggregate(numbers(max_lag, n - 2), none, add), chosen)
+
+    return let(F.transform(numbers(1, n - 1), lambda i: F.get(x, i) - F.get(x, i - 1)), fits)
+
+
 def adf_test(series: DataFrame, value: str = "deseasonal", sig: float = 0.01, keys=RUN_KEYS) -> DataFrame:
-    """Unit-root test per series: statistic, p_value, used_lag and the verdict at level ``sig``.
+    """Unit-root test per series (constant, lag by AIC): statistic, p_value, used_lag and the verdict at level ``sig``.
 
-    One small regression per series; a group is one series, bounded by its calendar. A series that
-    cannot be tested gets nulls and counts as not stationary.
+    A series becomes one row with its values as an array, bounded by its calendar, and its regressions are folds over
+    it; scaling changes neither statistic nor lag. A series that cannot be tested, too short or without variance, gets
+    nulls and counts as not stationary.
     """
-    schema = ", ".join([f"{k} string" for k in keys] + ["statistic double", "p_value double", "used_lag int"])
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("reference_date")[value].to_numpy(dtype=float)
-        try:
-            statistic, p_value, lags = adf(values)
-        except (ValueError, np.linalg.LinAlgError):
-            statistic = p_value = lags = None
-        return pd.DataFrame([[*key, statistic, p_value, lags]], columns=[*keys, "statistic", "p_value", "used_lag"])
-
-    tested = series.select(*keys, "reference_date", value).groupBy(*keys).applyInPandas(one, schema)
-    return tested.withColumn(
-        "verdict", F.when(F.col("p_value") < sig, "Stationary").otherwise("Not stationary")
-    )
+    lists = series.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("reference_date", F.col(value).cast("double").alias("v")))).alias("days"),
+        F.count(value).cast("int").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
+    )
+    n = F.col("n")
+    max_lag = F.least(F.ceil(12.0 * F.pow(n / 100.0, 0.25)), F.floor(n / 2) - 2).cast("int")
+    x = F.transform("days", lambda r: (r["v"] - F.col("mean")) / F.col("std"))
+    fit = F.when((max_lag >= 0) & (F.col("std") > 0), let(x, lambda x: _unit_root(x, n, max_lag)))
+    fitted = lists.select(*keys, "n", fit.alias("fit"))
+    spread = F.try_divide(F.col("fit.rest"), n - 2 * F.col("fit.used") - 3) * F.col("fit.inverse")
+    tested = fitted.select(*keys, F.try_divide(F.col("fit.beta"), F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("statistic"), F.col("fit.used").alias("used_lag"))
+    tested = tested.select(*keys, "statistic", _p_value(F.col("statistic")).alias("p_value"), "used_lag")
+    return tested.withColumn("verdict", F.when(F.col("p_value") < sig, "Stationary").otherwise("Not stationary"))
 
 
 def candidates(verdicts: DataFrame, runs: DataFrame, keys=RUN_KEYS) -> DataFrame:

@@ -26,7 +26,9 @@ from liftpanel.operators import (
     runs as runs_ops,
     selection,
     stationarity,
+    structural,
 )
+from liftpanel.functions.normal import two_sided_z
 from liftpanel.operators.extract import RoleMeasure
 from liftpanel.plans import panel, warehouse as W
 from liftpanel.schema import RUN_KEYS
@@ -543,14 +545,18 @@ def trend_candidates(spark, sf_dir):
     return stationarity.candidates(verdicts, runs_ops.expand_runs(analyses))
 
 
-@query
-def ar_order(spark, sf_dir):
+def ar_order_table(spark, sf_dir) -> DataFrame:
     """Order by a low threshold on the search runs; main runs keep the fixed order 1."""
     analyses = W.region_analyses(spark, sf_dir)
     runs = runs_ops.expand_runs(analyses).withColumn("fix_order", F.col("run_kind") == "main")
     return stationarity.ar_order(explore.pre_target(_features(spark, sf_dir)), runs, threshold=0.02)
 
 
+@query
+def ar_order(spark, sf_dir):
+    return ar_order_table(spark, sf_dir)
+
+
 @query(digits=6)
 def standardized(spark, sf_dir):
     return model.standardize(_features(spark, sf_dir)).select(*RUN_KEYS, "feature", "reference_date", "scaled")
@@ -571,6 +577,50 @@ def single_control_fit(spark, sf_dir):
     return _predictions(spark, sf_dir)
 
 
+@query
+def gram(spark, sf_dir):
+    return structural.gram(_features(spark, sf_dir))
+
+
+@query(digits=6)
+def sparse_fit(spark, sf_dir):
+    return structural.sparse_fit(_features(spark, sf_dir))
+
+
+@query(digits=6)
+def importance(spark, sf_dir):
+    return structural.importance(structural.sparse_fit(_features(spark, sf_dir)))
+
+
+@query(digits=2)
+def all_controls_fit(spark, sf_dir):
+    """The target from all controls together, with its interval."""
+    return structural.all_controls(_features(spark, sf_dir), two_sided_z(ALPHA))
+
+
+def _monthly_runs(spark, sf_dir) -> DataFrame:
+    """Runs of the regions; all but one have the second season."""
+    return runs_ops.expand_runs(W.region_analyses(spark, sf_dir)).withColumn("monthly_seasonality", F.col("target") != "ASIA")
+
+
+@query
+def two_seasons(spark, sf_dir):
+    return structural.two_seasons(structural.straight_line(_features(spark, sf_dir)), _monthly_runs(spark, sf_dir))
+
+
+@query
+def ar_forecast(spark, sf_dir):
+    """The target carried on after the campaign start with the orders that ``ar_order`` lists."""
+    series = explore.pre_target(_features(spark, sf_dir))
+    return structural.ar_forecast(series, ar_order_table(spark, sf_dir), _monthly_runs(spark, sf_dir))
+
+
+@query(digits=2)
+def components(spark, sf_dir):
+    """Every day of every run: line, two seasons, all controls, autoregression, and their sum."""
+    return structural.components(_features(spark, sf_dir), _monthly_runs(spark, sf_dir), ar_order_table(spark, sf_dir))
+
+
 # --- selection --------------------------------------------------------------------------------
 
 

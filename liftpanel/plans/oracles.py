@@ -10,6 +10,8 @@ import re
 
 from liftpanel.functions import normal
 from liftpanel.functions.normal import two_sided_z
+from liftpanel.operators.stationarity import TAU_LARGE, TAU_MAX, TAU_MIN, TAU_SMALL, TAU_SPLIT
+from liftpanel.operators.structural import COMPONENTS, PASSES, PENALTY, SEASON_PASSES
 
 Z = two_sided_z(0.05)
 
@@ -545,7 +547,211 @@ CTES["cases_whole"] = (CTES["cases"][0][: CTES["cases"][0].index("        WHERE
 CTES["totals_whole"] = _on("totals", cases="cases_whole")
 CTES["totals_whole"] = (CTES["totals_whole"][0].replace("sum(cases_whole) AS cases_whole", "sum(cases) AS cases"), ("cases_whole",))
 CTES["new_cases_whole"] = (CTES["new_cases"][0].replace("FROM totals", "FROM totals_whole"), ("totals_whole",))
-RECURSIVE = ("levinson",)
+
+
+def _unit_root(suffix: str, seasonal: str) -> None:
+    """``adf{suffix}``: the regressions as sums over unnested days, solved by Gauss-Jordan steps."""
+    cells = "[[CASE WHEN i = k AND j = k THEN 1 / g[k][k] WHEN i = k THEN g[i][j] / g[k][k] WHEN j = k THEN -g[i][j] / g[k][k] ELSE g[i][j] - g[i][k] * g[k][j] / g[k][k] END for j in range(1, m + 4)] for i in range(1, m + 4)]"
+    add = CTES.__setitem__
+    add(f"ur_x{suffix}", (f"""
+        SELECT {KEYS}, list(z ORDER BY d) AS x, CAST(count(*) AS INTEGER) AS n,
+               CAST(least(ceil(12.0 * pow(count(*) / 100.0, 0.25)), floor(count(*) / 2) - 2) AS INTEGER) AS m
+        FROM (SELECT {KEYS}, d, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z
+              FROM (SELECT {KEYS}, d, value - seasonal AS v FROM {seasonal}) WINDOW w AS (PARTITION BY {KEYS}))
+        GROUP BY {KEYS}""", (seasonal,)))
+    add(f"ur_row{suffix}", (f"""
+        SELECT {KEYS}, n, m, t, [1.0, x[t + 1]] || [CASE WHEN t >= j THEN x[t - j + 2] - x[t - j + 1] ELSE 0.0 END for j in range(1, m + 1)] || [x[t + 2] - x[t + 1]] AS v
+        FROM (SELECT *, unnest(range(0, n - 1)) AS t FROM ur_x{suffix})""", (f"ur_x{suffix}",)))
+
+    def gram(source: str, first: str) -> str:
+        return f"""
+        SELECT {KEYS}, n, m, list(line ORDER BY i) AS g
+        FROM (SELECT {KEYS}, n, m, i, list(s ORDER BY j) AS line
+              FROM (SELECT {KEYS}, n, m, i, j, sum(v[i] * v[j]) AS s
+                    FROM (SELECT *, unnest(range(1, m + 4)) AS j FROM (SELECT *, unnest(range(1, m + 4)) AS i FROM {source} WHERE t >= {first}))
+                    GROUP BY ALL)
+              GROUP BY ALL)
+        GROUP BY ALL"""
+
+    add(f"ur_gram{suffix}", (gram(f"ur_row{suffix}", "m"), (f"ur_row{suffix}",)))
+    add(f"ur_steps{suffix}", (f"""
+        SELECT {KEYS}, n, m, g, 1 AS k FROM ur_gram{suffix}
+        UNION ALL SELECT {KEYS}, n, m, {cells}, k + 1 FROM ur_steps{suffix} WHERE k < m + 3""", (f"ur_gram{suffix}",)))
+    add(f"ur_used{suffix}", (f"""
+        SELECT {KEYS}, arg_min(k - 3, (n - 1 - m) * ln(g[m + 3][m + 3] / (n - 1 - m)) + 2 * (k - 1)) AS used
+        FROM ur_steps{suffix} WHERE k >= 3 GROUP BY {KEYS}""", (f"ur_steps{suffix}",)))
+    add(f"ur_chosen{suffix}", (f"SELECT * FROM ur_row{suffix} JOIN ur_used{suffix} USING ({KEYS})", (f"ur_row{suffix}", f"ur_used{suffix}")))
+    add(f"ur_gram_chosen{suffix}", (gram(f"ur_chosen{suffix}", "used"), (f"ur_chosen{suffix}",)))
+    add(f"ur_last{suffix}", (f"""
+        SELECT {KEYS}, n, m, g, 1 AS k FROM ur_gram_chosen{suffix}
+        UNION ALL SELECT {KEYS}, n, m, {cells}, k + 1 FROM ur_last{suffix} WHERE k < m + 3""", (f"ur_gram_chosen{suffix}",)))
+    poly = f"CASE WHEN tau <= {TAU_SPLIT} THEN {_poly(TAU_SMALL, 'tau')} ELSE {_poly(TAU_LARGE, 'tau')} END"
+    add(f"adf{suffix}", (f"""
+        SELECT {KEYS}, tau, CAST(used AS INTEGER) AS used_lag,
+               CASE WHEN tau > {TAU_MAX} THEN 1.0 WHEN tau < {TAU_MIN} THEN 0.0 WHEN q > 0 THEN 1 - {tail('q')} ELSE {tail('q')} END AS p_value
+        FROM (SELECT *, {poly} AS q
+              FROM (SELECT {KEYS}, used, g[2][m + 3] / sqrt(g[m + 3][m + 3] / (n - 1 - used - used - 2) * g[2][2]) AS tau
+                    FROM ur_last{suffix} JOIN ur_used{suffix} USING ({KEYS}) WHERE k = used + 3))""", (f"ur_last{suffix}", f"ur_used{suffix}")))
+
+
+_unit_root("", "seasonal")
+CTES["target_or_total"] = (
+    f"""
+        SELECT {KEYS}, cs, d, CASE WHEN run_kind = 'main' THEN value ELSE sum(value - 1) OVER (PARTITION BY {KEYS} ORDER BY d) END AS value
+        FROM target""",
+    ("target",),
+)
+CTES["seasonal_total"] = (CTES["seasonal"][0].replace("FROM target ", "FROM target_or_total "), ("target_or_total",))
+_unit_root("_total", "seasonal_total")
+
+
+def _sparse(suffix: str, features: str) -> None:
+    """``fit{suffix}`` by coordinate descent, from products of all pairs of features."""
+    scaled = f"scaled{suffix}"
+    if suffix:
+        CTES[scaled] = (CTES["scaled"][0].replace("FROM features)", f"FROM {features})"), (features,))
+    CTES[f"gram{suffix}"] = (
+        f"""
+        SELECT x.analysis_id, x.run_kind, x.feature AS feature_i, y.feature AS feature_j, x.role <> 'target' AS oi, y.role <> 'target' AS oj,
+               sum(x.scaled * y.scaled) AS product, count(*) AS n
+        FROM {scaled} x JOIN {scaled} y USING ({KEYS}, d) WHERE d < x.cs GROUP BY ALL""",
+        (scaled,),
+    )
+    CTES[f"matrix{suffix}"] = (
+        f"""
+        SELECT {KEYS}, n, list(feature_i ORDER BY oi, feature_i) AS names, list(line ORDER BY oi, feature_i) AS g
+        FROM (SELECT {KEYS}, n, feature_i, oi, list(product ORDER BY oj, feature_j) AS line FROM gram{suffix} GROUP BY ALL) GROUP BY ALL""",
+        (f"gram{suffix}",),
+    )
+    CTES[f"descent{suffix}"] = (
+        f"""
+        SELECT {KEYS}, n, names, g, 0 AS s, [CAST(0 AS DOUBLE) for i in range(1, len(g))] AS b FROM matrix{suffix}
+        UNION ALL
+        SELECT {KEYS}, n, names, g, s + 1, [CASE WHEN k = j + 1 THEN sign(rest) * greatest(abs(rest) - {PENALTY}, 0) / (g[j + 2][j + 2] / n) ELSE b[k] END for k in range(1, len(g))]
+        FROM (SELECT *, (g[j + 2][1] - list_sum([g[j + 2][k + 1] * b[k] for k in range(1, len(g))]) + g[j + 2][j + 2] * b[j + 1]) / n AS rest
+              FROM (SELECT *, s % (len(g) - 1) AS j FROM descent{suffix} WHERE s < {PASSES} * (len(g) - 1)))""",
+        (f"matrix{suffix}",),
+    )
+    CTES[f"fit{suffix}"] = (
+        f"""
+        SELECT {KEYS}, unnest(names[2:]) AS feature, unnest(b) AS coefficient, unnest([g[1][k] / n for k in range(2, len(g) + 1)]) AS product
+        FROM descent{suffix} WHERE s = {PASSES} * (len(g) - 1)""",
+        (f"descent{suffix}",),
+    )
+    CTES[f"part{suffix}"] = (
+        f"""
+        SELECT {KEYS}, d, sum(coefficient * scaled * spread) AS value
+        FROM (SELECT *, max(std) FILTER (role = 'target') OVER (PARTITION BY {KEYS}) AS spread FROM {scaled}) JOIN fit{suffix} USING ({KEYS}, feature)
+        WHERE role <> 'target' GROUP BY ALL""",
+        (scaled, f"fit{suffix}"),
+    )
+
+
+_sparse("", "features")
+CTES["together"] = (
+    f"""
+        SELECT *, sqrt(avg((observed - mean) * (observed - mean)) FILTER (d < cs) OVER (PARTITION BY {KEYS})) AS sd
+        FROM (SELECT {KEYS}, cs, d, f.value AS observed, avg(f.value) FILTER (d < cs) OVER (PARTITION BY {KEYS}) + p.value AS mean
+              FROM features f JOIN part p USING ({KEYS}, d) WHERE role = 'target')""",
+    ("features", "part"),
+)
+CTES["straight"] = (
+    f"""
+        SELECT *, value - line AS rest
+        FROM (SELECT f.*, y + slope * (number - x) AS line
+              FROM (SELECT {KEYS}, cs, d, value, d - min(d) OVER (PARTITION BY {KEYS}) AS number FROM features WHERE role = 'target') f
+              JOIN (SELECT {KEYS}, regr_slope(value, number) AS slope, avg(number) AS x, avg(value) AS y
+                    FROM (SELECT {KEYS}, cs, d, value, d - min(d) OVER (PARTITION BY {KEYS}) AS number FROM features WHERE role = 'target')
+                    WHERE d < cs GROUP BY {KEYS}) USING ({KEYS}))""",
+    ("features",),
+)
+CTES["phase_cells"] = (
+    f"""
+        SELECT {KEYS}, list(s ORDER BY a) AS s, list(n ORDER BY a) AS n
+        FROM (SELECT {KEYS}, a, list(s ORDER BY b) AS s, list(n ORDER BY b) AS n
+              FROM (SELECT {KEYS}, a, b, coalesce(sum(rest), 0) AS s, count(rest) AS n
+                    FROM (SELECT DISTINCT {KEYS}, a, b FROM straight, range(0, 7) p(a), range(0, 30) q(b))
+                    LEFT JOIN (SELECT *, number % 7 AS a, number % 30 AS b FROM straight WHERE d < cs) USING ({KEYS}, a, b) GROUP BY ALL)
+              GROUP BY ALL)
+        GROUP BY ALL""",
+    ("straight",),
+)
+CTES["season_passes"] = (
+    f"""
+        SELECT {KEYS}, s, n, 0 AS k, [CAST(0 AS DOUBLE) for i in range(7)] AS week, [CAST(0 AS DOUBLE) for i in range(30)] AS month FROM phase_cells
+        UNION ALL
+        SELECT {KEYS}, s, n, k + 1, w,
+               CASE WHEN analysis_id = 'ASIA' THEN month
+                    ELSE [coalesce(list_sum([s[a][b] - n[a][b] * w[a] for a in range(1, 8)]) / nullif(list_sum([n[a][b] for a in range(1, 8)]), 0), 0) for b in range(1, 31)] END
+        FROM (SELECT * EXCLUDE raw, [v - list_avg(raw) for v in raw] AS w
+              FROM (SELECT *, [coalesce(list_sum([s[a][b] - n[a][b] * month[b] for b in range(1, 31)]) / nullif(list_sum(n[a]), 0), 0) for a in range(1, 8)] AS raw
+                    FROM season_passes WHERE k < {SEASON_PASSES}))""",
+    ("phase_cells",),
+)
+CTES["season_effects"] = (
+    f"""
+        SELECT {KEYS}, 7 AS period, unnest(range(7)) AS phase, unnest(week) AS effect FROM season_passes WHERE k = {SEASON_PASSES}
+        UNION ALL
+        SELECT {KEYS}, 30, unnest(range(30)), unnest(month) FROM season_passes WHERE k = {SEASON_PASSES} AND analysis_id <> 'ASIA'""",
+    ("season_passes",),
+)
+CTES["orders_found"] = (
+    f"""
+        SELECT {KEYS}, CASE WHEN run_kind = 'main' THEN 1 ELSE coalesce(min(lag) FILTER (lag >= 2 AND abs(pacf) < 0.02), 41) - 1 END AS p
+        FROM pacf GROUP BY {KEYS}""",
+    ("pacf",),
+)
+
+
+def _carried(suffix: str, series: str) -> None:
+    """``carried{suffix}``: the days after a series, from the coefficients of the order found."""
+    levinson = f"levinson{suffix}"
+    if suffix:
+        CTES[f"lag_sums{suffix}"] = (acf_lists(series, "value", 40), (series,))
+        CTES[levinson] = (CTES["levinson"][0].replace("FROM lag_sums)", f"FROM lag_sums{suffix})").replace("FROM levinson ", f"FROM {levinson} "), (f"lag_sums{suffix}",))
+    CTES[f"carry{suffix}"] = (
+        f"""
+        SELECT {KEYS}, cs, p, phi, centre, last, 0 AS h, CAST(NULL AS DOUBLE) AS ahead
+        FROM (SELECT {KEYS}, any_value(cs) AS cs, avg(value) AS centre, list(value - c ORDER BY d DESC) AS last
+              FROM (SELECT *, avg(value) OVER (PARTITION BY {KEYS}) AS c FROM {series}) GROUP BY {KEYS})
+        JOIN orders_found USING ({KEYS}) JOIN (SELECT {KEYS}, k, phi FROM {levinson}) v USING ({KEYS}) WHERE k = p
+        UNION ALL
+        SELECT {KEYS}, cs, p, phi, centre, list_prepend(a, last[1:p]), h + 1, a
+        FROM (SELECT *, list_sum([coalesce(phi[i] * last[i], 0.0) for i in range(1, p + 1)]) AS a FROM carry{suffix}
+              WHERE h <= (SELECT max(e - r.cs) FROM runs r))""",
+        (series, levinson, "orders_found", "runs"),
+    )
+    CTES[f"carried{suffix}"] = (
+        f"SELECT {KEYS}, c.cs + CAST(h - 1 AS INTEGER) AS d, centre + ahead AS forecast FROM carry{suffix} c JOIN runs r USING ({KEYS}) WHERE h BETWEEN 1 AND r.e - r.cs + 1",
+        (f"carry{suffix}", "runs"),
+    )
+
+
+_carried("", "target")
+CTES["seasoned"] = (
+    f"""
+        SELECT x.*, coalesce(w.effect, 0) AS weekly, coalesce(m.effect, 0) AS monthly, rest - coalesce(w.effect, 0) - coalesce(m.effect, 0) AS remains
+        FROM straight x
+        LEFT JOIN season_effects w ON w.analysis_id = x.analysis_id AND w.run_kind = x.run_kind AND w.period = 7 AND w.phase = number % 7
+        LEFT JOIN season_effects m ON m.analysis_id = x.analysis_id AND m.run_kind = x.run_kind AND m.period = 30 AND m.phase = number % 30""",
+    ("straight", "season_effects"),
+)
+CTES["features_left"] = (
+    f"""
+        SELECT f.* REPLACE (CASE WHEN role = 'target' THEN remains ELSE f.value END AS value)
+        FROM features f JOIN (SELECT {KEYS}, d, remains FROM seasoned) USING ({KEYS}, d)""",
+    ("features", "seasoned"),
+)
+_sparse("_left", "features_left")
+CTES["last_rest"] = (f"SELECT {KEYS}, cs, d, remains - p.value AS value FROM seasoned s JOIN part_left p USING ({KEYS}, d) WHERE d < cs", ("seasoned", "part_left"))
+_carried("_left", "last_rest")
+CTES["split"] = (
+    f"""
+        SELECT {KEYS}, d, line, weekly, monthly, p.value AS regressors, coalesce(forecast, 0) AS autoregression
+        FROM seasoned s JOIN part_left p USING ({KEYS}, d) LEFT JOIN carried_left USING ({KEYS}, d)""",
+    ("seasoned", "part_left", "carried_left"),
+)
+RECURSIVE = ("levinson", "ur_steps", "descent", "season_passes")
 
 
 def _with(final: str, *names: str) -> str:
@@ -562,7 +768,7 @@ def _with(final: str, *names: str) -> str:
         add(name)
     if not ordered:
         return final
-    keyword = "WITH RECURSIVE" if set(RECURSIVE) & set(ordered) else "WITH"
+    keyword = "WITH RECURSIVE" if any(n.startswith(RECURSIVE) for n in ordered) else "WITH"
     return keyword + ",\n".join(f" {n} AS ({CTES[n][0]})" for n in ordered) + "\n" + final
 
 
@@ -841,12 +1047,44 @@ ORACLES: dict[str, str] = {
                    {r('seasonal', 2)} AS seasonal, {r('value - seasonal', 2)} AS deseasonal FROM seasonal""",
         "seasonal",
     ),
-    "trend_candidates": """
-        SELECT r_name AS analysis_id, run_kind, CAST(candidate_ord AS INTEGER) AS candidate_ord,
-               CASE WHEN r_name = 'ASIA' THEN 'semi_local_linear' ELSE candidate END AS candidate
-        FROM region, (VALUES ('main', 0, 'no_trend'), ('spec', 0, 'local_level'), ('spec', 1, 'local_linear'),
-                             ('spec', 2, 'semi_local_linear')) t(run_kind, candidate_ord, candidate)
-        WHERE r_name <> 'ASIA' OR candidate_ord = 0""",
+    "adf": _with(
+        f"""SELECT {KEYS}, {r('tau', 6)} AS statistic, {r('p_value', 6)} AS p_value, used_lag,
+                   CASE WHEN p_value < 0.01 THEN 'Stationary' ELSE 'Not stationary' END AS verdict FROM adf""",
+        "adf",
+    ),
+    "trend_candidates": _with(
+        f"""SELECT {KEYS}, CAST(ord AS INTEGER) AS candidate_ord, candidate
+            FROM (SELECT {KEYS}, unnest(names) AS candidate, unnest(range(len(names))) AS ord
+                  FROM (SELECT {KEYS}, CASE WHEN analysis_id = 'ASIA' THEN ['semi_local_linear'] WHEN p_value < 0.01 THEN ['no_trend']
+                                            ELSE ['local_level', 'local_linear', 'semi_local_linear'] END AS names FROM adf_total))""",
+        "adf_total",
+    ),
+    "gram": _with(
+        f"SELECT {KEYS}, feature_i, feature_j, {r('product')} AS product FROM gram WHERE (oi, feature_i) <= (oj, feature_j)", "gram"
+    ),
+    "sparse_fit": _with(f"SELECT {KEYS}, feature, {r('coefficient', 6)} AS coefficient, {r('product', 6)} AS product FROM fit", "fit"),
+    "importance": _with(
+        f"""SELECT {KEYS}, feature, {r('abs(coefficient)', 6)} AS importance,
+                   CAST(row_number() OVER (PARTITION BY {KEYS} ORDER BY round(abs(coefficient), 9) DESC, feature) AS INTEGER) AS rank,
+                   {r(f"coefficient * product / nullif(sum(coefficient * product) OVER (PARTITION BY {KEYS}), 0)", 6)} AS share
+            FROM fit""",
+        "fit",
+    ),
+    "all_controls_fit": _with(
+        f"""SELECT {KEYS}, {day('cs')} AS campaign_start, {day('d')} AS reference_date, {r('observed', 2)} AS observed, {r('mean', 2)} AS mean,
+                   {r(f'mean - {Z!r} * sd', 2)} AS lower, {r(f'mean + {Z!r} * sd', 2)} AS upper, {r('sd', 2)} AS sd FROM together""",
+        "together",
+    ),
+    "two_seasons": _with(
+        f"SELECT {KEYS}, CAST(period AS INTEGER) AS period, CAST(phase AS INTEGER) AS phase, {r('effect')} AS effect FROM season_effects", "season_effects"
+    ),
+    "ar_forecast": _with(f"SELECT {KEYS}, {day('d')} AS reference_date, {r('forecast')} AS forecast FROM carried", "carried"),
+    "components": _with(
+        f"""SELECT {KEYS}, {day('d')} AS reference_date, component, {r('value', 2)} AS value, {r('mean', 2)} AS mean
+            FROM (SELECT {KEYS}, d, {' + '.join(COMPONENTS)} AS mean, unnest([{', '.join(f"'{c}'" for c in COMPONENTS)}]) AS component,
+                         unnest([{', '.join(COMPONENTS)}]) AS value FROM split)""",
+        "split",
+    ),
     "ar_order": _with(
         f"""SELECT {KEYS}, CAST(CASE WHEN run_kind = 'main' THEN 1
                    ELSE coalesce(min(lag) FILTER (lag >= 2 AND abs(pacf) < 0.02), 41) - 1 END AS INTEGER) AS ar_order

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from liftpanel.functions import normal, unitroot
+from liftpanel.functions import normal
 from liftpanel.operators import explore, stationarity
 from tests.helpers import DAY, feature_rows, features_df
 
@@ -142,19 +142,26 @@ def adf_by_lstsq(x):
 
 def test_unit_root_statistic_and_verdict(spark):
     data = some_series(400)
-    for x in data.values():
-        tau, _, lags = unitroot.adf(x)
-        expected, expected_lags = adf_by_lstsq(x)
-        assert lags == expected_lags and tau == pytest.approx(expected, rel=1e-6)
-    assert unitroot.mackinnon_p(-3.43) == pytest.approx(0.01, abs=5e-4)
-    assert unitroot.mackinnon_p(-2.86) == pytest.approx(0.05, abs=2e-3)
-    assert unitroot.mackinnon_p(5.0) == 1.0 and unitroot.mackinnon_p(-30.0) == 0.0
     df = series_df(spark, data | {"tiny": [1.0, 2.0, 3.0], "flat": [1.0] * 30})
-    got = {r.analysis_id: (r.verdict, r.p_value) for r in stationarity.adf_test(df, "value").collect()}
+    rows = {r.analysis_id: r for r in stationarity.adf_test(df, "value").collect()}
+    for name, x in data.items():
+        expected, expected_lags = adf_by_lstsq(x)
+        assert rows[name].used_lag == expected_lags and rows[name].statistic == pytest.approx(expected, rel=1e-6)
+    got = {name: (r.verdict, r.p_value) for name, r in rows.items()}
+    assert got["tiny"][1] is None and got["flat"] == ("Not stationary", None)
     assert got["noise"][0] == "Stationary" and got["walk"][0] == "Not stationary"
     assert got["tiny"][0] == "Not stationary"
 
 
+def test_unit_root_p_values(spark):
+    """The response surface at published critical values, and its ends."""
+    from pyspark.sql import functions as F
+
+    taus = spark.createDataFrame([(x,) for x in (-3.43, -2.86, -2.57, 5.0, -30.0)], "tau double")
+    p = [r.p for r in taus.select(stationarity._p_value(F.col("tau")).alias("p")).collect()]
+    assert p[:3] == pytest.approx([0.01, 0.05, 0.1], abs=2e-3) and p[3:] == [1.0, 0.0]
+
+
 def test_candidates(spark):
     runs = spark.createDataFrame([("a", "main", "search"), ("b", "main", "search"), ("c", "main", "local_level"), ("d", "main", "search")], "analysis_id string, run_kind string, search_model string")
     verdicts = spark.createDataFrame([("a", "main", "Stationary"), ("b", "main", "Not stationary"), ("c", "main", "Stationary")], "analysis_id string, run_kind string, verdict string")
