@@ -50,9 +50,9 @@ class ChunkIds(dict):
     chunks in lower case, one after the other. Marks at the end of a chunk are remembered apart from its word.
     """
 
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, tokenizer, remembered: int = REMEMBERED) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.remembered = tokenizer, remembered
         self.letters = "".join(letter for _, letter in sorted(byte_letters().items()))
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -66,7 +66,7 @@ class ChunkIds(dict):
 
     def learn(self, chunks: set[bytes]) -> None:
         """Encode the words that are new in one call."""
-        if len(self) + len(chunks) > REMEMBERED:
+        if len(self) + len(chunks) > self.remembered:
             self.clear()
         words = {w for c in chunks if c not in self and (w := c.rstrip(MARKS)) not in self}
         model, rest = self.tokenizer.model, []
@@ -89,7 +89,7 @@ class ChunkIds(dict):
             yield b"".join(map(self.__getitem__, own))
 
 
-def chunk_ids(path: str) -> ChunkIds:
+def chunk_ids(path: str, remembered: int = REMEMBERED) -> ChunkIds:
     """The worker's memory for this tokenizer, kept from task to task."""
     known = worker_state("chunks").setdefault("chunk_ids", {})
     if path not in known:
@@ -97,10 +97,11 @@ def chunk_ids(path: str) -> ChunkIds:
         from tokenizers import Tokenizer
 
         known[path] = ChunkIds(Tokenizer.from_file(path))
+    known[path].remembered = remembered
     return known[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each text's ids, then the end id, cut every ``capacity`` tokens.
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read. Null text is empty: one piece,
@@ -109,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = chunk_ids(tokenizer)
+        memory = chunk_ids(tokenizer, remembered)
         for batch in batches:
             rows, out = [], []
             ids_of = (ids for group in in_groups(raw_texts(batch.column(1))) for ids in memory.of(group))
@@ -185,14 +186,15 @@ def ranked(cut: DataFrame, pieces_total: int, rows_each: int = 100_000) -> DataF
     return salted.withColumn("inside", F.row_number().over(inside) - 1).join(sizes, ["length", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document.
 
     Each sequence holds at most ``capacity`` tokens without gaps from offset 0. Rows with a null id and
     repeated rows are packed like any other; an empty table gives an empty result; further columns are not read.
+    ``remembered`` bounds the chunks whose ids a Python worker keeps: fewer take less memory and more time.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
+    cut = written(pieces(docs, tokenizer, capacity, id_col, text_col, remembered), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     plan = plan_slots(counts, capacity)
     names = ["length", "rank_from", "rank_to", "first", "each", "place"]
