@@ -12,8 +12,10 @@ by side: one step extends a match by the word to its left; a match of ``WINDOW``
 ``WINDOW - 1`` by widening its interval to all rows with the same prefix. So every window's interval, that is
 all its occurrences, costs one step, and the smallest id among them is known beforehand for each interval.
 
-A minimizer with more than ``crowd`` different regions would make too large a shard. Its windows are grouped
-by a hash of 128 bits instead, each with the smallest id that has it.
+A minimizer whose different regions have more than ``block_words`` words would make too large a shard. Its
+regions are cut anew by a longer key of each window: its 4, then its 16 least grams, at last all of them in
+order. Equal windows agree in every such key, so they still meet in one shard, and the longest key leaves a
+shard with a single different window. An FM-index thus holds at most twice ``block_words`` words.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from liftpanel.llm.common import in_groups, marked, raw_texts, worker_state, wri
 
 WINDOW, GRAM = 50, 8
 LONGEST_RUN = 512
-CROWD = 20_000
 BLOCK_WORDS = 400_000
 REMEMBERED = 600_000
 
@@ -57,8 +58,31 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - size)], out[width - size :]) if size < width else out
 
 
-def runs_of(texts: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, first window, windows, minimizer, hash of the region's words) of each run, for many texts at once."""
+def last_level(window: int) -> int:
+    """The level whose key has all grams of a window."""
+    width, level = window - min(GRAM, window) + 1, 1
+    while 4**level < width:
+        level += 1
+    return level
+
+
+def window_keys(grams: np.ndarray, width: int, level: int) -> np.ndarray:
+    """A hash of the ``4 ** level`` least of each ``width`` consecutive grams; of all of them in order at the last level."""
+    if level == 0:
+        return sliding_min(grams, width)
+    every = np.lib.stride_tricks.sliding_window_view(grams, width)
+    if 4**level < width:
+        every = np.sort(every, axis=1)[:, : 4**level]
+    keys = np.zeros(len(every), np.uint64)
+    for column in every.T:
+        keys = (keys ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def runs_of(texts: list[bytes], window: int = WINDOW, level: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, first window, windows, key, hash of the region's words) of each run, for many texts at once. The key
+    is the minimizer at level 0; at the last level every window is a run of its own."""
     memory = word_hashes()
     words = [t.split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
@@ -73,7 +97,7 @@ def runs_of(texts: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, int
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(32)
-    least = sliding_min(grams, window - gram + 1)
+    least = window_keys(grams, window - gram + 1, level)
     ends = np.cumsum(sizes)
     text = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
     at = np.flatnonzero(np.arange(len(least)) + window <= ends[text])
@@ -82,7 +106,7 @@ def runs_of(texts: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, int
     first = np.ones(len(at), bool)
     first[1:] = (text[at][1:] != text[at][:-1]) | (least[at][1:] != least[at][:-1])
     place = np.arange(len(at))
-    first |= (place - np.maximum.accumulate(np.where(first, place, 0))) % LONGEST_RUN == 0
+    first |= (place - np.maximum.accumulate(np.where(first, place, 0))) % (1 if level and level == last_level(window) else LONGEST_RUN) == 0
     heads = np.flatnonzero(first)
     lengths = np.diff(np.append(heads, len(at)))
     heads = at[heads]
@@ -284,21 +308,50 @@ def _indexed(regions: DataFrame, window: int, block_words: int) -> DataFrame:
     return columns.repartition("m").sortWithinPartitions("m", "r").mapInArrow(run, INTERVALS)
 
 
-def _grouped(regions: DataFrame, window: int) -> DataFrame:
-    """``INTERVALS`` for crowded minimizers: windows grouped by a hash of their words."""
+def _shared(regions: DataFrame, window: int, block_words: int) -> DataFrame:
+    """``m, crowded`` of the keys that more than one id has, from ``regions (m, r, owner, last, n)``."""
+    keys = regions.groupBy("m").agg(F.min("owner").alias("low"), F.max("last").alias("high"), F.sum(F.col("n") + (window - 1)).alias("size"))
+    return keys.where("low < high").select("m", (F.col("size") > block_words).alias("crowded"))
+
+
+def _narrowed(regions: DataFrame, window: int, level: int) -> DataFrame:
+    """``up_m, up_r, owner, last, m, r, start, n, words``: the regions cut anew by the keys of this level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for m, r, owner, last, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split()
-                digests = [xxhash.xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(len(words) - window + 1)]
-                n = len(digests)
-                arrays = [pa.array(digests, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), *(pa.array(np.full(n, x)) for x in (m, r, owner, last))]
-                yield pa.RecordBatch.from_arrays(arrays, ["digest", "first", "m", "r", "owner", "last"])
-
-    windows = regions.select("m", "r", "owner", "last", "words").mapInArrow(run, "digest binary, first int, m long, r long, owner long, last long")
-    least = windows.groupBy("digest").agg(F.min("owner").alias("least"))
-    return windows.join(least, "digest").where("least < last").select("m", "r", "first", F.lit(1).alias("windows"), "least")
+            before = 0
+            # A level's keys look at every gram of every window, so groups are smaller here.
+            for group in in_groups(raw_texts(batch.column(4)), 1 << 17):
+                found = list(runs_of(group, window, level))
+                columns = list(zip(*found, strict=True)) or [()] * 5
+                words = [t.split() for t in group]
+                cut = [b" ".join(words[row][start : start + n + window - 1]) for row, start, n, _, _ in found]
+                take = pa.array(np.array(columns[0], np.int64) + before)
+                before += len(group)
+                hashes = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (columns[3], columns[4])]
+                own = [pa.array(np.array(c, np.int32)) for c in (columns[1], columns[2])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), *hashes, *own, pa.array(cut, pa.binary())], ["up_m", "up_r", "owner", "last", "m", "r", "start", "n", "words"])
+
+    schema = "up_m long, up_r long, owner long, last long, m long, r long, start int, n int, words binary"
+    return regions.select("m", "r", "owner", "last", "words").mapInArrow(run, schema)
+
+
+def _intervals(regions: DataFrame, window: int, block_words: int, level: int = 0) -> DataFrame:
+    """``INTERVALS`` of ``regions (m, r, owner, last, crowded, words)``; those of crowded keys through longer keys."""
+    found = _indexed(regions.where("not crowded"), window, block_words)
+    crowded = regions.where("crowded")
+    if crowded.isEmpty():
+        return found
+    level += 1
+    parts = written(_narrowed(crowded, window, level), "parts")
+    shared = _shared(parts.groupBy("m", "r").agg(F.min("owner").alias("owner"), F.max("last").alias("last"), F.min("n").alias("n")), window, block_words)
+    if level == last_level(window):
+        shared = shared.withColumn("crowded", F.lit(False))
+    least = [F.min("owner").alias("owner"), F.max("last").alias("last"), F.first("crowded").alias("crowded"), F.first("words").alias("words")]
+    narrower = written(parts.join(shared, "m").groupBy("m", "r").agg(*least), "narrower")
+    inner = parts.select("m", "r", "up_m", "up_r", "last", "start").join(_intervals(narrower, window, block_words, level), ["m", "r"]).where("least < last")
+    first = (F.col("start") + F.col("first")).alias("first")
+    return found.unionByName(inner.select(F.col("up_m").alias("m"), F.col("up_r").alias("r"), first, "windows", "least"))
 
 
 def _kept(rows: DataFrame, removed: Column) -> DataFrame:
@@ -323,23 +376,22 @@ def _kept(rows: DataFrame, removed: Column) -> DataFrame:
     return rows.select("doc_id", "text", removed.cast("array<struct<a:int,b:int>>").alias("removed")).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
-def repeated_intervals(rows: DataFrame, window: int = WINDOW, crowd: int = CROWD, block_words: int = BLOCK_WORDS) -> DataFrame:
+def repeated_intervals(rows: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, t, a, b``: words a to b (exclusive) of a text are covered by windows that a smaller id has too.
     ``rows`` has ``doc_id`` (integer), ``t`` (a hash that tells texts of one id apart) and ``text``."""
     every = written(runs(rows, window), "runs")
     place = F.struct("doc_id", "t", "start", "n")
     regions = every.groupBy("m", "r").agg(F.min(place).alias("place"), F.max("doc_id").alias("last"))
-    shared = regions.groupBy("m").agg(F.min("place.doc_id").alias("low"), F.max("last").alias("high"), F.count("*").alias("regions"))
-    shared = shared.where("low < high").select("m", (F.col("regions") > crowd).alias("crowded"))
+    shared = _shared(regions.select("m", "r", "last", F.col("place.doc_id").alias("owner"), F.col("place.n").alias("n")), window, block_words)
     wanted = regions.join(shared, "m").select("m", "r", "last", "crowded", F.col("place.doc_id").alias("owner"), "place.*")
     texts = written(_region_texts(rows, written(wanted, "regions"), window), "region-texts")
-    intervals = _indexed(texts.where("not crowded"), window, block_words).unionByName(_grouped(texts.where("crowded"), window))
+    intervals = _intervals(texts, window, block_words)
     first = F.col("start") + F.col("first")
     found = every.join(intervals, ["m", "r"]).where("least < doc_id")
     return found.select("doc_id", "t", first.alias("a"), (first + F.col("windows") + (window - 1)).alias("b"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, crowd: int = CROWD, block_words: int = BLOCK_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row: without the words of windows that a smaller id has too.
 
     Windows are judged on the input. Null and empty texts have no words. A text without an id keeps all its
@@ -348,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     rows = rows.select("doc_id", "t", "text")
-    spans = written(repeated_intervals(rows, window, crowd, block_words), "repeats")
+    spans = written(repeated_intervals(rows, window, block_words), "repeats")
     lists = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("removed"))
     both = marked(rows, spans.select("doc_id").distinct(), "marked")
     touched = both.where("marked").join(lists, ["doc_id", "t"], "left")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from liftpanel.llm.fmindex_substrings import FMIndex, WaveletMatrix, remove_repeats, runs_of, shard_intervals, sliding_min
+from liftpanel.llm.fmindex_substrings import FMIndex, WaveletMatrix, last_level, remove_repeats, runs_of, shard_intervals, sliding_min
 from tests.conftest import SMALL
 from tests.llm.cases import bears_odd_tables, odd, prose
 
@@ -63,15 +63,21 @@ def test_equal_windows_meet_in_one_region_key():
     rng = random.Random(4)
     shared = prose(rng, 120)
     texts = [f"{prose(rng, 30)} {shared} {prose(rng, 30)}".encode() for _ in range(4)] + [b"", b"few words"]
-    minimizer = {}
-    covered = {i: 0 for i in range(len(texts))}
-    for row, start, n, m, _ in runs_of(texts):
-        covered[row] += n
-        words = texts[row].split()
-        for j in range(start, start + n):
-            minimizer.setdefault(b" ".join(words[j : j + 50]), set()).add(m)
-    assert all(len(m) == 1 for m in minimizer.values())
-    assert covered == {i: max(0, len(t.split()) - 49) for i, t in enumerate(texts)}
+    assert last_level(50) == 3 and last_level(9) == last_level(8) == 1
+    of_key = []
+    for level in range(4):
+        minimizer = {}
+        covered = {i: 0 for i in range(len(texts))}
+        for row, start, n, m, _ in runs_of(texts, level=level):
+            covered[row] += n
+            words = texts[row].split()
+            for j in range(start, start + n):
+                minimizer.setdefault(b" ".join(words[j : j + 50]), set()).add(m)
+        assert all(len(m) == 1 for m in minimizer.values())
+        assert covered == {i: max(0, len(t.split()) - 49) for i, t in enumerate(texts)}
+        of_key.append(len({k for m in minimizer.values() for k in m}))
+    # Longer keys part more windows; the longest parts all.
+    assert of_key == sorted(of_key) and of_key[3] == len(minimizer) > of_key[0]
 
 
 def test_least_owner_of_every_window():
@@ -100,7 +106,7 @@ def test_least_owner_of_every_window():
         assert got == want
 
 
-@pytest.mark.parametrize("options", [{}, {"crowd": 1}, {"block_words": 2000}])
+@pytest.mark.parametrize("options", [{}, {"block_words": 1}, {"block_words": 2000}])
 def test_small_corpus_against_all_windows(spark, options):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     want = plain([tuple(r) for r in docs.collect()], 50)
@@ -116,10 +122,29 @@ def test_copies_near_copies_and_repetition(spark):
     rows += [(None, " ".join(base)), (None, line), (202, None), (203, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain(rows, 50)
-    for options in ({}, {"crowd": 3}):
+    for options in ({}, {"block_words": 60}, {"block_words": 400}):
         assert sorted(map(tuple, remove_repeats(docs, **options).collect()), key=repr) == want
 
 
+def test_shards_of_one_common_phrase_stay_within_their_words(spark, monkeypatch):
+    """Eight common words in the midst of unlike texts are the minimizer of all windows around them."""
+    from liftpanel.llm import fmindex_substrings as module
+
+    rng = random.Random(7)
+    phrase = " ".join(f"common{i}" for i in range(8))
+    low = min(("seed%d " % i + phrase for i in range(300)), key=lambda p: min(m for *_, m, _ in runs_of([(p + " x" * 60).encode()])))
+    twice = [f"{prose(rng, 45)} {low} {prose(rng, 45)}" for _ in range(8)]
+    rows = [(i, f"{prose(rng, 45)} {low} {prose(rng, 45)}") for i in range(80)] + [(100 + i, twice[i % 8]) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows, 50)
+    assert sum(r[2] for r in want) > 0
+    levels = []
+    narrowed = module._narrowed
+    monkeypatch.setattr(module, "_narrowed", lambda regions, window, level: levels.append(level) or narrowed(regions, window, level))
+    assert sorted(map(tuple, remove_repeats(docs, block_words=1500).collect()), key=repr) == want
+    assert levels and levels[0] == 1
+
+
 def test_odd_tables(spark):
     want = plain([(r[0], r[1]) for r in odd(spark).collect()], 50)
     assert sorted(map(tuple, remove_repeats(odd(spark)).collect()), key=repr) == want
