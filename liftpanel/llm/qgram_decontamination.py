@@ -1,15 +1,16 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Text and items are folded: letters of ASCII and Latin-1 in lower case, ASCII punctuation and white space out.
-An item is cut into overlapping segments. Every ``STEP``-th q-gram of a text is looked up among all q-grams of
-the segments. If a part of a text equals a segment of n bytes up to k edits, at least
+An item is cut into overlapping segments, long ones that bear some edits and, more densely, short ones: a passage
+of at least ``SURE`` folded bytes from anywhere in an item holds a whole short segment. Every ``STEP``-th q-gram of a
+text is looked up among all q-grams of the items. If a part of a text equals a segment of n bytes up to k edits, at least
 ``(n - k - Q + 1) // STEP`` of the text's q-grams lie inside that part, an edit spoils ``Q / STEP`` of them at
 most, and the others lie on k + 1 neighbouring diagonals. So shared q-grams are counted in overlapping bands of
 diagonals, bands below the bound are dropped, and a banded alignment verifies the rest. No leak within the edit
-budget is lost before the alignment.
+budget is lost before the alignment. Items under ``LEAST`` folded bytes are searched as they are, between bounds of words.
 
-The benchmark is the query side: it goes to the tasks in blocks of at most about ``block_bytes``, each block
-against every whole text.
+The benchmark is the query side: it goes to the tasks in blocks of about ``block_bytes`` of items, each block
+against every whole text. An index has 12 bytes for each byte of its items, and 1 MB.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftpanel.llm.common import in_groups
+from liftpanel.llm.common import in_groups, written
 
 Q, STEP, BAND, LEAST = 12, 4, 16, 24
 SEGMENT, STRIDE, EDIT_SHARE, LEAST_BOUND = 80, 40, 1 / 16, 3
+SHORT_SEGMENT, SHORT_STRIDE = 48, 16
+#: An exact passage of this many folded bytes is found wherever it begins in its item.
+SURE = SHORT_SEGMENT + SHORT_STRIDE - 1
 SLOTS = 20
 LEAK = "item_id: long, leak_start: int, leak_end: int, segments: int, edits: int"
 
@@ -35,6 +38,7 @@ DROPPED = string.punctuation.encode() + bytes([9, 10, 11, 12, 13, 32])
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Upper-case letters of Latin-1 in UTF-8; the lower-case one has its second byte 32 higher.
 LATIN_UPPER = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
+IS_DROPPED = np.isin(np.arange(256), np.frombuffer(DROPPED, np.uint8))
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -44,7 +48,7 @@ def fold(text: bytes) -> bytes:
 
 def folded_places(text: bytes) -> np.ndarray:
     """For each byte of ``fold(text)`` its place in ``text``."""
-    return np.flatnonzero(~np.isin(np.frombuffer(text, np.uint8), np.frombuffer(DROPPED, np.uint8)))
+    return np.flatnonzero(~IS_DROPPED[np.frombuffer(text, np.uint8)])
 
 
 def stepped(folded: bytes) -> np.ndarray:
@@ -71,31 +75,108 @@ def budget(length: int) -> int:
     return max([0, *(k for k in range(int(length * EDIT_SHARE) + 1) if bound(length, k) >= LEAST_BOUND)])
 
 
-@dataclass
+def powers(n: int, base: int) -> np.ndarray:
+    """base^0, base^1, ... modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class ShortItems:
+    """Items under ``LEAST`` folded bytes. Parts of a text between bounds of words are told by a sum of bytes times
+    powers modulo 2^64, then by their bytes."""
+
+    FACTOR = 0x9E3779B97F4A7C15
+
+    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+        self.owners: dict[bytes, list[int]] = {}
+        for item, text in items:
+            self.owners.setdefault(text, []).append(item)
+        self.hashes = {n: np.sort([self.hashed(t) for t in self.owners if len(t) == n]) for n in sorted({len(t) for t in self.owners})}
+
+    def hashed(self, text: bytes) -> np.uint64:
+        return (np.frombuffer(text, np.uint8).astype(np.uint64) * powers(len(text), self.FACTOR)).sum(dtype=np.uint64)
+
+    def found(self, folded: bytes, places: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, 0) in the folded text; ``places`` are those of its bytes in the text."""
+        if not self.owners or not folded:
+            return []
+        size = len(folded)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(np.frombuffer(folded, np.uint8).astype(np.uint64) * powers(size, self.FACTOR), out=sums[1:])
+        back = powers(size, pow(self.FACTOR, -1, 1 << 64))
+        bound = np.ones(size + 1, bool)
+        bound[1:-1] = np.diff(places) > 1
+        starts, out = np.flatnonzero(bound[:-1]), []
+        for n, hashes in self.hashes.items():
+            at = starts[starts <= size - n]
+            at = at[bound[at + n]]
+            at = at[np.isin((sums[at + n] - sums[at]) * back[at], hashes)]
+            out += [(item, a, a + n, 0) for a in at.tolist() for item in self.owners.get(folded[a : a + n], ())]
+        return out
+
+
 class Index:
-    """Segments of some benchmark items and the places of their q-grams, sorted by hash."""
-
-    items: list[tuple[int, bytes]]
-    segments: list[bytes] = field(default_factory=list)
-    owner: list[int] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        for item, text in self.items:
-            last = max(0, len(text) - SEGMENT)
-            for start in sorted({*range(0, last, STRIDE), last}) if len(text) >= LEAST else []:
-                self.segments.append(text[start : start + SEGMENT])
-                self.owner.append(item)
-        grams = [all_grams(s) for s in self.segments] or [np.zeros(0, np.uint64)]
-        hashes = np.concatenate(grams)
+    """Q-grams of some benchmark items, sorted by hash, and the segments of the items.
+
+    A q-gram is kept once, with its place; the segments that it lies in follow from the place."""
+
+    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+        long = [(item, text) for item, text in items if len(text) >= LEAST]
+        self.short = ShortItems([(item, text) for item, text in items if 0 < len(text) < LEAST])
+        self.text = b"".join(text for _, text in long)
+        self.sizes = np.array([len(text) for _, text in long], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        hashes = np.concatenate([all_grams(text) for _, text in long] or [np.zeros(0, np.uint64)])
+        places = np.concatenate([np.arange(start, start + len(text) - Q + 1, dtype=np.int32) for start, (_, text) in zip(self.starts.tolist(), long, strict=True)] or [np.zeros(0, np.int32)])
         order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.segment = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
-        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order]
-        self.edits = np.array([budget(len(s)) for s in self.segments], np.int64)
-        self.bound = np.array([bound(len(s), int(k)) for s, k in zip(self.segments, self.edits, strict=True)], np.int64)
+        self.hashes, self.place = hashes[order], places[order]
+        # Of each kind: length, stride, segments of each item and the number of its first one.
+        self.kinds: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        owner, begin, length, before = [], [], [], 0
+        for size, stride, least in ((SEGMENT, STRIDE, LEAST), (SHORT_SEGMENT, SHORT_STRIDE, SHORT_SEGMENT + 1)):
+            last = np.maximum(0, self.sizes - size)
+            n = np.where(self.sizes >= least, -(-last // stride) + 1, 0)
+            item = np.repeat(np.arange(len(n)), n)
+            within = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+            self.kinds.append((size, stride, n, before + np.cumsum(n) - n))
+            owner.append(item)
+            begin.append(np.minimum(within * stride, last[item]))
+            length.append(np.minimum(size, self.sizes[item]))
+            before += len(item)
+        ids = np.array([item for item, _ in long], np.int64)
+        self.item, self.begin, self.length = np.concatenate(owner), np.concatenate(begin), np.concatenate(length)
+        self.owner = ids[self.item].tolist()
+        budgets = np.array([budget(n) for n in range(SEGMENT + 1)], np.int64)
+        self.edits = budgets[self.length]
+        self.bound = np.array([bound(n, int(k)) for n, k in enumerate(budgets)], np.int64)[self.length]
         self.table = np.zeros(1 << SLOTS, bool)
         self.table[self.hashes >> np.uint64(64 - SLOTS)] = True
 
+    def segment(self, number: int) -> bytes:
+        start = int(self.starts[self.item[number]] + self.begin[number])
+        return self.text[start : start + int(self.length[number])]
+
+    @property
+    def segments(self) -> list[bytes]:
+        return [self.segment(i) for i in range(len(self.item))]
+
+    def segments_at(self, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, segment): the segments that hold the q-gram at a place of an item."""
+        rows, numbers = [], []
+        for size, stride, n, first in self.kinds:
+            many, before = n[item], first[item]
+            low = np.maximum(0, -((size - Q - place) // stride))
+            count = np.maximum(0, np.minimum(place // stride, many - 2) - low + 1)
+            row = np.repeat(np.arange(len(item)), count)
+            rows.append(row)
+            numbers.append((before + low)[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+            # The last segment of an item ends with it, whatever the stride.
+            row = np.flatnonzero((many > 0) & (place >= self.sizes[item] - size))
+            rows.append(row)
+            numbers.append((before + many - 1)[row])
+        return np.concatenate(rows), np.concatenate(numbers)
+
     def bands(self, folded: bytes) -> list[tuple[int, int]]:
         """(segment, first diagonal) of each band that meets its bound."""
         hashes = stepped(folded)
@@ -107,12 +188,14 @@ class Index:
         total = int(n.sum())
         if total < self.bound.min():
             return []
-        post = np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)
+        place = self.place[np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)].astype(np.int64)
+        item = np.searchsorted(self.starts, place, "right") - 1
+        row, segment = self.segments_at(item, place - self.starts[item])
         # A diagonal is at least -SEGMENT; shifted, bands are whole numbers.
-        diagonal = np.repeat(at * STEP, n) - self.place[post] + SEGMENT
+        diagonal = (np.repeat(at * STEP, n) - place + self.starts[item])[row] + self.begin[segment] + SEGMENT
         band = diagonal // BAND
-        both = diagonal % BAND < self.edits[self.segment[post]]
-        keys = np.concatenate([self.segment[post], self.segment[post[both]]]) * (1 << 40) + np.concatenate([band, band[both] - 1]) + 1
+        both = diagonal % BAND < self.edits[segment]
+        keys = np.concatenate([segment, segment[both]]) * (1 << 40) + np.concatenate([band, band[both] - 1]) + 1
         keys, counts = np.unique(keys, return_counts=True)
         segment = keys >> 40
         good = counts >= self.bound[segment]
@@ -134,6 +217,10 @@ class Index:
             start, end = start - int(starts[row]), min(end - int(starts[row]), len(folded[row]))
             if start < end:
                 of_text.setdefault(row, []).append((item, start, end, edits))
+        for row, text in enumerate(folded) if self.short.owners else ():
+            found = self.short.found(text, folded_places(texts[row]))
+            if found:
+                of_text.setdefault(row, []).extend(found)
         for row, found in of_text.items():
             places = folded_places(texts[row])
             points = np.cumsum((np.frombuffer(texts[row], np.uint8) & 0xC0) != 0x80)
@@ -152,7 +239,7 @@ class Index:
         best: set[tuple[int, int, int, int, int]] = set()
         rest = []
         for segment, first in bands:
-            pattern = self.segments[segment]
+            pattern = self.segment(segment)
             at = folded.find(pattern, max(0, first), max(0, first) + BAND + int(self.edits[segment]) + len(pattern))
             if at >= 0:
                 best.add((segment, self.owner[segment], at, at + len(pattern), 0))
@@ -167,13 +254,13 @@ class Index:
         """Least edits, start and end of each segment within its band of diagonals, all candidates row by row at once."""
         if not rest:
             return []
-        size = np.array([len(self.segments[s]) for s, _ in rest])
+        size = self.length[[s for s, _ in rest]]
         first = np.array([f for _, f in rest])
         width = BAND + int(self.edits.max()) + 1
         rows = int(size.max())
         pattern = np.zeros((len(rest), rows), np.int16)
         for i, (s, _) in enumerate(rest):
-            pattern[i, : size[i]] = np.frombuffer(self.segments[s], np.uint8)
+            pattern[i, : size[i]] = np.frombuffer(self.segment(s), np.uint8)
         at = first[:, None] + np.arange(rows + width)
         inside = (at >= 0) & (at < len(folded))
         text = np.where(inside, np.frombuffer(folded, np.uint8)[np.clip(at, 0, max(0, len(folded) - 1))].astype(np.int16), -1)
@@ -193,8 +280,8 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 8 << 20) -> Iterator[Index]:
-    """The benchmark in blocks of about ``block_bytes``; rows without text and items under ``LEAST`` folded bytes,
-    too short to tell a leak from common words, are no queries. A repeated row counts once."""
+    """The benchmark in blocks of about ``block_bytes``; rows without text and items of nothing but
+    punctuation and white space are no queries. A repeated row counts once."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -221,14 +308,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """``doc_id, item_id, leak_start, leak_end, segments, edits``: regions of a text that hold a benchmark passage.
 
     ``segments`` counts the item's segments found there, ``edits`` is the most edits that one of them needed.
+    An exact passage of ``SURE`` folded bytes or more is found wherever it begins in its item, an edited one where a
+    segment is within its budget; of an item under ``LEAST`` folded bytes every occurrence between bounds of words.
+    The result for a block of the benchmark is written before the next block is indexed.
     An item without an id is reported as -1. Repeated rows of a text are reported each; an empty table on either
     side gives an empty result; further columns are not read.
     """
-    parts = [
-        docs.select(F.col(id_col).alias("doc_id"), F.explode(leaks(F.col(text_col), index)).alias("leak")).select("doc_id", "leak.*")
-        for index in indexes(benchmark)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = None
+    for index in indexes(benchmark):
+        if out is not None:
+            out = written(out, "leaks")
+        part = docs.select(F.col(id_col).alias("doc_id"), F.explode(leaks(F.col(text_col), index)).alias("leak")).select("doc_id", "leak.*")
+        out = part if out is None else out.unionByName(part)
     return out

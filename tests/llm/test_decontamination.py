@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from liftpanel.llm.qgram_decontamination import LEAST, SEGMENT, Index, bound, budget, find_leaks, fold, folded_places, indexes
+from liftpanel.llm.qgram_decontamination import LEAST, SEGMENT, SURE, Index, ShortItems, bound, budget, find_leaks, fold, folded_places, indexes
 from tests.conftest import SMALL
 from tests.llm.cases import bears_odd_tables, odd, prose
 
@@ -66,6 +66,44 @@ def test_no_segment_within_the_budget_is_lost():
     assert found
 
 
+def test_passages_from_any_place_of_an_item():
+    rng = random.Random(11)
+    items = [(i, fold(prose(rng, 70).encode())[: 300 + i]) for i in range(3)]
+    index = Index(items)
+    for item, text in items:
+        for size in (SURE, SURE + 7, 100):
+            for at in range(len(text) - size + 1):
+                noise = [fold(prose(rng, rng.randint(0, 12)).encode()) for _ in range(2)]
+                around = noise[0] + text[at : at + size] + noise[1]
+                assert item in {h[0] for h in index.verified(around, index.bands(around))}, (item, size, at)
+
+
+def test_segments_at_a_place():
+    rng = random.Random(12)
+    index = Index([(i, fold(prose(rng, 80).encode())[:n]) for i, n in enumerate([24, 47, 48, 49, 79, 80, 81, 119, 120, 121, 300])])
+    item = np.repeat(np.arange(11), index.sizes - 11)
+    place = np.concatenate([np.arange(n - 11) for n in index.sizes])
+    got = set(zip(*(x.tolist() for x in index.segments_at(item, place)), strict=True))
+    want = {
+        (row, s)
+        for row, (i, p) in enumerate(zip(item.tolist(), place.tolist(), strict=True))
+        for s in range(len(index.item))
+        if index.item[s] == i and index.begin[s] <= p and p + 12 <= index.begin[s] + index.length[s]
+    }
+    assert got == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aAbÉ ,", max_size=60), st.lists(st.text("aAbÉ,", min_size=1, max_size=6), max_size=5))
+def test_short_items_between_bounds_of_words(text, items):
+    raw = text.encode()
+    folded, places = fold(raw), folded_places(raw).tolist()
+    short = sorted({(i, fold(t.encode())) for i, t in enumerate(items) if fold(t.encode())})
+    bounds = {0, len(folded)} | {i for i in range(1, len(folded)) if places[i] > places[i - 1] + 1}
+    want = sorted((i, a, a + len(t), 0) for i, t in short for a in bounds if a + len(t) in bounds and folded[a : a + len(t)] == t)
+    assert sorted(ShortItems(short).found(folded, folded_places(raw))) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.integers(0, 8))
 def test_alignment_against_plain_distance(seed, edits):
@@ -112,9 +150,10 @@ def test_blocks_find_the_same(spark):
 def test_disguised_passage_and_short_items(spark):
     passage = "What is the boiling point of the element with atomic number seventy-nine, in degrees Celsius at one bar?"
     docs = spark.createDataFrame([(1, "x " + passage.upper().replace(" ", "\n ") + " y"), (2, passage.replace("boiling", "boilling")), (3, "nothing")], "doc_id long, text string")
-    items = spark.createDataFrame([(5, passage), (5, passage), (6, None), (7, "short"), (None, passage + " no")], "item_id long, text string")
+    items = spark.createDataFrame([(5, passage), (5, passage), (6, None), (7, "short"), (8, "X, what"), (9, "noth"), (10, "?!"), (None, passage + " no")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in find_leaks(docs, items).collect()}
     assert {k for k in got if k[1] == 5} == {(1, 5), (2, 5)} and not [k for k in got if k[1] == 7 or k[0] == 3]
+    assert {k for k in got if k[1] in (8, 9, 10)} == {(1, 8)} and got[1, 8]["leak_start"] == 0 and got[1, 8]["leak_end"] == 6
     assert got[1, 5]["leak_start"] == 2 and got[2, 5]["edits"] == 1
 
 
