@@ -336,6 +336,11 @@ def _narrowed(regions: DataFrame, window: int, level: int) -> DataFrame:
     return regions.select("m", "r", "owner", "last", "words").mapInArrow(run, schema)
 
 
+def _lists(intervals: DataFrame) -> DataFrame:
+    """``m, r, spans``: one row for each region; it has at most ``LONGEST_RUN`` windows, and each is in one interval."""
+    return intervals.groupBy("m", "r").agg(F.collect_list(F.struct("first", "windows", "least")).alias("spans"))
+
+
 def _intervals(regions: DataFrame, window: int, block_words: int, level: int = 0) -> DataFrame:
     """``INTERVALS`` of ``regions (m, r, owner, last, crowded, words)``; those of crowded keys through longer keys."""
     found = _indexed(regions.where("not crowded"), window, block_words)
@@ -349,9 +354,9 @@ def _intervals(regions: DataFrame, window: int, block_words: int, level: int = 0
         shared = shared.withColumn("crowded", F.lit(False))
     least = [F.min("owner").alias("owner"), F.max("last").alias("last"), F.first("crowded").alias("crowded"), F.first("words").alias("words")]
     narrower = written(parts.join(shared, "m").groupBy("m", "r").agg(*least), "narrower")
-    inner = parts.select("m", "r", "up_m", "up_r", "last", "start").join(_intervals(narrower, window, block_words, level), ["m", "r"]).where("least < last")
-    first = (F.col("start") + F.col("first")).alias("first")
-    return found.unionByName(inner.select(F.col("up_m").alias("m"), F.col("up_r").alias("r"), first, "windows", "least"))
+    inner = parts.select("m", "r", "up_m", "up_r", "last", "start").join(_lists(_intervals(narrower, window, block_words, level)), ["m", "r"])
+    inner = inner.select(F.col("up_m").alias("m"), F.col("up_r").alias("r"), "last", "start", F.explode("spans").alias("span")).where("span.least < last")
+    return found.unionByName(inner.select("m", "r", (F.col("start") + F.col("span.first")).alias("first"), "span.windows", "span.least"))
 
 
 def _kept(rows: DataFrame, removed: Column) -> DataFrame:
@@ -377,7 +382,8 @@ def _kept(rows: DataFrame, removed: Column) -> DataFrame:
 
 
 def repeated_intervals(rows: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, t, a, b``: words a to b (exclusive) of a text are covered by windows that a smaller id has too.
+    """``doc_id, t, removed``: words a to b (exclusive) of a text, for each (a, b) in a list, are covered by windows
+    that a smaller id has too. A region gives one list, whatever number of intervals it has.
     ``rows`` has ``doc_id`` (integer), ``t`` (a hash that tells texts of one id apart) and ``text``."""
     every = written(runs(rows, window), "runs")
     place = F.struct("doc_id", "t", "start", "n")
@@ -386,9 +392,10 @@ def repeated_intervals(rows: DataFrame, window: int = WINDOW, block_words: int =
     wanted = regions.join(shared, "m").select("m", "r", "last", "crowded", F.col("place.doc_id").alias("owner"), "place.*")
     texts = written(_region_texts(rows, written(wanted, "regions"), window), "region-texts")
     intervals = _intervals(texts, window, block_words)
-    first = F.col("start") + F.col("first")
-    found = every.join(intervals, ["m", "r"]).where("least < doc_id")
-    return found.select("doc_id", "t", first.alias("a"), (first + F.col("windows") + (window - 1)).alias("b"))
+    found = every.join(_lists(intervals), ["m", "r"]).withColumn("spans", F.filter("spans", lambda x: x["least"] < F.col("doc_id"))).where(F.size("spans") > 0)
+    place = F.col("start")
+    ends = lambda x: F.struct((place + x["first"]).alias("a"), (place + x["first"] + x["windows"] + (window - 1)).alias("b"))
+    return found.select("doc_id", "t", F.transform("spans", ends).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -401,7 +408,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     rows = rows.select("doc_id", "t", "text")
     spans = written(repeated_intervals(rows, window, block_words), "repeats")
-    lists = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("removed"))
+    lists = spans.groupBy("doc_id", "t").agg(F.flatten(F.collect_set("removed")).alias("removed"))
     both = marked(rows, spans.select("doc_id").distinct(), "marked")
     touched = both.where("marked").join(lists, ["doc_id", "t"], "left")
     return _kept(touched, F.col("removed")).unionByName(_kept(both.where("not marked"), F.lit(None)))
