@@ -252,6 +252,34 @@ def user_sql_extract(spark, sf_dir):
     return facts.extract_sql(spark, text, args, fact=W.fact_marketing(spark, sf_dir))
 
 
+def _count_lines(spark, sf_dir):
+    """Every order as a line ``region,datetime,cases``. Orders of some priorities lack a cell, have one too many or
+    no number, those of status P have no day."""
+    day = F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    count = (F.col("o_orderkey") % 1000).cast("string")
+    priority = F.col("o_orderpriority")
+    rest = (
+        F.when(priority == "2-HIGH", "")
+        .when(priority == "4-NOT SPECIFIED", F.concat(F.lit(","), count, F.lit(",more")))
+        .when(priority == "5-LOW", ",n/a")
+        .when(F.col("o_orderkey") % 10 == 0, ",")
+        .otherwise(F.concat(F.lit(","), count))
+    )
+    orders = W.table(spark, sf_dir, "orders")
+    lines = orders.select(F.concat(F.col("o_custkey").cast("string"), F.lit(","), day, rest).alias("line"))
+    return facts.split_cumulative_lines(lines, ["region", "datetime", "cases"], "datetime")
+
+
+@query
+def csv_accepted(spark, sf_dir):
+    return _count_lines(spark, sf_dir)[0]
+
+
+@query
+def csv_rejected(spark, sf_dir):
+    return _count_lines(spark, sf_dir)[1]
+
+
 # --- calendar ---------------------------------------------------------------------------------
 
 

@@ -1227,6 +1227,20 @@ ORACLES: dict[str, str] = {
         "SELECT analysis_id, 'spec' AS run_kind, 0 AS candidate_ord, candidate FROM winner WHERE run_kind = 'main'",
         "winner",
     ),
+    "csv_accepted": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS reference_date, CAST(o_orderkey % 1000 AS DOUBLE) AS cases
+        FROM orders
+        WHERE o_orderstatus <> 'P' AND o_orderpriority NOT IN ('2-HIGH', '4-NOT SPECIFIED', '5-LOW') AND o_orderkey % 10 <> 0""",
+    "csv_rejected": """SELECT o_custkey || ',' || CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END
+               || CASE WHEN o_orderpriority = '2-HIGH' THEN ''
+                       WHEN o_orderpriority = '4-NOT SPECIFIED' THEN ',' || (o_orderkey % 1000) || ',more'
+                       WHEN o_orderpriority = '5-LOW' THEN ',n/a'
+                       WHEN o_orderkey % 10 = 0 THEN ','
+                       ELSE ',' || (o_orderkey % 1000) END AS line,
+               CASE WHEN o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED') THEN 'malformed'
+                    WHEN o_orderstatus = 'P' THEN 'no day'
+                    ELSE 'no number' END AS reason
+        FROM orders
+        WHERE o_orderstatus = 'P' OR o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED', '5-LOW') OR o_orderkey % 10 = 0""",
     "run_listing": "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS analysis_id FROM lineitem",
     "run_exists": _with(
         """SELECT analysis_id, analysis_id IN (SELECT r_name FROM region) AS taken

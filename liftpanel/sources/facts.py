@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from liftpanel.functions import dates as D
 
+#: Takes the line of a row that the CSV parser could not cut into cells.
+CORRUPT = "_malformed_line"
+
 
 def read_fact(spark: SparkSession, path: str, date_col: str, start, end) -> DataFrame:
     """Rows of a Parquet fact table whose day lies in [start, end]; the bounds reach the scan.
@@ -70,18 +74,59 @@ def load_months(source: DataFrame, path: str, date_col: str, start, campaign_sta
         months.drop("month").limit(0).write.mode("overwrite").parquet(f"{path}/month={row['month']}")
 
 
-def read_cumulative_csv(spark: SparkSession, path: str, date_col: str) -> DataFrame:
-    """Cumulative counts from CSV: column ``date`` (one row a day) or ``datetime`` (one per region and day).
-
-    Columns are matched by header name, so files may carry others in any order.
-    """
+def _csv_schema(columns: list[str], date_col: str) -> T.StructType:
+    """All cells as text, and ``CORRUPT`` for a line with another number of cells."""
     if date_col not in ("date", "datetime"):
         raise ValueError(f"unknown date column {date_col!r}: expected 'date' or 'datetime'")
-    raw = spark.read.option("header", True).csv(path)
-    return raw.select(
-        F.to_date(F.substring(F.col(date_col), 1, 10)).alias("reference_date"),
-        F.col("cases").cast("double").alias("cases"),
+    if missing := {date_col, "cases"} - set(columns):
+        raise ValueError(f"the header has no column {sorted(missing)}")
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
+
+
+def _accepted_and_rejected(rows: DataFrame, line: Column, corrupt: Column, day: Column, cases: Column) -> tuple[DataFrame, DataFrame]:
+    parsed = rows.select(
+        line.alias("line"),
+        corrupt.isNotNull().alias("malformed"),
+        F.substring(day, 1, 10).try_cast("date").alias("reference_date"),
+        cases.try_cast("double").alias("cases"),
     )
+    reason = (
+        F.when(F.col("malformed"), "malformed")
+        .when(F.col("reference_date").isNull(), "no day")
+        .when(F.col("cases").isNull(), "no number")
+    )
+    judged = parsed.withColumn("reason", reason)
+    return judged.where("reason is null").select("reference_date", "cases"), judged.where("reason is not null").select("line", "reason")
+
+
+def split_cumulative_csv(spark: SparkSession, path: str, date_col: str) -> tuple[DataFrame, DataFrame]:
+    """Cumulative counts from CSV files: ``reference_date, cases`` of the rows accepted and ``line, reason`` of the others.
+
+    The day stands in ``date`` (one row a day) or ``datetime`` (one per region and day). Columns go by the
+    header's names, other ones may stand beside them in any order. Each file's header must be that of the first,
+    a file with another one fails the job. A row is rejected as ``malformed`` (other number of cells), ``no day``
+    or ``no number``; its line is given as it was if malformed, otherwise put together from its cells.
+    """
+    columns = spark.read.option("header", True).csv(path).columns
+    # Without pruning a line is judged by all its cells, whatever columns are wanted.
+    options = {"header": True, "enforceSchema": False, "columnNameOfCorruptRecord": CORRUPT, "columnPruning": False}
+    rows = spark.read.schema(_csv_schema(columns, date_col)).options(**options).csv(path)
+    line = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in columns])))
+    return _accepted_and_rejected(rows, line, F.col(CORRUPT), F.col(date_col), F.col("cases"))
+
+
+def split_cumulative_lines(lines: DataFrame, columns: list[str], date_col: str, line_col: str = "line") -> tuple[DataFrame, DataFrame]:
+    """The same for lines without a header, such as messages or a column of a table."""
+    options = {"columnNameOfCorruptRecord": CORRUPT}
+    schema = ", ".join(f"`{f.name}` string" for f in _csv_schema(columns, date_col))
+    cells = F.from_csv(F.col(line_col), schema, options)
+    rows = lines.select(F.col(line_col).alias("line"), cells.alias("cells"))
+    return _accepted_and_rejected(rows, F.col("line"), F.col(f"cells.{CORRUPT}"), F.col(f"cells.{date_col}"), F.col("cells.cases"))
+
+
+def read_cumulative_csv(spark: SparkSession, path: str, date_col: str) -> DataFrame:
+    """Cumulative counts from CSV without the rows that ``split_cumulative_csv`` rejects."""
+    return split_cumulative_csv(spark, path, date_col)[0]
 
 
 def read_interest(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

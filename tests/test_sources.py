@@ -48,6 +48,32 @@ def test_cumulative_csv_in_both_layouts(spark, tmp_path):
         facts.read_cumulative_csv(spark, str(tmp_path / "us.csv"), "when")
 
 
+def test_cumulative_csv_gives_rejected_rows_with_a_reason(spark, tmp_path):
+    head = "cases,date,note\n"
+    (tmp_path / "a.csv").write_text(head + "5,2020-03-01,x\n6,2020-03-02\n7,2020-03-03,x,y\n")
+    (tmp_path / "b.csv").write_text(head + "n/a,2020-03-04,x\n8,soon,x\n,2020-03-05,x\n9,2020-03-06,\n")
+    accepted, rejected = facts.split_cumulative_csv(spark, str(tmp_path), "date")
+    assert sorted(map(tuple, accepted.collect())) == [(date(2020, 3, 1), 5.0), (date(2020, 3, 6), 9.0)]
+    want = {("6,2020-03-02", "malformed"), ("7,2020-03-03,x,y", "malformed"), ("n/a,2020-03-04,x", "no number"), ("8,soon,x", "no day")}
+    got = {tuple(r) for r in rejected.collect()}
+    assert want < got and [r for _, r in got - want] == ["no number"]
+    assert accepted.count() == 2 and rejected.count() == 5
+    (tmp_path / "c.csv").write_text("date,cases,note\n2020-03-07,1,x\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        facts.split_cumulative_csv(spark, str(tmp_path), "date")[0].collect()
+    (tmp_path / "alone").mkdir()
+    (tmp_path / "alone" / "d.csv").write_text("date,deaths\n2020-03-07,1\n")
+    with pytest.raises(ValueError, match="cases"):
+        facts.split_cumulative_csv(spark, str(tmp_path / "alone"), "date")
+
+
+def test_cumulative_lines(spark):
+    lines = spark.createDataFrame([("A,2020-03-01T18:00:00,5",), ("A,2020-03-01",), ("",), (None,)], "line string")
+    accepted, rejected = facts.split_cumulative_lines(lines, ["region", "datetime", "cases"], "datetime")
+    assert [tuple(r) for r in accepted.collect()] == [(date(2020, 3, 1), 5.0)]
+    assert {r.line for r in rejected.collect()} == {"A,2020-03-01", "", None}
+
+
 def test_interest_reader_drops_the_partial_marker(spark, tmp_path):
     (tmp_path / "i.csv").write_text("geo,keyword,reference_date,value,isPartial\n,k,2020-01-05,7,False\nDE,k,2020-01-05,3,True\n")
     got = facts.read_interest(spark, str(tmp_path / "i.csv"), "csv")
