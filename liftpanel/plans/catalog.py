@@ -6,6 +6,7 @@ Results carry days as ISO text and rounded doubles so that they compare across e
 from __future__ import annotations
 
 import calendar
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -793,9 +794,33 @@ def stage_replaced(spark, sf_dir):
     return stages.replaced(old, new, gone)
 
 
+@query
+def stored_replaced(spark, sf_dir):
+    """The same through the store: written, changed, and read by the manifest of the change."""
+    stage = f"{_store(spark)}/features"
+    old = _features(spark, sf_dir).drop("campaign_start")
+    stages.write_stage(old, stage, buckets=8)
+    new = stages.read_stage(spark, stage, old.schema).where("analysis_id = 'ASIA'").withColumn("value", F.col("value") / 2)
+    gone = W.table(spark, sf_dir, "region").select(F.col("r_name").alias("analysis_id")).where("analysis_id in ('ASIA', 'EUROPE')")
+    stages.write_stage(new, stage, gone=gone)
+    return stages.read_stage(spark, stage, old.schema)
+
+
+def _store(spark) -> str:
+    return f"{stages.shared_folder(spark)}/liftpanel-store-{uuid.uuid4().hex}"
+
+
+def _register(spark, runs: DataFrame) -> DataFrame:
+    """The register of a store that these runs were saved in; columns that only a finished run has are null."""
+    missing = [f for f in T.StructType.fromDDL(stages.RESULT_SCHEMAS["runs"]) if f.name not in runs.columns]
+    store = _store(spark)
+    stages.save_results({"runs": runs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})}, store)
+    return stages.load_results(spark, store, None, None, ("runs",))["runs"]
+
+
 @query
 def run_listing(spark, sf_dir):
-    return stages.list_runs(runs_ops.expand_runs(W.supplier_windows(spark, sf_dir)))
+    return stages.list_runs(_register(spark, runs_ops.expand_runs(W.supplier_windows(spark, sf_dir))))
 
 
 @query
@@ -803,7 +828,7 @@ def run_exists(spark, sf_dir):
     """Are the customers' market segments and regions taken as names by the region panel?"""
     segments = W.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("analysis_id"))
     wanted = segments.unionByName(W.table(spark, sf_dir, "region").select(F.col("r_name").alias("analysis_id")))
-    return stages.check_names(wanted, runs_ops.expand_runs(W.region_analyses(spark, sf_dir)))
+    return stages.check_names(wanted, _register(spark, runs_ops.expand_runs(W.region_analyses(spark, sf_dir))))
 
 
 @query
@@ -812,3 +837,31 @@ def panel_runs(spark, sf_dir):
     analyses, series = _series(spark, sf_dir, "target", "control", add_holidays=True)
     tables = panel.run_panel(series, analyses, W.holiday_dates(spark, sf_dir))
     return tables["runs"].drop("elapsed_s").withColumns({c: F.round(c, 4) for c in ("mape", "p_value")})
+
+
+@query
+def run_deleted(spark, sf_dir):
+    """The register of the saved region panel after a main run was deleted: its placebo and all others stay."""
+    analyses, series = _series(spark, sf_dir, "target", "control", add_holidays=True)
+    store = _store(spark)
+    stages.save_results({"runs": panel.run_panel(series, analyses, W.holiday_dates(spark, sf_dir))["runs"].withColumn("elapsed_s", F.lit(None))}, store)
+    stages.delete_run(spark, store, "ASIA")
+    left = stages.load_results(spark, store, None, None, ("runs",))["runs"]
+    return left.drop("elapsed_s").withColumns({c: F.round(c, 4) for c in ("mape", "p_value")})
+
+
+def _stored_exploration(spark, sf_dir) -> dict[str, DataFrame]:
+    """Explorations of the region panel's features, saved and loaded."""
+    store = _store(spark)
+    stages.save_results({"features": model.standardize(_features(spark, sf_dir))}, store)
+    return panel.explore_run(spark, store, None, None)
+
+
+@query(digits=6)
+def stored_acf(spark, sf_dir):
+    return _stored_exploration(spark, sf_dir)["acf"]
+
+
+@query(digits=6)
+def stored_corr(spark, sf_dir):
+    return _stored_exploration(spark, sf_dir)["target_corr"]

@@ -1290,3 +1290,7 @@ def _for_nations(sql: str) -> str:
 
 
 ORACLES["nation_effect_summary"] = _for_nations(ORACLES["effect_summary"])
+ORACLES["stored_replaced"] = ORACLES["stage_replaced"]
+ORACLES["stored_acf"] = ORACLES["target_acf"]
+ORACLES["stored_corr"] = ORACLES["target_corr"]
+ORACLES["run_deleted"] = f"SELECT * FROM ({ORACLES['panel_runs']}) AS saved WHERE NOT (analysis_id = 'ASIA' AND run_kind = 'main')"

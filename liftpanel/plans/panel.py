@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from liftpanel.operators import clean, effects, features, model, selection, stationarity
+from liftpanel.operators import clean, effects, explore, features, model, selection, stationarity
 from liftpanel.operators.explore import pre_target
 from liftpanel.operators.runs import expand_runs
-from liftpanel.schema import RUN_KEYS
+from liftpanel.schema import INPUT_TYPES, MAIN, RUN_KEYS
 from liftpanel.sources import stages
 
 
@@ -61,10 +61,35 @@ def run_panel(
 
 
 def save_panel(tables: dict[str, DataFrame], path: str) -> None:
-    """Save all tables of ``run_panel``, the register last: with the seconds that the others took."""
+    """Save all tables of ``run_panel`` in one change, the register written last: with the seconds that the others took."""
     started = time.perf_counter()
-    register = tables["runs"]
-    keys = register.select(*RUN_KEYS)
-    stages.save_results({k: v for k, v in tables.items() if k != "runs"}, path, keys)
+    register = stages.cut_lineage(tables["runs"])
+    spark, keys = register.sparkSession, register.select(*RUN_KEYS)
+    change = stages.Change(path, stages.resolve(spark, path))
+    stages.results_change({k: v for k, v in tables.items() if k != "runs"}, change, keys)
     took = F.lit(time.perf_counter() - started)
-    stages.save_results({"runs": register.withColumn("elapsed_s", took)}, path, keys)
+    stages.results_change({"runs": register.withColumn("elapsed_s", took)}, change, keys)
+    change.publish(spark)
+
+
+def exploration(stored: DataFrame) -> dict[str, DataFrame]:
+    """All explorations of stored features, see stages.RESULT_SCHEMAS: of one run, of some, or of all, each a plan of
+    its own over the columns that it needs. Input series are named ``input_`` and their type."""
+    before, changes = explore.pre_target(stored), explore.pct_change(stored)
+    return {f"input_{kind}": explore.input_series(stored, kind) for kind in INPUT_TYPES} | {
+        "target_bounds": explore.target_bounds(stored),
+        "acf": explore.acf(before),
+        "pacf": explore.pacf(before),
+        "variance_status": explore.variance_status(before),
+        "pct_change": changes,
+        "sparse_changes": explore.sparse_changes(changes),
+        "target_corr": explore.target_corr(changes),
+        "corr_status": explore.corr_status(changes),
+    }
+
+
+def explore_run(
+    spark: SparkSession, path: str, analysis_id: str | None, run_kind: str | None = MAIN, version: int | None = None
+) -> dict[str, DataFrame]:
+    """``exploration`` of a saved run, from its bucket alone; the analysis need not be computed again."""
+    return exploration(stages.load_results(spark, path, analysis_id, run_kind, ("features",), version)["features"])

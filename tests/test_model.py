@@ -162,6 +162,9 @@ def test_saved_results_come_back_and_failed_runs_leave_nothing_old(spark, tmp_pa
     from liftpanel.operators import explore
 
     assert explore.target_bounds(loaded["features"]).count() == 1 and explore.target_corr(explore.pct_change(loaded["features"])).count() == 2
+    stored, live = panel.explore_run(spark, path, "a0"), panel.exploration(tables["features"].where("run_kind = 'main'"))
+    for name, df in live.items():
+        assert sorted(map(str, stored[name].select(df.columns).collect())) == sorted(map(str, df.collect())), name
     short = analyses.withColumn("start", F.date_sub("campaign_start", 60))
     panel.save_panel(panel.run_panel(series, short), path)
     loaded = stages.load_results(spark, path, "a0")

@@ -160,6 +160,59 @@ def test_results_round_trip_listing_and_deletion(spark, tmp_path):
         stages.save_results({"other": tables["runs"]}, path)
 
 
+def test_a_reader_sees_a_store_before_or_after_a_change(spark, tmp_path):
+    store = str(tmp_path)
+    ids = [(f"a{i}", k) for i in range(12) for k in ("main", "spec")]
+    schemas = {n: stages.RESULT_SCHEMAS[n] for n in ("summary_data", "inferences")}
+
+    def rows(ddl, kept):
+        width = len(spark.createDataFrame([], ddl).columns)
+        return spark.createDataFrame([(*i, *[None] * (width - 2)) for i in kept], ddl)
+
+    def sizes(version=None):
+        return {n: t.count() for n, t in stages.load_results(spark, store, None, None, tuple(schemas), version).items()}
+
+    stages.save_results({n: rows(d, ids) for n, d in schemas.items()}, store, buckets=4)
+    before = stages.resolve(spark, store)
+    assert before.version == 1 and before.buckets("inferences") == 4
+    held = stages.load_results(spark, store, "a3", None, tuple(schemas))
+    # Tables of a change that is not published yet do not count, published ones do all at once.
+    gone = spark.createDataFrame(ids, "analysis_id string, run_kind string").where("run_kind = 'spec'")
+    change = stages.Change(store, before)
+    stages.results_change({n: rows(d, []) for n, d in schemas.items()}, change, gone)
+    assert sizes() == {"summary_data": 24, "inferences": 24}
+    late = stages.Change(store, before)
+    stages.results_change({"inferences": rows(schemas["inferences"], ids[:1])}, late)
+    assert change.publish(spark) == 2
+    assert sizes() == {"summary_data": 12, "inferences": 12} and sizes(1) == {"summary_data": 24, "inferences": 24}
+    assert all(t.count() == 2 for t in held.values())
+    # Who began before another's change does not undo it.
+    with pytest.raises(RuntimeError, match="since version 1"):
+        late.publish(spark)
+    with pytest.raises(ValueError, match="no version 9"):
+        stages.resolve(spark, store, 9)
+    # A table that loses all its rows keeps its number of buckets and can be filled again.
+    all_keys = spark.createDataFrame(ids, "analysis_id string, run_kind string")
+    stages.save_results({n: rows(d, []) for n, d in schemas.items()}, store, all_keys)
+    assert sizes() == {"summary_data": 0, "inferences": 0} and stages.resolve(spark, store).buckets("inferences") == 4
+    stages.save_results({"inferences": rows(schemas["inferences"], ids[:3])}, store)
+    assert sizes() == {"summary_data": 0, "inferences": 3}
+
+
+def test_a_change_computes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    base = spark.range(20).select(F.col("id").cast("string").alias("analysis_id"))
+    stages.write_stage(base, str(tmp_path / "t"))
+    stages.write_stage(spark.createDataFrame(base.rdd.mapPartitions(count), base.schema), str(tmp_path / "t"))
+    assert seen.value == 20 and stages.read_stage(spark, str(tmp_path / "t"), base.schema).count() == 20
+
+
 def test_a_month_emptied_at_the_source_is_emptied_in_the_copy(spark, tmp_path):
     source = spark.createDataFrame([(date(2020, 1, 1) + i * DAY, i) for i in range(200)], "day date, v int")
     path, window = str(tmp_path / "copy"), (date(2020, 3, 1), date(2020, 5, 1), date(2020, 5, 20))
