@@ -1,9 +1,9 @@
 """Secrets in text: fixed rules, and character Markov models for what the rules have no words for.
 
-Column expressions only. Three rules give the base spans. Then every run of at least ``LEAST`` token
-characters is compared under two first-order Markov models of its characters, one of random strings and one
-of ordinary identifiers, by their log-likelihood ratio; a run above ``EVIDENCE`` that meets no base span is
-added. The models are trained on labelled samples: values that the rules found and random strings of several
+Column expressions only. Three rules give the base spans. They are cut out of the runs of token characters, and
+every rest of at least ``LEAST`` characters is compared under two first-order Markov models of its characters, one of
+random strings and one of ordinary identifiers, by their log-likelihood ratio; a rest above ``EVIDENCE`` is
+added, so a key that touches a base span is found as well. The models are trained on labelled samples: values that the rules found and random strings of several
 alphabets count as random, the other words of a bounded sample of texts as ordinary. A model is a table of
 ``len(SYMBOLS) + 1`` squared whole numbers, thousandths of a nat, whatever the corpus.
 """
@@ -27,33 +27,71 @@ CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
 SAMPLE_ROWS, EVIDENCE = 400, 12_000
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+TEXT_SPAN = "struct<start:int,rank:int,end:int,kind:string,text:string>"
+TEXT_SPANS = f"array<{TEXT_SPAN}>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often it is named there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scanned(items: Column, state: Column, step, kind: str) -> Column:
+    """What ``step(state, item) -> (state, array of outputs)`` puts out along an array, outputs of type ``kind``.
+
+    An array that grows item by item is copied each time. So outputs grow inside blocks of the root of the number of
+    items, and blocks are put together: n items cost n to the power of 1.5 small steps, not n squared.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(acc: Column, item: Column) -> Column:
+        after, out = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def outer(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["outs"], F.array(d["out"])).alias("outs")))
+
+    def run(all_items: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_items))).cast("int"))
+        last = F.floor((F.greatest(F.size(all_items), F.lit(1)) - 1) / width).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_items, b * width + 1, width))
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+        return F.flatten(F.aggregate(blocks, start, outer)["outs"])
+
+    return _let(items, run)
+
+
+def _span(start: Column, rank: int, end: Column, kind: str, text: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), text.alias("text"))
 
 
 def _matches(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
-    """Spans of the leftmost matches that do not overlap, in code points. The text between matches and the
-    matches themselves alternate, so places are running sums of lengths."""
+    """Spans of the leftmost matches that do not overlap, in code points, with their text. The text between matches
+    and the matches themselves alternate, so places are running sums of lengths."""
     parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
+        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length).alias("value"),
     )
+    none = F.array().cast(TEXT_SPANS)
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["gap"])
+    def step(at: Column, part: Column) -> tuple[Column, Column]:
+        start = at + part["gap"]
         end = start + F.coalesce(F.length(part["all"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        long_enough = F.length(part["value"]) >= least
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return end, F.when(part["value"] >= least, F.array(_span(start, rank, end, kind, part["all"]))).otherwise(none)
+
+    return F.when(text.rlike(pattern), scanned(parts, F.lit(0), step, TEXT_SPAN)).otherwise(none)
+
 
-    none = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["spans"])).otherwise(none)
+def _without_text(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(*[s[n].alias(n) for n in ("start", "rank", "end", "kind")]))
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the three rules by start, then by rule. Null and empty texts have none."""
     own = F.coalesce(text.cast("string"), F.lit(""))
-    return F.array_sort(F.concat(*[_matches(own, pattern, group, least, kind, i) for i, (kind, pattern, group, least) in enumerate(RULES)]))
+    return F.array_sort(F.concat(*[_without_text(_matches(own, pattern, group, least, kind, i)) for i, (kind, pattern, group, least) in enumerate(RULES)]))
 
 
 def _text_of(text: Column, span: Column) -> Column:
@@ -100,15 +138,44 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return ",".join(str(r["ratio"]) for r in table)
 
 
+def _rests(text: Column, base: Column) -> Column:
+    """What base spans leave of the runs of token characters, with its text, if it has ``LEAST`` characters.
+
+    Runs and base spans are passed once, by their starts. The open run counts from ``at``, which every base span moves
+    to its end; what lies between ``at`` and the next span or run is a rest.
+    """
+    spans = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(None).cast("string").alias("text")))
+    beyond = F.length(text) + 1
+    last = F.array(_span(beyond, len(RULES) + 1, beyond, "", F.lit("")))
+    in_order = F.array_sort(F.concat(spans, _matches(text, CANDIDATE, 0, LEAST, ADDED, len(RULES)), last))
+    none = F.array().cast(TEXT_SPANS)
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(0).alias("covered"), F.lit(0).alias("start"), F.lit("").alias("text"))
+
+    def step(run: Column, span: Column) -> tuple[Column, Column]:
+        to = F.least(run["end"], span["start"])
+        rest = _span(run["at"], len(RULES), to, ADDED, F.substring(run["text"], run["at"] - run["start"] + 1, to - run["at"]))
+        is_base = span["rank"] < len(RULES)
+        covered = F.when(is_base, F.greatest(run["covered"], span["end"])).otherwise(run["covered"])
+        after = F.struct(
+            F.when(is_base, F.greatest(run["at"], span["end"])).otherwise(F.greatest(run["covered"], span["start"])).alias("at"),
+            F.when(is_base, run["end"]).otherwise(span["end"]).alias("end"),
+            covered.alias("covered"),
+            F.when(is_base, run["start"]).otherwise(span["start"]).alias("start"),
+            F.when(is_base, run["text"]).otherwise(span["text"]).alias("text"),
+        )
+        return after, F.when(to - run["at"] >= LEAST, F.array(rest)).otherwise(none)
+
+    return F.when(text.rlike(CANDIDATE), scanned(in_order, begin, step, TEXT_SPAN)).otherwise(none)
+
+
 def added_spans(text: Column, base: Column, model: str) -> Column:
-    """Runs of token characters that look random, apart from base spans."""
+    """Rests of runs of token characters that look random."""
     own = F.coalesce(text.cast("string"), F.lit(""))
-    runs = _matches(own, CANDIDATE, 0, LEAST, ADDED, len(RULES))
     ratios = F.split(F.lit(model), ",").cast("array<int>")
     symbols = len(SYMBOLS) + 1
 
-    def ratio(span: Column) -> Column:
-        codes = F.transform(F.split(_text_of(own, span), ""), lambda c: F.instr(F.lit(SYMBOLS), c))
+    def ratio(rest: Column) -> Column:
+        codes = F.transform(F.split(rest, ""), lambda c: F.instr(F.lit(SYMBOLS), c))
         start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("sum"))
 
         def step(acc: Column, code: Column) -> Column:
@@ -117,8 +184,7 @@ def added_spans(text: Column, base: Column, model: str) -> Column:
 
         return F.aggregate(codes, start, step, lambda acc: acc["sum"])
 
-    apart = lambda span: ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-    return F.filter(F.filter(runs, apart), lambda span: ratio(span) >= EVIDENCE)
+    return _without_text(F.filter(_rests(own, base), lambda rest: ratio(rest["text"]) >= EVIDENCE))
 
 
 def listed(spans: Column) -> Column:
@@ -148,12 +214,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with each span, or each run of spans that overlap, replaced by ``mark``."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, span: Column) -> Column:
-        fresh = F.array(F.substring(text, acc["at"] + 1, span["start"] - acc["at"]), F.lit(mark))
-        out = F.when(span["start"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), out.alias("out"))
+    def step(at: Column, span: Column) -> tuple[Column, Column]:
+        fresh = F.array(F.substring(text, at + 1, span["start"] - at), F.lit(mark))
+        return F.greatest(at, span["end"]), F.when(span["start"] >= at, fresh).otherwise(F.array().cast("array<string>"))
 
-    whole = F.aggregate(spans, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    whole = F.concat(F.array_join(scanned(spans, F.lit(0), step, "string"), ""), F.substring(text, end + 1, F.length(text)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
