@@ -24,6 +24,8 @@ from liftpanel.llm.common import held_out, worker_state
 UNKNOWN = "und"
 FEATURES = 4096
 ROWS_EACH = 400
+#: Parts of a language in which its sample rows are looked for.
+PARTS = 64
 MODULUS, REMAINDER = 4, 2
 #: Lower case; all of ASCII that is not a letter becomes a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 97 and c <= 122 or c >= 128 else 32 for c in range(256))
@@ -111,6 +113,8 @@ def fit_rows(shares: np.ndarray, langs: list[str], ridge: float = 0.02) -> Model
 
     def solve(x: np.ndarray, y: np.ndarray, centre: np.ndarray) -> np.ndarray:
         x = (x - centre).astype(float)
+        if len(x) > x.shape[1]:  # the same solution from the smaller of the two systems
+            return np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
         return x.T @ np.linalg.solve(x @ x.T + ridge * np.eye(len(x)), y)
 
     even = np.arange(len(langs)) % 2 == 0
@@ -131,9 +135,14 @@ def fit_rows(shares: np.ndarray, langs: list[str], ridge: float = 0.02) -> Model
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_each: int = ROWS_EACH) -> Model:
     """Fit on at most ``rows_each`` rows of every language among those where ``learn`` holds, text and language given."""
     usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     names = usable.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-    sample = names.withColumn("n", F.row_number().over(chosen)).where(F.col("n") <= rows_each).select("doc_id", "lang").distinct()
+    # First in parts of a language, then the first of these: a hot language is many windows, and the last one sees at most
+    # `PARTS * rows_each` ids, however many rows and partitions there are.
+    first = names.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)))
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("n") <= rows_each)
+    chosen = Window.partitionBy("lang").orderBy(*order)
+    sample = first.withColumn("n", F.row_number().over(chosen)).where(F.col("n") <= rows_each).select("doc_id", "lang").distinct()
     texts = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from liftpanel.llm.ecoc_language import codewords, fit, has_letter, identify
+from liftpanel.llm.ecoc_language import codewords, fit, fit_rows, has_letter, identify, ngram_shares
 from tests.conftest import SMALL
 from tests.llm.cases import bears_odd_tables, prose
 
@@ -75,3 +76,40 @@ def test_mixed_and_foreign_texts_are_rejected_and_clean_ones_kept(spark):
 def test_odd_tables(spark):
     want = bears_odd_tables(spark, identify)
     assert len(want) == 35
+
+
+def plain_sample(rows, rows_each):
+    def order(i):
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+        return (h - (1 << 64) if h >> 63 else h, i)
+
+    langs = {lang for _, lang, text in rows if lang and text is not None and has_letter(text.encode())}
+    return sorted((x, i) for x in langs for _, i in sorted((order(i), i) for i, lang, text in rows if lang == x and text is not None)[:rows_each])
+
+
+def test_sample_and_decoding_against_plain_python(spark):
+    """Which rows are learned from, and the votes and losses of the codewords, worked out one by one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    texts = {i: t for i, _, t in rows}
+    model = fit(docs, F.lit(True), rows_each=20)
+    chosen = plain_sample(rows, 20)
+    want = fit_rows(np.vstack([ngram_shares([texts[i].encode()]) for _, i in chosen]), [lang for lang, _ in chosen])
+    assert model.languages == want.languages and np.array_equal(model.weights, want.weights) and model.margin == want.margin
+    some = [t.encode() for t in list(texts.values())[:40] if t]
+    for text, row in zip(some, model.predict(some).itertuples(), strict=True):
+        votes = (ngram_shares([text])[0] - model.centre) @ model.weights
+        losses = [sum(w * np.exp(-v * c) for w, v, c in zip(model.bit_weight, votes, word, strict=True)) for word in model.code]
+        assert row.lang_pred == model.languages[int(np.argmin(losses))]
+        assert row.margin == pytest.approx(sorted(losses)[1] - sorted(losses)[0], abs=1e-5)
+
+
+def test_more_rows_than_features_solve_the_smaller_system():
+    rng = np.random.default_rng(1)
+    shares = rng.random((60, 40)).astype(np.float32)
+    langs = ["a", "b", "c"] * 20
+    small = fit_rows(shares, langs)
+    centre = shares.mean(0)
+    bits = small.code[[small.languages.index(x) for x in langs]]
+    x = (shares - centre).astype(float)
+    assert np.allclose(small.weights, x.T @ np.linalg.solve(x @ x.T + 0.02 * np.eye(60), bits), atol=1e-4)
