@@ -91,15 +91,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def shard_links(ids: list[bytes], sets: list[np.ndarray], side: list[int] | None = None, percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
+def shard_links(ids: list, sets: list[np.ndarray], side: list[int] | None = None, percent: int = PERCENT, tied: list | None = None) -> list[tuple]:
     """Links that tie the sets of a shard together as all links would. With ``side`` only sets of different sides meet.
 
-    Of two groups that are tied already no further pair is compared.
+    Of two groups that are tied already no further pair is compared; sets with one value in ``tied`` are from the start.
     """
     n = len(sets)
     _, shared, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     parts = np.split(shared, np.cumsum([len(s) for s in sets])[:-1])
     label, postings, out = list(range(n)), {}, []
+    if tied is not None:
+        first: dict = {}
+        label = [first.setdefault(t, i) for i, t in enumerate(tied)]
 
     def root(i: int) -> int:
         while label[i] != i:
@@ -153,6 +156,8 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     A leader's set is sent once for every ``LED`` members, ahead of them; a task holds one set.
     """
+    name = pairs.schema["fp"].dataType.simpleString()
+    kind = {"binary": pa.binary(), "bigint": pa.int64()}[name]
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LED).cast("int").alias("salts"))
     salted = pairs.join(salts, "leader").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
     members = salted.join(sets, "fp").select("leader", "salt", F.lit(1).alias("member"), "fp", "own")
@@ -171,11 +176,11 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = common(head, own)
                 out.append((leader, fp, both, len(head) + len(own) - both))
             columns = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            kinds = [kind, kind, pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["leader", "fp", "common", "together"])
 
     rows = members.unionByName(heads).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member")
-    return rows.mapInArrow(run, "leader binary, fp binary, common long, together long")
+    return rows.mapInArrow(run, f"leader {name}, fp {name}, common long, together long")
 
 
 def _shards(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

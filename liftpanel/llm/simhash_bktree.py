@@ -28,21 +28,32 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority of each bit over the hashes of the word shingles, repeats included; 0 without a word."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Big-endian bytes of the hash of each word shingle, repeats included; no row without a word."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_digest
     cuts = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in cuts]), np.uint8).reshape(n, 8)
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in cuts]), np.uint8).reshape(n, 8)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The majority of each bit; 0 without a hash."""
+    if not len(hashes):
+        return 0
     cells = hashes + np.arange(8, dtype=np.int64) * 256
     counts = np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ BITS
-    return int.from_bytes(np.packbits(counts * 2 > n, axis=1, bitorder="little").tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority of each bit over the hashes of the word shingles, repeats included; 0 without a word."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

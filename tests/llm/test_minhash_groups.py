@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from liftpanel.llm.minhash_groups import shingles, similar, similar_groups
+from liftpanel.llm.fast_sketches import shard_links
+from liftpanel.llm.minhash_groups import links, set_print, set_prints, shingles, simhash, similar, similar_groups
+from liftpanel.llm.simhash_bktree import RADIUS
 from tests.conftest import SMALL
 from tests.llm.cases import SCHEMA, bears_odd_tables, prose
 
@@ -72,3 +75,45 @@ def test_similarity_and_shards():
 
 def test_odd_tables(spark):
     bears_odd_tables(spark, lambda d: similar_groups(d).drop("group_fingerprint"))
+
+
+def signed(number):
+    return int(np.uint64(number).view(np.int64))
+
+
+def by_trees_alone(spark, texts, **columns):
+    """Links as pairs of prints, where no two sets have a MinHash key in common."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    distinct = set_prints(docs, "doc_id", "text").withColumns({"keys": F.array().cast("array<bigint>"), **columns}).dropDuplicates(["fp"])
+    return {frozenset(r) for r in links(docs, distinct, "text").collect()}
+
+
+def test_trees_link_what_is_within_the_radius(spark):
+    rng, texts = random.Random(11), []
+    for _ in range(30):
+        words = prose(rng, rng.randint(200, 800)).split()
+        texts += [" ".join(words), " ".join([*words[:-1], f"other{rng.randrange(10**6)}"])]
+    sets = [shingles(t.encode()) for t in texts]
+    want = set()
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            if (simhash(a) ^ simhash(b)).bit_count() <= RADIUS and similar(a, b):
+                want.add(frozenset({signed(set_print(a)), signed(set_print(b))}))
+    assert len(want) > 20
+    assert by_trees_alone(spark, texts) == want
+
+
+def test_trees_only_propose(spark):
+    texts = copies(random.Random(9))[:12]
+    sets = [shingles(t.encode()) for t in texts]
+    head = min(sets, key=lambda s: signed(set_print(s)))
+    want = {frozenset({signed(set_print(head)), signed(set_print(s))}) for s in sets if s is not head and similar(head, s)}
+    assert want and by_trees_alone(spark, texts, bits=F.lit(0).cast("long")) == want
+
+
+def test_what_is_tied_is_not_compared_again():
+    a = np.arange(100, dtype=np.uint64)
+    sets = [a, a[:95], a[:90]]
+    assert len(shard_links([1, 2, 3], sets, None, 80)) == 2
+    assert len(shard_links([1, 2, 3], sets, None, 80, [7, 7, 3])) == 1
+    assert shard_links([1, 2, 3], sets, None, 80, [7, 7, 7]) == []
