@@ -9,6 +9,7 @@ by how well its classifier does. The classifiers are fitted on a bounded sample
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -26,6 +27,8 @@ FEATURES = 4096
 ROWS_EACH = 400
 #: Parts of a language in which its sample rows are looked for.
 PARTS = 64
+#: Rows or features that a system takes up at once in double precision.
+AT_ONCE = 512
 MODULUS, REMAINDER = 4, 2
 #: Lower case; all of ASCII that is not a letter becomes a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 97 and c <= 122 or c >= 128 else 32 for c in range(256))
@@ -111,18 +114,36 @@ def fit_rows(shares: np.ndarray, langs: list[str], ridge: float = 0.02) -> Model
     bits = code[[languages.index(x) for x in langs]]
     centre = shares.mean(0)
 
+    def part(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        return (x - centre).astype(float)
+
     def solve(x: np.ndarray, y: np.ndarray, centre: np.ndarray) -> np.ndarray:
-        x = (x - centre).astype(float)
-        if len(x) > x.shape[1]:  # the same solution from the smaller of the two systems
-            return np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
-        return x.T @ np.linalg.solve(x @ x.T + ridge * np.eye(len(x)), y)
+        """The sample stays in single precision; the smaller of the two systems, with the same solution, is summed up."""
+        rows, columns = ([slice(i, i + AT_ONCE) for i in range(0, n, AT_ONCE)] for n in x.shape)
+        system = np.zeros((min(x.shape), min(x.shape)))
+        if len(x) > x.shape[1]:
+            known = np.zeros((x.shape[1], y.shape[1]))
+            for r in rows:
+                own = part(x[r], centre)
+                system += own.T @ own
+                known += own.T @ y[r]
+        else:
+            known = y
+            for c in columns:
+                own = part(x[:, c], centre[c])
+                system += own @ own.T
+        system[np.diag_indices(len(system))] += ridge
+        solved = np.linalg.solve(system, known)
+        return solved if len(x) > x.shape[1] else np.concatenate([part(x[:, c], centre[c]).T @ solved for c in columns])
 
     even = np.arange(len(langs)) % 2 == 0
     right, votes = np.ones(code.shape[1]), np.zeros_like(bits)
     if 0 < even.sum() < len(langs):
         for half in (even, ~even):
             other = shares[~half].mean(0)
-            votes[half] = (shares[half] - other) @ solve(shares[~half], bits[~half], other)
+            solved, at = solve(shares[~half], bits[~half], other), np.flatnonzero(half)
+            for i in range(0, len(at), AT_ONCE):
+                votes[at[i : i + AT_ONCE]] = (shares[at[i : i + AT_ONCE]] - other) @ solved
         right = (votes * bits > 0).mean(0)
     bit_weight = np.maximum(right - 0.5, 1e-3)
     model = Model(languages, code, solve(shares, bits, centre).astype(np.float32), centre.astype(np.float32), bit_weight / max(bit_weight.sum(), 1e-9), 0.0)
@@ -149,15 +170,19 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         worker_state("language")
         for batch in batches:
             texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
-            rows = [ngram_shares([t])[0].tobytes() if has_letter(t) else None for t in texts]
+            rows = [zlib.compress(ngram_shares([t])[0].tobytes(), 1) if has_letter(t) else None for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "lang", "shares"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    # At most `rows_each` short rows for each language.
+    # At most `rows_each` short rows for each language; most shares are zero, so they travel packed.
     rows = texts.join(F.broadcast(sample), ["doc_id", "lang"]).mapInArrow(run, f"doc_id {kind}, lang string, shares binary").where("shares is not null").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["shares"]))
-    shares = np.array([np.frombuffer(r["shares"], np.float32) for r in rows]).reshape(len(rows), FEATURES)
-    return fit_rows(shares, [r["lang"] for r in rows])
+    shares = np.empty((len(rows), FEATURES), np.float32)
+    for i, row in enumerate(rows):
+        shares[i] = np.frombuffer(zlib.decompress(row["shares"]), np.float32)
+    langs = [r["lang"] for r in rows]
+    del rows
+    return fit_rows(shares, langs)
 
 
 def predicted(text: Column, model: Model) -> Column:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from liftpanel.llm.ecoc_language import codewords, fit, fit_rows, has_letter, identify, ngram_shares
+from liftpanel.llm.ecoc_language import FEATURES, codewords, fit, fit_rows, has_letter, identify, ngram_shares
 from tests.conftest import SMALL
 from tests.llm.cases import bears_odd_tables, prose
 
@@ -113,3 +114,20 @@ def test_more_rows_than_features_solve_the_smaller_system():
     bits = small.code[[small.languages.index(x) for x in langs]]
     x = (shares - centre).astype(float)
     assert np.allclose(small.weights, x.T @ np.linalg.solve(x @ x.T + 0.02 * np.eye(60), bits), atol=1e-4)
+
+
+def test_fit_holds_the_sample_once_and_solves_the_same_systems():
+    rng = np.random.default_rng(2)
+    for n, features in ((1600, FEATURES), (600, 256)):
+        langs = [("de", "en", "es", "fr")[i % 4] for i in range(n)]
+        shares = (rng.random((n, features), np.float32) ** 8 + np.array([x == "en" for x in langs])[:, None] * rng.random(features) / 9).astype(np.float32)
+        tracemalloc.start()
+        model = fit_rows(shares, langs)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # One copy of the sample in double precision is twice its size. With more rows than features it is the system that counts.
+        assert n > features or peak < 2 * shares.nbytes
+        x = (shares - shares.mean(0)).astype(float)
+        bits = model.code[[model.languages.index(y) for y in langs]]
+        direct = np.linalg.solve(x.T @ x + 0.02 * np.eye(features), x.T @ bits) if features < n else x.T @ np.linalg.solve(x @ x.T + 0.02 * np.eye(n), bits)
+        assert np.allclose(model.weights, direct, atol=1e-4 * np.abs(direct).max())
